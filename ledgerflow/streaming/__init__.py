@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source system has no streaming source, watermark, window or stateful
+operator: every read is a one-shot batch query. Its state tables (question
+log, cache, memory, sessions) are batch-merged in
+``ledgerflow.operators.state``. Nothing is built here.
+"""
