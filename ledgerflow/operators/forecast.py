@@ -213,8 +213,10 @@ def grir_working_capital(balance: DataFrame, as_of: _dt.date, mode: str = "yyyym
 
 def grir_working_capital_totals(wc: DataFrame) -> DataFrame:
     """A26 totals over all months."""
-    return wc.agg(F.coalesce(F.sum("older_than_60_days"), F.lit(0.0)).alias("older_60"),
-                  F.coalesce(F.sum("older_than_90_days"), F.lit(0.0)).alias("older_90"))
+    def total(c):
+        return F.coalesce(F.sum(F.col(c).cast("decimal(38,2)")).cast("double"), F.lit(0.0))
+    return wc.agg(total("older_than_60_days").alias("older_60"),
+                  total("older_than_90_days").alias("older_90"))
 
 
 def grir_vendor_followup(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
