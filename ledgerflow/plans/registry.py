@@ -64,4 +64,4 @@ def load_all() -> dict[str, Entry]:
     return REGISTRY
 
 
-QUERY_MODULES = ("q_kpi", "q_dashboard", "q_forecast")
+QUERY_MODULES = ("q_kpi", "q_dashboard", "q_forecast", "q_analysis")
