@@ -111,25 +111,26 @@ def invoice_key(invoice_number) -> Column:
     return F.lit(str(invoice_number)).try_cast("bigint")
 
 
+INVOICE_DETAIL_ORDER = ("vendor_id", "invoice_amount", "invoice_date", "due_date", "po_number",
+                        "invoice_status", "plant_code")
+
+
 def invoice_lookup(inv: DataFrame, ven: DataFrame, invoice_number) -> DataFrame:
-    """F11 one invoice's detail as text columns joined to its vendor; one row."""
+    """F11 one invoice's detail joined to its vendor, one row. The reference
+    takes an arbitrary row when the number repeats; the order here makes
+    the pick deterministic."""
     from ledgerflow.operators.joins import with_vendor
     hit = inv.filter(F.col("invoice_number") == invoice_key(invoice_number))
-    j = with_vendor(hit, ven)
-    return (j.select(F.col("invoice_number").cast("string").alias("invoice_number"),
-                     F.col("posting_date").cast("string").alias("posting_date"),
-                     F.col("due_date").cast("string").alias("due_date"),
-                     F.col("payment_date").cast("string").alias("payment_date"),
-                     F.col("invoice_amount_local").cast("double").alias("invoice_amount"),
-                     F.col("invoice_status").alias("invoice_status"),
-                     F.col("purchase_order_reference").cast("string").alias("po_number"),
-                     F.col("po_amount").cast("double").alias("po_amount"),
-                     F.col("vendor_id"), F.col("vendor_name"), F.col("currency"),
-                     F.col("company_code").cast("string").alias("company_code"),
-                     F.col("plant_code").cast("string").alias("plant_code"),
-                     F.col("aging_days"))
-            .orderBy("vendor_id", "invoice_amount", "posting_date", "invoice_status")
-            .limit(1))
+    j = with_vendor(hit, ven, cols=("vendor_id", "vendor_name", "vendor_name_2", "country_code",
+                                    "city", "postal_code", "street"))
+    out = j.select("invoice_number", F.col("posting_date").alias("invoice_date"),
+                   F.col("invoice_amount_local").cast("double").alias("invoice_amount"),
+                   F.col("purchase_order_reference").alias("po_number"),
+                   F.col("po_amount").cast("double").alias("po_amount"), "due_date",
+                   F.upper("invoice_status").alias("invoice_status"), "aging_days", "vendor_id",
+                   "vendor_name", "vendor_name_2", "country_code", "city", "postal_code", "street",
+                   "company_code", "plant_code", "currency")
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in INVOICE_DETAIL_ORDER]).limit(1)
 
 
 def invoice_exists(inv: DataFrame, invoice_number) -> DataFrame:
@@ -144,8 +145,10 @@ def invoice_exists(inv: DataFrame, invoice_number) -> DataFrame:
 def invoice_search(inv: DataFrame, ven: DataFrame, as_of: _dt.date, number=None,
                    vendor: str | None = None, status: str | None = None,
                    limit: int = S.SEARCH_ROWS) -> DataFrame:
-    """F13 optional number AND vendor AND status (incl. DUE_NEXT_30), distinct,
-    newest posting first, ``limit`` rows."""
+    """F13 optional number AND vendor AND status (incl. the DUE_NEXT_30 pseudo
+    status), DISTINCT rows, newest posting first, ``limit`` rows (the page
+    size of the search screen). Ties on posting date are broken by every
+    output column so the page is deterministic (R11)."""
     from ledgerflow.operators.joins import with_vendor
     preds = []
     if number is not None:
@@ -157,17 +160,14 @@ def invoice_search(inv: DataFrame, ven: DataFrame, as_of: _dt.date, number=None,
             preds.append(F.upper(F.col("invoice_status")) == F.upper(F.lit(status)))
     base = inv.filter(reduce(lambda a, b: a & b, preds)) if preds else inv
     j = with_vendor(base, ven, vendor=vendor)
-    out = j.select(F.col("invoice_number"), F.col("posting_date"), F.col("due_date"),
+    out = j.select("invoice_number", "vendor_name", "posting_date", "due_date",
                    F.col("invoice_amount_local").cast("double").alias("invoice_amount"),
-                   F.upper(F.col("invoice_status")).alias("invoice_status"),
-                   F.col("vendor_name"),
-                   F.col("purchase_order_reference").alias("po_number")).distinct()
+                   F.col("purchase_order_reference").alias("po_number"),
+                   F.upper(F.col("invoice_status")).alias("status")).distinct()
     return out.orderBy(F.col("posting_date").desc_nulls_last(), F.col("invoice_number").asc(),
-                       F.col("invoice_amount").asc_nulls_last(),
-                       F.col("vendor_name").asc_nulls_last(),
-                       F.col("invoice_status").asc_nulls_last(),
-                       F.col("due_date").asc_nulls_last(),
-                       F.col("po_number").asc_nulls_last()).limit(limit)
+                       F.col("vendor_name").asc_nulls_last(), F.col("due_date").asc_nulls_last(),
+                       F.col("invoice_amount").asc_nulls_last(), F.col("po_number").asc_nulls_last(),
+                       F.col("status").asc_nulls_last()).limit(limit)
 
 
 def rename_select(df: DataFrame, mapping: dict[str, str] | None = None,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,12 +45,17 @@ def distinct_rows(df: DataFrame, *cols: str) -> DataFrame:
     return (df.select(*cols) if cols else df).distinct()
 
 
-def dedupe_by_key(df: DataFrame, key: str, priority: list) -> DataFrame:
-    """U6 one row per key, the first by ``priority`` (deterministic, unlike
-    the reference's arbitrary survivor). Partitioned by the key, so a hot key
-    is one task's sort of that key's rows only."""
-    w = Window.partitionBy(key).orderBy(*priority)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def dedupe_by_key(df: DataFrame, key, priority: list[str]) -> DataFrame:
+    """U6 one row per key: the row with the smallest ``priority`` tuple (then
+    the remaining columns), deterministic unlike the reference's arbitrary
+    survivor. Written as ``min(struct)`` so it aggregates partially before the
+    shuffle: a hot key is reduced in every map task, never sorted in one."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in keys and c not in priority]
+    packed = F.struct(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(priority)],
+                      *[F.col(c) for c in rest])
+    return (df.groupBy(*keys).agg(F.min(packed).alias("_r"))
+            .select(*keys, *[F.col(f"_r.{c}") for c in rest]))
 
 
 def append_if_absent(history: DataFrame, new_rows: DataFrame, keys: list[str]) -> DataFrame:

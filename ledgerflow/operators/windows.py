@@ -14,13 +14,27 @@ from pyspark.sql import functions as F
 from ledgerflow.operators.dashboard import share_of_total, spend_forecast  # noqa: F401  (W1, W7)
 
 
+def top_n_per_group(df: DataFrame, keys, order: list, n: int, salts: int = 16) -> DataFrame:
+    """Top ``n`` rows per group in ``order`` without sending a hot group to one
+    task: rows are first ranked within (group, salt) buckets, keeping at most
+    ``n`` per bucket, then at most ``n * salts`` survivors per group are
+    ranked again. The salt is a hash of the whole row, so a group holding a
+    third of the data is spread over ``salts`` tasks in the first step."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    first = (df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1))
+             .filter(F.col("_rn") <= n).drop("_rn", "_salt"))
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return first.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def recent_n(messages: DataFrame, max_turns: int, session: str = "session_id",
              order=("turn_index", "ts")) -> DataFrame:
     """W2 newest ``max_turns * 2`` messages of each session, oldest first."""
     cols = [c for c in order if c in messages.columns]
-    w = Window.partitionBy(session).orderBy(*[F.col(c).desc() for c in cols])
-    kept = messages.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_turns * 2)
-    return kept.drop("_rn").orderBy(session, *cols)
+    kept = top_n_per_group(messages, session, [F.col(c).desc() for c in cols], max_turns * 2)
+    return kept.orderBy(session, *cols)
 
 
 def latest_row(df: DataFrame, *keys: str) -> DataFrame:

@@ -23,7 +23,7 @@ AS_OF = S.AS_OF
 START, END = range_preset("YTD", AS_OF)           # 1999-07-01 .. 2000-06-30
 PREV_START, PREV_END = prior_window(START, END)
 VENDOR = "Supplier#000000012"
-INVOICE = 1234567                                  # an invoice number present at sf0.01
+INVOICE = 114865                                   # repeats 6 times at sf0.01 (6 vendors)
 
 
 def dlit(d: _dt.date) -> str:
@@ -64,4 +64,4 @@ def load_all() -> dict[str, Entry]:
     return REGISTRY
 
 
-QUERY_MODULES = ("q_kpi", "q_dashboard", "q_forecast", "q_analysis")
+QUERY_MODULES = ("q_kpi", "q_dashboard", "q_forecast", "q_analysis", "q_invoices")
