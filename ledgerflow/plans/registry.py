@@ -64,4 +64,5 @@ def load_all() -> dict[str, Entry]:
     return REGISTRY
 
 
-QUERY_MODULES = ("q_kpi", "q_dashboard", "q_forecast", "q_analysis", "q_invoices")
+QUERY_MODULES = ("q_kpi", "q_dashboard", "q_forecast", "q_analysis", "q_invoices",
+                 "q_vault")
