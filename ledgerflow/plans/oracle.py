@@ -129,7 +129,14 @@ SELECT md5(lower(trim(event_type || '-' || CAST(user_id % 7 AS VARCHAR)))) AS qu
 FROM events GROUP BY event_type, user_id % 7""",
     "v_memory_changes": """
 SELECT md5(CAST(user_id % 5 AS VARCHAR) || ':' || event_type) AS memory_id, CAST(user_id % 5 AS VARCHAR) AS user_name,
-       event_type AS memory_key, props AS memory_val, value AS confidence, ts AS updated_at, event_id AS seq
+       event_type AS memory_key, props AS memory_val, value AS confidence,
+       CASE WHEN event_type IN ('click','view') THEN 'preference' ELSE 'entity' END AS memory_type,
+       'inferred' AS source, ts AS updated_at, event_id AS seq
+FROM events""",
+    "v_cache_writes": """
+SELECT md5(lower(trim(event_type || '-' || CAST(user_id % 7 AS VARCHAR)))) AS query_hash,
+       event_type || '-' || CAST(user_id % 7 AS VARCHAR) AS question, ts AS created_at, event_id,
+       CAST(3600 * (1 + (user_id % 7) * 4) AS BIGINT) AS ttl_seconds, event_type AS cache_type
 FROM events""",
 }
 

@@ -207,3 +207,84 @@ class Views:
                             .alias("pct_grir_over_60"),
                             "cnt_grir_over_60"))
         return self._get("grir_aging", build)
+
+    # -- question log, sessions, cache, memory ------------------------------
+    @property
+    def question_history(self) -> DataFrame:
+        def build():
+            e = self.t.events.select("event_id", "ts", "user_id", "event_type")
+            n = F.broadcast(self.t.nation.select("n_nationkey", "n_name"))   # 25 rows, fixed
+            q = (F.when(F.col("event_type") == "signup", F.lit("Hello there"))
+                 .when(F.col("event_type") == "error",
+                       F.concat(F.lit("Show late payment trend for "), F.col("n_name")))
+                 .when(F.col("event_type") == "click",
+                       F.concat(F.lit(" Total spend YTD for vendor "), F.col("n_name")))
+                 .when(F.col("event_type") == "view",
+                       F.concat(F.lit("Invoice aging last 30 days for "), F.col("n_name")))
+                 .otherwise(F.concat(F.lit("Which invoices should we pay early in "), F.col("n_name"),
+                                     F.lit(" this quarter"))))
+            j = e.join(n, (F.col("user_id") % 25) == F.col("n_nationkey"))
+            return j.select(F.col("event_id").alias("id"), F.lower(F.trim(q)).alias("normalized_query"),
+                            q.alias("query_text"), (F.col("user_id") % 5).cast("string").alias("user_name"),
+                            F.col("ts").alias("asked_at"))
+        return self._get("question_history", build)
+
+    @property
+    def chat_messages(self) -> DataFrame:
+        return self._get("chat_messages", lambda: self.t.conversations.select(
+            F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("turn_index"),
+            "role", F.col("text").alias("content")))
+
+    @property
+    def chat_events(self) -> DataFrame:
+        return self._get("chat_events", lambda: self.t.events.select(
+            F.col("user_id").cast("string").alias("session_id"),
+            (F.col("user_id") % 5).cast("string").alias("user_name"),
+            F.col("event_id").alias("turn_index"),
+            F.when(F.col("event_id") % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+            F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("content"), "ts"))
+
+    @property
+    def chat_sessions(self) -> DataFrame:
+        return self._get("chat_sessions", lambda: (
+            self.t.events.groupBy("user_id")
+            .agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_updated"))
+            .select(F.col("user_id").cast("string").alias("session_id"),
+                    (F.col("user_id") % 5).cast("string").alias("user_name"),
+                    "created_at", "last_updated")))
+
+    @property
+    def cache_writes(self) -> DataFrame:
+        """One cache write per event (the input the query cache is built from)."""
+        def build():
+            g = F.col("user_id") % 7
+            question = F.concat(F.col("event_type"), F.lit("-"), g.cast("string"))
+            return self.t.events.select(
+                F.md5(F.lower(F.trim(question))).alias("query_hash"), question.alias("question"),
+                F.col("ts").alias("created_at"), "event_id",
+                (F.lit(3600) * (F.lit(1) + g * 4)).cast("bigint").alias("ttl_seconds"),
+                F.col("event_type").alias("cache_type"))
+        return self._get("cache_writes", build)
+
+    @property
+    def query_cache(self) -> DataFrame:
+        return self._get("query_cache", lambda: (
+            self.cache_writes.groupBy("cache_type", "question", "query_hash")
+            .agg(F.max("created_at").alias("created_at"),
+                 (F.count(F.lit(1)) - 1).alias("hit_count"),
+                 F.max("ttl_seconds").alias("ttl_seconds"))
+            .select("query_hash", "question", "created_at", "hit_count", "ttl_seconds", "cache_type")))
+
+    @property
+    def memory_changes(self) -> DataFrame:
+        def build():
+            u = (F.col("user_id") % 5).cast("string")
+            return self.t.events.select(
+                F.md5(F.concat(u, F.lit(":"), F.col("event_type"))).alias("memory_id"),
+                u.alias("user_name"), F.col("event_type").alias("memory_key"),
+                F.col("props").alias("memory_val"), F.col("value").alias("confidence"),
+                F.when(F.col("event_type").isin("click", "view"), F.lit("preference"))
+                 .otherwise(F.lit("entity")).alias("memory_type"),
+                F.lit("inferred").alias("source"),
+                F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"))
+        return self._get("memory_changes", build)

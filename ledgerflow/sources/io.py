@@ -105,13 +105,14 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def json_ready(df: DataFrame) -> DataFrame:
-    """Decimals to double (as the reference serialises them), dates and
-    timestamps kept for ISO text."""
+    """Numbers are written as plain decimal numbers (doubles via
+    DECIMAL(38,6), so large values never switch to exponent notation);
+    dates and timestamps become ISO text."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        if isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = c.cast("decimal(38,6)")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
