@@ -19,7 +19,7 @@ __all__ = [
     "month_key", "month_label", "yyyymm", "as_of_date", "pct_delta", "abbr_currency",
     "clean_invoice_number", "format_invoice_number", "safe_number", "safe_int",
     "upper_", "lower_", "trim_", "contains_", "cast_", "try_cast_", "coalesce_", "case_",
-    "round_", "abs_", "ym_label", "truncate_text", "role_label", "age_label", "md5_key",
+    "round_", "abs_", "ym_label", "strip_", "truncate_text", "role_label", "age_label", "md5_key",
     "sha_key", "hash_text", "is_relevant", "route_intent", "chart_title_class",
     "infer_preset", "split_sections", "repair_json_map", "parse_json_cell", "status_group",
     "bucket_label", "detail_aging", "ratio", "any_contains",
@@ -87,9 +87,11 @@ def pct_delta(cur, prev) -> Column:
     """C7 struct(label, up): percent change label as the dashboard shows it."""
     cur, prev = col_(cur).cast("double"), col_(prev).cast("double")
     change = (cur - prev) / prev * F.lit(100.0)
+    # rounded half-even to 1 dp first, so the text does not depend on the
+    # formatter's own tie rule
     label = (F.when(prev == 0, F.when(cur == 0, F.lit("-")).otherwise(F.lit("+100%")))
              .when(F.abs(change) < 0.05, F.lit("0%"))
-             .otherwise(F.format_string("%+.1f%%", change)))
+             .otherwise(F.format_string("%+.1f%%", F.bround(change, 1))))
     up = (F.when(prev == 0, cur >= 0)
           .when(F.abs(change) < 0.05, F.lit(True))
           .otherwise(change >= 0))
@@ -210,8 +212,8 @@ def role_label(c) -> Column:
 
 def age_label(ts, now) -> Column:
     """C18 '<h>h ago' under 24 h, else '<d>d ago' (whole hours, truncated)."""
-    secs = F.unix_timestamp(col_(now)) - F.unix_timestamp(col_(ts))
-    hours = (secs / 3600).cast("bigint")
+    micros = F.unix_micros(col_(now).cast("timestamp")) - F.unix_micros(col_(ts).cast("timestamp"))
+    hours = F.floor(micros / 3600000000).cast("bigint")
     return F.when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))) \
         .otherwise(F.concat(F.floor(hours / 24).cast("bigint").cast("string"), F.lit("d ago")))
 
@@ -280,12 +282,20 @@ def infer_preset(c) -> Column:
     return F.struct(preset.alias("preset"), conf.alias("confidence"))
 
 
+WHITESPACE = " \t\n\r\f\x0b"
+
+
+def strip_(c) -> Column:
+    """Python-style strip(): all ASCII whitespace, not only spaces."""
+    return F.trim(col_(c), F.lit(WHITESPACE))
+
+
 def split_sections(c) -> Column:
     """C25 struct(descriptive, prescriptive) split at the first prescriptive
     heading; the leading descriptive heading is stripped."""
     parts = F.split(col_(c), S.PRESCRIPTIVE_SPLIT, 2)
-    desc = F.trim(F.regexp_replace(F.trim(parts.getItem(0)), S.DESCRIPTIVE_HEAD, ""))
-    pres = F.when(F.size(parts) > 1, F.trim(parts.getItem(1))).otherwise(F.lit(""))
+    desc = strip_(F.regexp_replace(strip_(parts.getItem(0)), S.DESCRIPTIVE_HEAD, ""))
+    pres = F.when(F.size(parts) > 1, strip_(parts.getItem(1))).otherwise(F.lit(""))
     return F.struct(desc.alias("descriptive"), pres.alias("prescriptive"))
 
 

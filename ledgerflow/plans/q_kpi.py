@@ -151,7 +151,7 @@ def _compare_sql() -> str:
     def pct(c):
         ch = f"((CAST(c.{c} AS DOUBLE) - CAST(p.{c} AS DOUBLE)) / CAST(p.{c} AS DOUBLE) * 100.0)"
         label = (f"CASE WHEN CAST(p.{c} AS DOUBLE) = 0 THEN (CASE WHEN CAST(c.{c} AS DOUBLE) = 0 THEN '-' ELSE '+100%' END) "
-                 f"WHEN abs({ch}) < 0.05 THEN '0%' ELSE printf('%+.1f%%', {ch}) END")
+                 f"WHEN abs({ch}) < 0.05 THEN '0%' ELSE printf('%+.1f%%', round_even({ch}, 1)) END")
         up = (f"CASE WHEN CAST(p.{c} AS DOUBLE) = 0 THEN CAST(c.{c} AS DOUBLE) >= 0 "
               f"WHEN abs({ch}) < 0.05 THEN TRUE ELSE {ch} >= 0 END")
         return label, up
