@@ -165,7 +165,7 @@ WITH t AS (SELECT event_id, {EVENT_TEXT} AS raw FROM events)
 SELECT event_id, raw, COALESCE(TRY_CAST(raw AS DOUBLE), 0.0) AS as_number,
        COALESCE(TRY_CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS BIGINT), 0) AS as_int,
        CAST(event_id AS VARCHAR) AS id_text,
-       CASE WHEN regexp_matches(raw, '^\s*[+-]?[0-9]+\s*$') THEN TRY_CAST(raw AS INTEGER) END AS try_int
+       CASE WHEN regexp_matches(raw, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(raw AS INTEGER) END AS try_int
 FROM t""")
 def q_scalar_safe_numbers(v):
     """C11 number-or-default parsing, C13 casts."""
