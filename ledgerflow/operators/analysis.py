@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerflow import semantics as S
 from ledgerflow.functions.scalars import ratio
 from ledgerflow.operators.filters import status_is
-from ledgerflow.operators.joins import full_outer_drivers, with_vendor
+from ledgerflow.operators.joins import full_outer_drivers, names_of, with_vendor
 from ledgerflow.operators.windows import period_change, topn_share
 
 
@@ -41,17 +41,17 @@ def monthly_spend(inv: DataFrame, as_of: _dt.date, months: int = 12) -> DataFram
             .orderBy(F.col("month").desc()))
 
 
-def _ytd_vendor_rows(inv: DataFrame, ven: DataFrame, as_of: _dt.date) -> DataFrame:
-    f = _spend_rows(inv).filter(F.col("posting_date") >= F.lit(_dt.date(as_of.year, 1, 1)))
-    return with_vendor(f, ven)
+def _ytd_rows(inv: DataFrame, as_of: _dt.date) -> DataFrame:
+    return _spend_rows(inv).filter(F.col("posting_date") >= F.lit(_dt.date(as_of.year, 1, 1)))
 
 
 def top_vendors_ytd(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
                     k: int = S.TOP_VENDORS) -> DataFrame:
     """A29 calendar-YTD spend by vendor (grouped by the raw name, shown as
-    'Unknown' when null), excluding cancelled / rejected; top k."""
-    agg = (_ytd_vendor_rows(inv, ven, as_of).groupBy("vendor_name")
-           .agg(F.sum(_amount()).alias("_spend")))
+    'Unknown' when null), excluding cancelled / rejected; top k. Summed per
+    vendor_id before the dimension join."""
+    per_id = _ytd_rows(inv, as_of).groupBy("vendor_id").agg(F.sum(_amount()).alias("_s"))
+    agg = names_of(per_id, ven).groupBy("vendor_name").agg(F.sum("_s").alias("_spend"))
     return (agg.orderBy(F.col("_spend").desc(), F.col("vendor_name").asc_nulls_last()).limit(k)
             .select(F.coalesce("vendor_name", F.lit("Unknown")).alias("vendor_name"),
                     F.col("_spend").cast("double").alias("spend")))
@@ -68,10 +68,12 @@ def spending_headline(monthly: DataFrame, vendors: DataFrame) -> DataFrame:
 
 def vendor_analysis(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
                     k: int = S.TOP_VENDORS) -> DataFrame:
-    """A31 A29 plus distinct invoice count."""
-    agg = (_ytd_vendor_rows(inv, ven, as_of).groupBy("vendor_name")
-           .agg(F.sum(_amount()).alias("_spend"),
-                F.count_distinct("invoice_number").alias("invoice_count")))
+    """A31 A29 plus distinct invoice count (pre-aggregated per vendor id and
+    invoice number, so only distinct pairs reach the dimension join)."""
+    pairs = (_ytd_rows(inv, as_of).groupBy("vendor_id", "invoice_number")
+             .agg(F.sum(_amount()).alias("_s")))
+    agg = (names_of(pairs, ven).groupBy("vendor_name")
+           .agg(F.sum("_s").alias("_spend"), F.count_distinct("invoice_number").alias("invoice_count")))
     return (agg.orderBy(F.col("_spend").desc(), F.col("vendor_name").asc_nulls_last()).limit(k)
             .select(F.coalesce("vendor_name", F.lit("Unknown")).alias("vendor_name"),
                     F.col("_spend").cast("double").alias("total_spend"), "invoice_count"))
@@ -168,12 +170,14 @@ def mom_drivers(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
     m = F.trunc("posting_date", "MM")
     f = (_spend_rows(inv).crossJoin(anchor)
          .filter((m == F.col("anchor_month")) | (m == F.add_months(F.col("anchor_month"), -1))))
-    j = with_vendor(f, ven)
-    driver = F.coalesce(F.col("vendor_name"), F.lit("Unknown"))
     is_this = m == F.col("anchor_month")
-    agg = (j.groupBy(driver.alias("driver"))
-           .agg(F.coalesce(F.sum(F.when(is_this, _amount())), F.lit(0)).alias("_t"),
-                F.coalesce(F.sum(F.when(~is_this, _amount())), F.lit(0)).alias("_l")))
+    per_id = (f.groupBy("vendor_id")
+              .agg(F.sum(F.when(is_this, _amount())).alias("_t0"),
+                   F.sum(F.when(~is_this, _amount())).alias("_l0")))
+    driver = F.coalesce(F.col("vendor_name"), F.lit("Unknown"))
+    agg = (names_of(per_id, ven).groupBy(driver.alias("driver"))
+           .agg(F.coalesce(F.sum("_t0"), F.lit(0)).alias("_t"),
+                F.coalesce(F.sum("_l0"), F.lit(0)).alias("_l")))
     return _top_changes(agg.select("driver", F.col("_t").alias("this_month_spend"),
                                    F.col("_l").alias("last_month_spend"),
                                    (F.col("_t") - F.col("_l")).alias("spend_change")), k)

@@ -16,7 +16,7 @@ from ledgerflow import semantics as S
 from ledgerflow.functions.scalars import status_group
 from ledgerflow.operators.filters import (date_range, due_within, status_is,
                                           vendor_match)
-from ledgerflow.operators.joins import with_vendor
+from ledgerflow.operators.joins import names_of, with_vendor
 
 
 def status_distribution(inv: DataFrame, start, end) -> DataFrame:
@@ -40,13 +40,21 @@ def share_of_total(df: DataFrame, value: str, out: str = "percentage",
             .drop("_total"))
 
 
+def spend_per_vendor(inv: DataFrame, ven: DataFrame, start, end,
+                     vendor: str | None = None) -> DataFrame:
+    """Window spend per vendor name ('Unknown' when unmatched), cancelled
+    included: summed per vendor_id first, then joined to the dimension."""
+    per_id = (date_range(inv, start, end).groupBy("vendor_id")
+              .agg(F.sum(F.coalesce(F.col("invoice_amount_local"), F.lit(0))).alias("_s")))
+    j = names_of(per_id, ven, vendor)
+    return (j.groupBy(F.coalesce(F.col("vendor_name"), F.lit("Unknown")).alias("vendor_name"))
+            .agg(F.sum("_s").alias("spend")))
+
+
 def top_vendors_spend(inv: DataFrame, ven: DataFrame, start, end, vendor: str | None = None,
                       k: int = S.TOP_VENDORS) -> DataFrame:
-    """A13 spend by vendor name ('Unknown' when unmatched), cancelled
-    included, top k by spend (ties by name, R11)."""
-    j = with_vendor(date_range(inv, start, end), ven, vendor=vendor)
-    agg = (j.groupBy(F.coalesce(F.col("vendor_name"), F.lit("Unknown")).alias("vendor_name"))
-           .agg(F.sum(F.coalesce(F.col("invoice_amount_local"), F.lit(0))).alias("spend")))
+    """A13 spend by vendor name, top k by spend (ties by name, R11)."""
+    agg = spend_per_vendor(inv, ven, start, end, vendor)
     return (agg.orderBy(F.col("spend").desc(), F.col("vendor_name").asc()).limit(k)
             .select("vendor_name", F.col("spend").cast("double").alias("spend")))
 
@@ -78,7 +86,7 @@ def vendor_list(inv: DataFrame, ven: DataFrame, start, end,
                 include_all: bool = True) -> DataFrame:
     """A40 distinct vendor names with invoices in the window, sorted; the
     'All Vendors' choice heads the list (sort_key 0)."""
-    j = with_vendor(date_range(inv, start, end).select("vendor_id"), ven)
+    j = names_of(date_range(inv, start, end).select("vendor_id").distinct(), ven)
     names = (j.filter(F.col("vendor_name").isNotNull()).select("vendor_name").distinct()
              .withColumn("sort_key", F.lit(1)))
     if include_all:
@@ -149,9 +157,7 @@ def chart_pack(status: DataFrame, vendors: DataFrame, trend: DataFrame) -> DataF
 def spend_by_vendor_decimal(inv: DataFrame, ven: DataFrame, start, end,
                             vendor: str | None = None, k: int = S.TOP_VENDORS) -> DataFrame:
     """A13 with the spend kept as an exact decimal (input to A43's text form)."""
-    j = with_vendor(date_range(inv, start, end), ven, vendor=vendor)
-    agg = (j.groupBy(F.coalesce(F.col("vendor_name"), F.lit("Unknown")).alias("vendor_name"))
-           .agg(F.sum(F.coalesce(F.col("invoice_amount_local"), F.lit(0))).alias("spend")))
+    agg = spend_per_vendor(inv, ven, start, end, vendor)
     return agg.orderBy(F.col("spend").desc(), F.col("vendor_name").asc()).limit(k)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerflow import semantics as S
 from ledgerflow.functions.scalars import ratio, ym_label
 from ledgerflow.operators.filters import status_is
-from ledgerflow.operators.joins import latest_pair, with_vendor
+from ledgerflow.operators.joins import latest_pair, names_of, with_vendor
 from ledgerflow.operators.setops import union_total_row
 
 
@@ -225,11 +225,11 @@ def grir_vendor_followup(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
     count, sum, mean age in days; top k by amount."""
     a = _as_of(as_of)
     base = inv.filter(status_is(S.OPEN) & F.col("purchase_order_reference").isNotNull())
-    j = with_vendor(base, ven)
-    agg = (j.groupBy("vendor_name")
-           .agg(F.count(F.lit(1)).alias("grir_count"),
-                F.sum("invoice_amount_local").alias("_amt"),
-                F.sum(F.datediff(a, F.col("posting_date"))).alias("_age")))
+    per_id = (base.groupBy("vendor_id")
+              .agg(F.count(F.lit(1)).alias("_n"), F.sum("invoice_amount_local").alias("_a"),
+                   F.sum(F.datediff(a, F.col("posting_date"))).alias("_g")))
+    agg = (names_of(per_id, ven).groupBy("vendor_name")
+           .agg(F.sum("_n").alias("grir_count"), F.sum("_a").alias("_amt"), F.sum("_g").alias("_age")))
     return (agg.orderBy(F.col("_amt").desc_nulls_last(), F.col("vendor_name").asc_nulls_last())
             .limit(k)
             .select("vendor_name", "grir_count", F.col("_amt").cast("double").alias("total_amount"),

@@ -29,6 +29,20 @@ def with_vendor(inv: DataFrame, ven: DataFrame, vendor: str | None = None,
     return inv.join(v.filter(vendor_match(vendor)), "vendor_id", "inner")
 
 
+def selected_vendors(ven: DataFrame, vendor: str) -> DataFrame:
+    """Vendor ids whose name matches the filter (case-insensitive), with the
+    name as ``_sel_name``; usually one row, so AQE broadcasts it."""
+    return ven.filter(vendor_match(vendor)).select("vendor_id", F.col("vendor_name").alias("_sel_name"))
+
+
+def names_of(per_vendor: DataFrame, ven: DataFrame, vendor: str | None = None) -> DataFrame:
+    """Attach vendor names to a frame already aggregated per ``vendor_id``
+    (aggregate first, then join: the dimension join sees one row per vendor
+    instead of one per invoice, and a hot vendor cannot skew it). The vendor
+    dimension is keyed by vendor_id. With ``vendor`` only matching rows stay."""
+    return with_vendor(per_vendor, ven, vendor=vendor)
+
+
 def with_company_plant(inv: DataFrame, company: DataFrame, plant: DataFrame) -> DataFrame:
     """J3 fact LEFT JOIN company LEFT JOIN plant. Company/plant codes are
     region/nation sized (fixed bound), so both are broadcast."""

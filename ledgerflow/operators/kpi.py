@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from ledgerflow import semantics as S
 from ledgerflow.functions.scalars import pct_delta, ratio
-from ledgerflow.operators.filters import (prior_window, status_is, vendor_match,
-                                          year_month_between)
-from ledgerflow.operators.joins import cross_scalars, with_vendor
+from ledgerflow.operators.filters import prior_window, status_is, year_month_between
+from ledgerflow.operators.joins import cross_scalars, names_of, selected_vendors
 
 KPI_COLUMNS = ("total_spend", "active_pos", "total_pos", "pending_inv", "active_vendors",
                "avg_processing_days", "first_pass_rate", "auto_rate")
@@ -65,28 +64,39 @@ def kpi_active_vendors(inv: DataFrame = None) -> Column:
 
 
 def fact_kpis(inv: DataFrame, ven: DataFrame, start, end, vendor: str | None = None) -> DataFrame:
-    """A1-A5 plus the A7 fallback inputs from one scan of fact LEFT JOIN vendor."""
-    in_range = _in_range(start, end)
-    base = with_vendor(inv.filter(in_range), ven)
-    sel = vendor_match(vendor)
-    if vendor is not None:
-        sel = F.coalesce(sel, F.lit(False))
+    """A1-A5 plus the A7 fallback inputs from one scan of the fact.
+
+    Without a vendor filter the fact is not joined to the vendor dimension
+    at all: A5 counts names over the distinct vendor ids of the window
+    (aggregate first, then join). With a filter, the matching vendor ids
+    (a tiny frame AQE broadcasts) are left-joined as a flag, so the same scan
+    still serves the unfiltered A7 fallback."""
+    f = inv.filter(_in_range(start, end))
+    if vendor is None:
+        base, sel = f, F.lit(True)
+    else:
+        base = f.join(selected_vendors(ven, vendor), "vendor_id", "left")
+        sel = F.col("_sel_name").isNotNull()
 
     def only(c: Column) -> Column:
         return F.when(sel, c)
 
     cleared = status_is(*S.CLEARED) & F.col("payment_date").isNotNull()
     fb_days = F.when(cleared, F.datediff("payment_date", "posting_date"))
-    return base.agg(
+    aggs = [
         F.coalesce(F.sum(only(spend_amount())), F.lit(0)).cast("double").alias("total_spend"),
         F.count_distinct(only(F.when(status_is(S.OPEN), F.col("purchase_order_reference"))))
         .alias("active_pos"),
         F.count_distinct(only(F.col("purchase_order_reference"))).alias("total_pos"),
         F.count_distinct(only(F.when(status_is(S.OPEN), F.col("invoice_number"))))
         .alias("pending_inv"),
-        F.count_distinct(only(F.col("vendor_name"))).alias("active_vendors"),
         F.sum(fb_days).alias("_fb_days"),
-        F.count(fb_days).alias("_fb_n"))
+        F.count(fb_days).alias("_fb_n")]
+    if vendor is not None:
+        return base.agg(*aggs, F.count_distinct("_sel_name").alias("active_vendors"))
+    names = names_of(f.select("vendor_id").distinct(), ven).agg(
+        F.count_distinct("vendor_name").alias("active_vendors"))
+    return base.agg(*aggs).crossJoin(names)
 
 
 def kpi_cycle_days(cycle: DataFrame, start, end) -> DataFrame:

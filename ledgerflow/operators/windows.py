@@ -86,7 +86,22 @@ def paginate(df: DataFrame, page: int, size: int, order: list) -> DataFrame:
 
 def running_hit_count(writes: DataFrame, key: str = "query_hash", ts: str = "created_at",
                       tie: str | None = None) -> DataFrame:
-    """W8 per key, hits accumulated over re-writes: the n-th write has n-1 hits."""
-    order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return writes.withColumn("hit_count", F.count(F.lit(1)).over(w) - 1)
+    """W8 per key, hits accumulated over re-writes: the n-th write (in
+    ``ts``, ``tie`` order) has n-1 hits.
+
+    Skew-safe: rows are range-partitioned on (key, ts, tie), so one key's
+    writes may span several partitions in order; each (key, partition)
+    slice is numbered on its own, and the slice's offset is the number of
+    earlier rows of the key in lower partitions (a small per-(key,
+    partition) count table). No key is ever gathered into one task."""
+    order = [ts] + ([tie] if tie else [])
+    n = int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = writes.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy(key, "_part").orderBy(*[F.col(c) for c in order])
+    local = ranged.withColumn("_rn", F.row_number().over(w))
+    sizes = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
+    return (local.join(offsets, [key, "_part"])
+            .withColumn("hit_count", F.col("_off") + F.col("_rn") - 1)
+            .drop("_part", "_rn", "_off"))

@@ -78,8 +78,9 @@ WHERE f.posting_date {RANGE}""")
 def q_kpi_total_spend(v):
     """A1 total spend in the window (minimum end-to-end slice)."""
     from ledgerflow.operators.filters import date_range
-    from ledgerflow.operators.joins import with_vendor
-    return with_vendor(date_range(v.invoice, START, END), v.vendor).agg(kpi.kpi_total_spend(None))
+    # the vendor LEFT JOIN cannot change a sum over a keyed dimension, so the
+    # spend is summed over the fact alone
+    return date_range(v.invoice, START, END).agg(kpi.kpi_total_spend(None))
 
 
 @register("kpi_distinct_counts", "A2-A5", f"""
@@ -91,10 +92,8 @@ FROM v_invoice f LEFT JOIN v_vendor v ON f.vendor_id = v.vendor_id
 WHERE f.posting_date {RANGE}""")
 def q_kpi_distinct_counts(v):
     """A2-A5 distinct counts in the window."""
-    from ledgerflow.operators.filters import date_range
-    from ledgerflow.operators.joins import with_vendor
-    return with_vendor(date_range(v.invoice, START, END), v.vendor).agg(
-        kpi.kpi_active_pos(), kpi.kpi_total_pos(), kpi.kpi_pending_inv(), kpi.kpi_active_vendors())
+    return kpi.fact_kpis(v.invoice, v.vendor, START, END).select(
+        "active_pos", "total_pos", "pending_inv", "active_vendors")
 
 
 @register("kpi_cycle_days", "A6+F6", f"""
