@@ -52,7 +52,7 @@ SELECT fa.total_spend, fa.active_pos, fa.total_pos, fa.pending_inv, fa.active_ve
 FROM fact_agg fa CROSS JOIN cycle_agg ca CROSS JOIN fp_agg fp CROSS JOIN auto_agg aa CROSS JOIN fb"""
 
 
-@register("kpi_summary", "A10", kpi_sql(START, END))
+@register("kpi_summary", "A10+J5", kpi_sql(START, END))
 def q_kpi_summary(v):
     """A10 flagship: KPI row for the YTD window, all vendors."""
     return kpi.kpi_summary(v, START, END)

@@ -65,4 +65,4 @@ def load_all() -> dict[str, Entry]:
 
 
 QUERY_MODULES = ("q_kpi", "q_dashboard", "q_forecast", "q_analysis", "q_invoices",
-                 "q_vault", "q_state", "q_scalars")
+                 "q_vault", "q_state", "q_scalars", "q_sinks")
