@@ -163,14 +163,18 @@ def latest_month_anchor(inv: DataFrame, as_of: _dt.date) -> DataFrame:
 def mom_drivers(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
                 k: int = S.TOP_DRIVERS) -> DataFrame:
     """A39 vendor spend in the anchor month vs the month before; top k by
-    absolute change. One scan and one shuffle: the one-row anchor is
-    broadcast (fixed size) and both months are conditional sums per driver,
-    which equals the reference's FULL OUTER JOIN of two aggregates."""
-    anchor = F.broadcast(latest_month_anchor(inv, as_of))
+    absolute change.
+
+    The anchor month is a scalar subquery: Spark evaluates it once before
+    the scan and pushes ``posting_date >= anchor - 1 month`` into the parquet
+    reader (row groups outside the two months are skipped), with no driver
+    round trip. Both months are conditional sums per vendor id, then per
+    driver name, which equals the reference's FULL OUTER JOIN of two
+    aggregates."""
+    anchor = latest_month_anchor(inv, as_of).scalar()
     m = F.trunc("posting_date", "MM")
-    f = (_spend_rows(inv).crossJoin(anchor)
-         .filter((m == F.col("anchor_month")) | (m == F.add_months(F.col("anchor_month"), -1))))
-    is_this = m == F.col("anchor_month")
+    f = _spend_rows(inv).filter(F.col("posting_date") >= F.add_months(anchor, -1))
+    is_this = m == anchor
     per_id = (f.groupBy("vendor_id")
               .agg(F.sum(F.when(is_this, _amount())).alias("_t0"),
                    F.sum(F.when(~is_this, _amount())).alias("_l0")))
@@ -186,16 +190,17 @@ def mom_drivers(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
 def mom_drivers_full_join(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
                           k: int = S.TOP_DRIVERS) -> DataFrame:
     """A39 literal form: two monthly aggregates FULL OUTER JOINed (J6)."""
-    anchor = F.broadcast(latest_month_anchor(inv, as_of))
+    anchor = latest_month_anchor(inv, as_of).scalar()
     m = F.trunc("posting_date", "MM")
-    j = with_vendor(_spend_rows(inv).crossJoin(anchor), ven)
+    f = _spend_rows(inv).filter(F.col("posting_date") >= F.add_months(anchor, -1))
     driver = F.coalesce(F.col("vendor_name"), F.lit("Unknown")).alias("driver")
 
     def month(cond):
-        return j.filter(cond).groupBy(driver).agg(F.sum(_amount()).alias("spend"))
+        per_id = f.filter(cond).groupBy("vendor_id").agg(F.sum(_amount()).alias("_s"))
+        return names_of(per_id, ven).groupBy(driver).agg(F.sum("_s").alias("spend"))
 
-    this_m = month(m == F.col("anchor_month"))
-    last_m = month(m == F.add_months(F.col("anchor_month"), -1))
+    this_m = month(m == anchor)
+    last_m = month(m == F.add_months(anchor, -1))
     return _top_changes(full_outer_drivers(this_m, last_m), k)
 
 

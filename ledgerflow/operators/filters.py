@@ -72,7 +72,10 @@ def year_month_between(start: _dt.date, end: _dt.date, year: str = "year",
     lo, hi = start.year * 100 + start.month, end.year * 100 + end.month
     if lo > hi:
         return F.lit(False)
-    return (F.col(year) * 100 + F.col(month)).between(lo, hi)
+    # the plain year bound is pushable into the scan (and prunes year
+    # partitions); the yyyymm range is exact
+    return (F.col(year).between(start.year, end.year)
+            & (F.col(year) * 100 + F.col(month)).between(lo, hi))
 
 
 def year_month_filter(df: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
