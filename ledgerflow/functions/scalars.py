@@ -212,7 +212,7 @@ def role_label(c) -> Column:
 
 def age_label(ts, now) -> Column:
     """C18 '<h>h ago' under 24 h, else '<d>d ago' (whole hours, truncated)."""
-    micros = F.unix_micros(col_(now).cast("timestamp")) - F.unix_micros(col_(ts).cast("timestamp"))
+    micros = F.timestamp_diff("MICROSECOND", col_(ts), col_(now))
     hours = F.floor(micros / 3600000000).cast("bigint")
     return F.when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))) \
         .otherwise(F.concat(F.floor(hours / 24).cast("bigint").cast("string"), F.lit("d ago")))

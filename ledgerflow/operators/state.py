@@ -21,9 +21,10 @@ def _ts(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp_ntz")
 
 
-def _micros(c: Column) -> Column:
-    """Epoch microseconds of a zone-less timestamp (exact integer arithmetic)."""
-    return F.unix_micros(c.cast("timestamp"))
+def age_micros(start: Column, end: Column) -> Column:
+    """Microseconds from ``start`` to ``end`` (zone-less timestamps), exact and
+    independent of the session time zone."""
+    return F.timestamp_diff("MICROSECOND", start, end)
 
 
 def newest_per_key(changes: DataFrame, keys: list[str], order: list[str],
@@ -91,7 +92,7 @@ def memory_state(changes: DataFrame, state: DataFrame | None = None) -> DataFram
 def ttl_live(cache: DataFrame, as_of_ts, default_ttl: int = S.DEFAULT_TTL_SECONDS) -> DataFrame:
     """M2 entries whose age (as_of - created_at) is at most their ttl
     (default when null); integer microseconds, so the boundary is exact."""
-    age = _micros(_ts(as_of_ts)) - _micros(F.col("created_at"))
+    age = age_micros(F.col("created_at"), _ts(as_of_ts))
     ttl = F.coalesce(F.col("ttl_seconds"), F.lit(default_ttl)).cast("bigint") * 1_000_000
     return cache.filter(age <= ttl)
 
@@ -227,7 +228,7 @@ def short_term_context(messages: DataFrame, max_turns: int) -> DataFrame:
 # -- A44-A46 question log and cache statistics ---------------------------------------
 def cache_stats(cache: DataFrame, as_of_ts) -> DataFrame:
     """A44 per cache type: entries, total and mean hits (1 dp), expired count."""
-    age = _micros(_ts(as_of_ts)) - _micros(F.col("created_at"))
+    age = age_micros(F.col("created_at"), _ts(as_of_ts))
     expired = age > F.col("ttl_seconds").cast("bigint") * 1_000_000
     return (cache.groupBy(F.col("cache_type").alias("type"))
             .agg(F.count(F.lit(1)).alias("entries"),

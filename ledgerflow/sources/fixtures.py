@@ -64,7 +64,8 @@ def materialized_view(spark: SparkSession, root: str, as_of: _dt.date, name: str
         tmp = f"{base}/.{name}-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(tmp)
         fs.mkdirs(jvm.org.apache.hadoop.fs.Path(base))
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), tpath):
+        # a rename onto an existing folder would move the temp folder inside it
+        if fs.exists(tpath) or not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), tpath):
             fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)   # another job published first
             if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
                 raise RuntimeError(f"could not publish view {name} at {target}")
