@@ -127,23 +127,85 @@ def kpi_auto_rate(history: DataFrame, start, end) -> DataFrame:
                  .cast("bigint").alias("auto_processed"))
 
 
-def kpi_summary(v, start: _dt.date, end: _dt.date, vendor: str | None = None) -> DataFrame:
-    """A10 the dashboard KPI row (flagship). ``v`` is a fixture ``Views``."""
-    fact = fact_kpis(v.invoice, v.vendor, start, end, vendor)
-    cyc = kpi_cycle_days(v.payment_cycle, start, end)
-    fp = kpi_first_pass(v.full_payment, start, end)
-    auto = kpi_auto_rate(v.status_history, start, end)
-    row = cross_scalars(fact, cyc, fp, auto)
+def _tagged(df: DataFrame, windows, member) -> DataFrame:
+    """Each row once per window it belongs to (``member(start, end)`` is the
+    membership test), as column ``tag``. Disjoint windows never duplicate a
+    row; overlapping ones duplicate only the shared rows."""
+    tags = F.array(*[F.when(member(s, e), F.lit(t)) for t, s, e in windows])
+    return df.withColumn("tag", F.explode(F.filter(tags, lambda x: x.isNotNull())))
+
+
+def kpi_multi(v, windows, vendor: str | None = None) -> DataFrame:
+    """A10 for several windows at once: one row per (tag, start, end), from a
+    single scan of the fact over the union of the windows. ``windows`` is a
+    list of (tag, start, end)."""
+    spark = v.spark
+    lo = min(s for _, s, _ in windows)
+    hi = max(e for _, _, e in windows)
+    f = _tagged(v.invoice.filter(_in_range(lo, hi)), windows, lambda s, e: _in_range(s, e))
+    if vendor is None:
+        base, sel = f, F.lit(True)
+    else:
+        base = f.join(selected_vendors(v.vendor, vendor), "vendor_id", "left")
+        sel = F.col("_sel_name").isNotNull()
+
+    def only(c: Column) -> Column:
+        return F.when(sel, c)
+
+    cleared = status_is(*S.CLEARED) & F.col("payment_date").isNotNull()
+    fb_days = F.when(cleared, F.datediff("payment_date", "posting_date"))
+    aggs = [
+        F.sum(only(spend_amount())).alias("_spend"),
+        F.count_distinct(only(F.when(status_is(S.OPEN), F.col("purchase_order_reference"))))
+        .alias("active_pos"),
+        F.count_distinct(only(F.col("purchase_order_reference"))).alias("total_pos"),
+        F.count_distinct(only(F.when(status_is(S.OPEN), F.col("invoice_number")))).alias("pending_inv"),
+        F.sum(fb_days).alias("_fb_days"),
+        F.count(fb_days).alias("_fb_n")]
+    if vendor is not None:
+        fact = base.groupBy("tag").agg(*aggs, F.count_distinct("_sel_name").alias("active_vendors"))
+    else:
+        names = (names_of(f.select("tag", "vendor_id").distinct(), v.vendor)
+                 .groupBy("tag").agg(F.count_distinct("vendor_name").alias("active_vendors")))
+        fact = base.groupBy("tag").agg(*aggs).join(names, "tag", "left")
+
+    def ym(s, e):
+        return year_month_between(s, e)
+
+    cyc = (_tagged(v.payment_cycle, windows, ym).groupBy("tag")
+           .agg(F.avg(F.col("avg_payment_cycle_time_days").cast("double")).alias("avg_days")))
+    fp = (_tagged(v.full_payment, windows, ym).groupBy("tag")
+          .agg(F.sum(F.col("full_paid_invoices").cast("bigint")).alias("fp_full_paid"),
+               F.sum(F.col("total_cleared_invoices").cast("bigint")).alias("fp_total_cleared")))
+    h = v.status_history.filter(_in_range(lo, hi) & status_is(*S.CLEARED, col="status"))
+    auto = (_tagged(h, windows, lambda s, e: _in_range(s, e)).groupBy("tag")
+            .agg(F.count(F.lit(1)).alias("auto_total"),
+                 F.sum(F.when(F.upper("status_notes") == S.AUTO_PROCESSED_NOTE, 1).otherwise(0))
+                 .cast("bigint").alias("auto_processed")))
+    # every window yields a row, also when it has no data (the tag list is
+    # the caller's few windows: a fixed, tiny frame)
+    tags = spark.createDataFrame([(t,) for t, _, _ in windows], "tag string")
+    row = (tags.join(F.broadcast(fact), "tag", "left").join(F.broadcast(cyc), "tag", "left")
+           .join(F.broadcast(fp), "tag", "left").join(F.broadcast(auto), "tag", "left"))
     a6 = F.col("avg_days")
     a7 = F.col("_fb_days").cast("double") / F.col("_fb_n")
     avg_days = F.when(F.coalesce(a6, F.lit(0.0)) == 0.0, F.coalesce(a7, F.lit(0.0))).otherwise(a6)
+    zero = F.lit(0).cast("bigint")
     return row.select(
-        "total_spend", "active_pos", "total_pos", "pending_inv", "active_vendors",
+        "tag",
+        F.coalesce(F.col("_spend"), F.lit(0)).cast("double").alias("total_spend"),
+        *[F.coalesce(F.col(c), zero).alias(c)
+          for c in ("active_pos", "total_pos", "pending_inv", "active_vendors")],
         F.round(avg_days, 6).alias("avg_processing_days"),
         ratio("fp_full_paid", "fp_total_cleared", 100.0).alias("first_pass_rate"),
         ratio("auto_processed", "auto_total", 100.0).alias("auto_rate"))
 
 
+def kpi_summary(v, start: _dt.date, end: _dt.date, vendor: str | None = None) -> DataFrame:
+    """A10 the dashboard KPI row (flagship). ``v`` is a fixture ``Views``."""
+    return kpi_multi(v, [("cur", start, end)], vendor).drop("tag")
+
+
 def kpi_compare(v, start: _dt.date, end: _dt.date, vendor: str | None = None) -> DataFrame:
     """A11 current and prior-window KPIs side by side with deltas.
 
@@ -151,10 +213,11 @@ def kpi_compare(v, start: _dt.date, end: _dt.date, vendor: str | None = None) ->
     deltas for days (lower is better) and first-pass points; the auto rate has
     no prior comparison and its delta is the rate itself."""
     p_start, p_end = prior_window(start, end)
-    cur = kpi_summary(v, start, end, vendor)
-    prev = kpi_summary(v, p_start, p_end, vendor).select(
-        *[F.col(c).alias(f"prev_{c}") for c in KPI_COLUMNS])
-    j = cur.crossJoin(prev)
+    both = kpi_multi(v, [("cur", start, end), ("prev", p_start, p_end)], vendor)
+    # two rows -> one: a global aggregate over the two-row frame
+    j = both.agg(*[F.max(F.when(F.col("tag") == "cur", F.col(c))).alias(c) for c in KPI_COLUMNS],
+                 *[F.max(F.when(F.col("tag") == "prev", F.col(c))).alias(f"prev_{c}")
+                   for c in KPI_COLUMNS])
     out = [F.col(c) for c in KPI_COLUMNS] + [F.col(f"prev_{c}") for c in KPI_COLUMNS]
     for name, c in (("spend", "total_spend"), ("active_pos", "active_pos"),
                     ("total_pos", "total_pos"), ("vendors", "active_vendors"),
