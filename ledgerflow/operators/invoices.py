@@ -67,7 +67,10 @@ def mark_paid(history: DataFrame, to_pay: DataFrame, as_of: _dt.date,
         "invoice_number", F.lit(9).alias("sequence_nbr"), F.lit("PAID").alias("status"),
         F.lit(as_of).cast("date").alias("effective_date"), F.lit(note).alias("status_notes"))
     base = history.select(*HISTORY_COLS)
-    return append_if_absent(base, new, ["invoice_number", "status", "status_notes"])
+    # every new row is (PAID, note): only history rows with those values can
+    # match, and the two literal predicates are pushed into the scan
+    probe = base.filter((F.col("status") == "PAID") & (F.col("status_notes") == note))
+    return append_if_absent(base, new, ["invoice_number", "status", "status_notes"], probe)
 
 
 def invoice_360(inv: DataFrame, ven: DataFrame, company: DataFrame, plant: DataFrame,

@@ -58,9 +58,14 @@ def dedupe_by_key(df: DataFrame, key, priority: list[str]) -> DataFrame:
             .select(*keys, *[F.col(f"_r.{c}") for c in rest]))
 
 
-def append_if_absent(history: DataFrame, new_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """U7 history UNION ALL the new rows that have no match on ``keys``."""
-    return history.unionByName(new_rows.join(history.select(*keys).distinct(), keys, "left_anti"))
+def append_if_absent(history: DataFrame, new_rows: DataFrame, keys: list[str],
+                     probe: DataFrame | None = None) -> DataFrame:
+    """U7 history UNION ALL the new rows that have no match on ``keys``.
+    ``probe`` (default: the history) is what the new rows are checked
+    against; pass a filtered history when the new rows' keys are known to
+    share constant values, so the anti join never shuffles the whole table."""
+    p = (history if probe is None else probe).select(*keys)
+    return history.unionByName(new_rows.join(p, keys, "left_anti"))
 
 
 def column_coverage_diff(required: DataFrame, covered: DataFrame,

@@ -56,11 +56,11 @@ def materialized_view(spark: SparkSession, root: str, as_of: _dt.date, name: str
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
         df = build()
         if cluster_by:
-            # balanced files (round-robin, so no hot key skews the write),
-            # each sorted on the filter column: parquet row-group min/max
-            # statistics then skip rows outside a date range
-            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartition(n).sortWithinPartitions(cluster_by)
+            # REBALANCE lets AQE size the output files from the data (split
+            # skewed, merge small partitions); each file is sorted on the
+            # filter column so parquet row-group min/max statistics skip rows
+            # outside a date range
+            df = df.hint("rebalance").sortWithinPartitions(cluster_by)
         tmp = f"{base}/.{name}-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(tmp)
         fs.mkdirs(jvm.org.apache.hadoop.fs.Path(base))
