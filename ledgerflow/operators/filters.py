@@ -162,7 +162,26 @@ def invoice_search(inv: DataFrame, ven: DataFrame, as_of: _dt.date, number=None,
         else:
             preds.append(F.upper(F.col("invoice_status")) == F.upper(F.lit(status)))
     base = inv.filter(reduce(lambda a, b: a & b, preds)) if preds else inv
+    # Exact bound before the DISTINCT: every distinct posting date holds at
+    # least one distinct result row, so the first ``limit`` rows (newest
+    # first) all lie on or after the ``limit``-th newest distinct date. That
+    # date comes from a tiny aggregate and is applied as a scalar subquery,
+    # which Spark pushes into the parquet scan; the DISTINCT then only sees
+    # those dates instead of the whole history. (A left join to a keyed
+    # dimension keeps every fact row, so without a vendor filter the dates
+    # can be taken from the fact itself.)
     j = with_vendor(base, ven, vendor=vendor)
+    dated = base if vendor is None else j
+    dates = dated.filter(F.col("posting_date").isNotNull()).select("posting_date").distinct()
+    newest = dates.orderBy(F.col("posting_date").desc()).limit(limit)
+    bounds = newest.agg(F.min("posting_date").alias("d"), F.count(F.lit(1)).alias("n"))
+    bound = bounds.select("d").scalar()
+    enough = bounds.select(F.col("n") >= limit).scalar()
+    src = base if vendor is None else j
+    # two branches so each predicate is pushable on its own (an OR is not)
+    kept = (src.filter(F.col("posting_date") >= bound)
+            .unionByName(src.filter(F.col("posting_date").isNull() & ~enough)))
+    j = with_vendor(kept, ven, vendor=vendor) if vendor is None else kept
     out = j.select("invoice_number", "vendor_name", "posting_date", "due_date",
                    F.col("invoice_amount_local").cast("double").alias("invoice_amount"),
                    F.col("purchase_order_reference").alias("po_number"),

@@ -159,3 +159,35 @@ def test_detail_aging_never_negative(spark):
     df = spark.createDataFrame([(dt.date(2000, 7, 5), 3), (None, 12), (None, None)], "due date, aging int")
     got = [r.a for r in df.select(C.detail_aging("due", "aging", F.lit(AS_OF)).alias("a")).collect()]
     assert got == [0, 12, 0]
+
+
+def _search_brute(rows, limit):
+    import pandas as pd
+    df = pd.DataFrame(rows, columns=["invoice_number", "vendor_name", "posting_date", "due_date",
+                                     "invoice_amount", "po_number", "status"]).drop_duplicates()
+    df["_null_date"] = df["posting_date"].isna()
+    df = df.sort_values(["_null_date", "posting_date", "invoice_number"], ascending=[True, False, True],
+                        kind="mergesort")
+    return df.head(limit)
+
+
+def test_invoice_search_bound_is_exact(spark):
+    from decimal import Decimal
+    ven = spark.createDataFrame([("1", "Acme"), ("2", "Beta")], "vendor_id string, vendor_name string")
+    days = [dt.date(2000, 1, d) for d in (1, 2, 3, 4, 5)]
+    rows = []
+    n = 0
+    for d in days + [None]:
+        for rep in range(3):                     # exact copies collapse in the DISTINCT
+            for k in range(2):
+                n += 1
+                rows.append((100 + k + (days.index(d) * 10 if d else 90), "1" if k == 0 else "2", d, d,
+                             None, Decimal("10.00"), 7, "OPEN"))
+    inv = spark.createDataFrame([r + (0,) for r in rows], INV)
+    for limit in (1, 3, 7, 11, 40):
+        got = FL.invoice_search(inv, ven, AS_OF, limit=limit).collect()
+        exp = _search_brute([(r[0], "Acme" if r[1] == "1" else "Beta", r[2], r[3], 10.0, 7, "OPEN")
+                             for r in rows], limit)
+        assert [(g.invoice_number, g.posting_date) for g in got] == \
+            [(e.invoice_number, None if e.posting_date != e.posting_date or e.posting_date is None
+              else e.posting_date) for e in exp.itertuples()]
