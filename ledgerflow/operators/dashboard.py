@@ -96,6 +96,15 @@ def vendor_list(inv: DataFrame, ven: DataFrame, start, end,
     return names.orderBy("sort_key", "vendor_name")
 
 
+def vendor_names_all(ven: DataFrame) -> DataFrame:
+    """A40 every vendor name of the dimension, sorted (the invoice page's
+    filter list), with 'All Vendors' first."""
+    names = ven.select("vendor_name").distinct().withColumn("sort_key", F.lit(1))
+    head = ven.sparkSession.range(1).select(F.lit("All Vendors").alias("vendor_name"),
+                                             F.lit(0).alias("sort_key"))
+    return head.unionByName(names).orderBy("sort_key", F.col("vendor_name").asc_nulls_last())
+
+
 def needs_attention(inv: DataFrame, ven: DataFrame, start, end, as_of: _dt.date,
                     vendor: str | None = None) -> DataFrame:
     """A41 OVERDUE / DISPUTED / DUE invoices in the window, one scan.

@@ -218,3 +218,11 @@ def q_tagged_status(v):
     """F15 constant tag over the F5 status filter (null status excluded, R2)."""
     f = FL.status_not_in(FL.date_range(v.invoice, START, END), "CANCELLED", "REJECTED")
     return FL.tag_column(f.select("invoice_number", "invoice_status"), "category", "SPEND")
+
+
+@register("vendor_list_all", "A40+U5", """
+SELECT 'All Vendors' AS vendor_name, 0 AS sort_key
+UNION ALL SELECT DISTINCT vendor_name, 1 AS sort_key FROM v_vendor""")
+def q_vendor_list_all(v):
+    """A40 all vendor names of the dimension."""
+    return D.vendor_names_all(v.vendor)

@@ -177,3 +177,21 @@ def _compare_sql() -> str:
 def q_kpi_compare(v):
     """A11 current vs prior window with deltas and direction flags."""
     return kpi.kpi_compare(v, START, END)
+
+
+def _preset(name):
+    from ledgerflow.operators.filters import range_preset
+    from ledgerflow.plans.registry import AS_OF
+    return range_preset(name, AS_OF)
+
+
+@register("kpi_summary_last30", "A10+F2", kpi_sql(*_preset("Last 30 Days")))
+def q_kpi_summary_last30(v):
+    """A10 for the 'Last 30 Days' preset."""
+    return kpi.kpi_summary(v, *_preset("Last 30 Days"))
+
+
+@register("kpi_summary_qtd", "A10+F2", kpi_sql(*_preset("QTD")))
+def q_kpi_summary_qtd(v):
+    """A10 for the 'QTD' preset (120 days back, as the source defines it)."""
+    return kpi.kpi_summary(v, *_preset("QTD"))

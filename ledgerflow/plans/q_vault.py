@@ -182,8 +182,11 @@ def q_collect_schema(v):
     return io.collect_schema(raw).select("table", "column", "position")
 
 
-@register("list_sources", "S2", """
-SELECT table_name AS "table" FROM information_schema.tables""")
+_RAW_LIST = ", ".join(f"'{t}'" for t in __import__("ledgerflow.sources.tables", fromlist=["RAW_TABLES"]).RAW_TABLES)
+
+
+@register("list_sources", "S2", f"""
+SELECT DISTINCT table_name AS "table" FROM information_schema.tables WHERE table_name IN ({_RAW_LIST})""")
 def q_list_sources(v):
     """S2 tables found in the data directory."""
     return io.list_sources(v.spark, v.root)
