@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerflow import semantics as S
 from ledgerflow.functions.scalars import ratio
 from ledgerflow.operators.filters import status_is
-from ledgerflow.operators.joins import full_outer_drivers, names_of, with_vendor
+from ledgerflow.operators.joins import full_outer_drivers, names_of
 from ledgerflow.operators.windows import period_change, topn_share
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow import semantics as S
-from ledgerflow.functions.scalars import col_
 
 
 def _lit_date(d) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerflow import semantics as S
 from ledgerflow.functions.scalars import pct_delta, ratio
 from ledgerflow.operators.filters import prior_window, status_is, year_month_between
-from ledgerflow.operators.joins import cross_scalars, names_of, selected_vendors
+from ledgerflow.operators.joins import names_of, selected_vendors
 
 KPI_COLUMNS = ("total_spend", "active_pos", "total_pos", "pending_inv", "active_vendors",
                "avg_processing_days", "first_pass_rate", "auto_rate")

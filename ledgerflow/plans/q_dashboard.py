@@ -4,8 +4,6 @@ W7, P1, F15-F18)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ledgerflow.operators import dashboard as D
 from ledgerflow.operators import filters as FL
 from ledgerflow.operators.reshape import unpivot_trend

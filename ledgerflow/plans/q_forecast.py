@@ -3,8 +3,6 @@ payment trend and GR/IR (A15-A27, J7, W3, U2, T2, C29)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ledgerflow.functions.scalars import bucket_label
 from ledgerflow.operators import forecast as FC
 from ledgerflow.operators.windows import latest_row

@@ -13,6 +13,7 @@ from ledgerflow import semantics as S
 from ledgerflow.operators import state as M
 from ledgerflow.operators.joins import recent_messages, sessions_with_counts
 from ledgerflow.operators.windows import running_hit_count
+from ledgerflow.plans.q_kpi import kpi_sql
 from ledgerflow.plans.registry import END, START, register
 from ledgerflow.sources.io import export_transcript, to_json_rows
 
@@ -302,7 +303,7 @@ def q_export_transcript(v):
 
 
 @register("kpi_snapshot", "M9+C19+S9", f"""
-WITH k AS ({__import__("ledgerflow.plans.q_kpi", fromlist=["kpi_sql"]).kpi_sql(START, END).strip()})
+WITH k AS ({kpi_sql(START, END).strip()})
 SELECT md5('user1:YTD:{START.isoformat()}:{END.isoformat()}') AS snapshot_id, 'user1' AS user_name,
        'YTD' AS preset, '{START.isoformat()}' AS start_date, '{END.isoformat()}' AS end_date,
        CAST(to_json({{'total_spend': CAST(total_spend AS DECIMAL(38,6)), 'active_pos': active_pos,

@@ -11,6 +11,7 @@ from ledgerflow.operators import vault as V
 from ledgerflow.operators.setops import column_coverage_diff, union_missing_cols
 from ledgerflow.plans.registry import register
 from ledgerflow.sources import io
+from ledgerflow.sources.tables import RAW_TABLES
 from ledgerflow.sources.bronze import (BRONZE_SCHEMA, BRONZE_TABLES, NAME_MAP, business_names,
                                        business_types, fixture_model)
 
@@ -182,7 +183,7 @@ def q_collect_schema(v):
     return io.collect_schema(raw).select("table", "column", "position")
 
 
-_RAW_LIST = ", ".join(f"'{t}'" for t in __import__("ledgerflow.sources.tables", fromlist=["RAW_TABLES"]).RAW_TABLES)
+_RAW_LIST = ", ".join(f"'{t}'" for t in RAW_TABLES)
 
 
 @register("list_sources", "S2", f"""
