@@ -145,6 +145,25 @@ def q_cache_lookup(v):
     return M.cache_lookup(v.query_cache, qs, NOW)
 
 
+@register("cache_touch", "M4+M2", f"""
+WITH q AS (SELECT DISTINCT '  ' || upper(question) || ' ' AS asked, cache_type FROM v_cache_writes
+           WHERE event_id % 50 = 0),
+hits AS (SELECT c.query_hash FROM v_query_cache c JOIN q
+           ON c.query_hash = md5(lower(trim(q.asked))) AND c.cache_type = q.cache_type
+         WHERE epoch_us({NOW_SQL}) - epoch_us(c.created_at) <= COALESCE(c.ttl_seconds, 3600) * 1000000),
+n AS (SELECT query_hash, COUNT(*) AS reads FROM hits GROUP BY 1)
+SELECT c.query_hash, c.question, c.created_at, CAST(c.hit_count + COALESCE(n.reads, 0) AS BIGINT) AS hit_count,
+       c.ttl_seconds, c.cache_type
+FROM v_query_cache c LEFT JOIN n ON c.query_hash = n.query_hash""")
+def q_cache_touch(v):
+    """M4 each live cache lookup adds one hit (expired entries are not hit)."""
+    qs = (v.cache_writes.filter(F.col("event_id") % 50 == 0)
+          .select(F.concat(F.lit("  "), F.upper("question"), F.lit(" ")).alias("question"), "cache_type")
+          .distinct())
+    hits = M.cache_lookup(v.query_cache, qs, NOW).select("query_hash")
+    return M.touch_count(v.query_cache, hits, "query_hash", "hit_count")
+
+
 @register("cache_delete_type", "M5", "SELECT * FROM v_query_cache WHERE NOT (cache_type = 'error')")
 def q_cache_delete_type(v):
     """M5 remove one cache type."""
