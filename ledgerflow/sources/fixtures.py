@@ -30,16 +30,25 @@ def _d(value: _dt.date) -> Column:
     return F.lit(value).cast("date")
 
 
+_FINGERPRINTS: dict[tuple, str] = {}
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
 def _fingerprint(spark: SparkSession, root: str, as_of: _dt.date) -> str:
-    """Key of a materialisation: data directory, file sizes and times, as_of."""
+    """Key of a materialisation: data directory, file sizes and times, as_of.
+    Computed once per directory state (its own modification time)."""
     import hashlib
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    memo = (root, as_of, fs.getFileStatus(path).getModificationTime())
+    if memo in _FINGERPRINTS:
+        return _FINGERPRINTS[memo]
     parts = [root, as_of.isoformat(), VIEW_VERSION]
     for st in sorted(fs.listStatus(path), key=lambda x: x.getPath().getName()):
         parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+    _FINGERPRINTS[memo] = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+    return _FINGERPRINTS[memo]
 
 
 def materialized_view(spark: SparkSession, root: str, as_of: _dt.date, name: str, build,
@@ -50,6 +59,9 @@ def materialized_view(spark: SparkSession, root: str, as_of: _dt.date, name: str
     from ledgerflow.session import ensure_checkpoint_dir
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/views/{_fingerprint(spark, root, as_of)}"
     target = f"{base}/{name}"
+    memo = (spark.sparkContext.applicationId, target)
+    if memo in _VIEWS:
+        return _VIEWS[memo]
     jvm = spark.sparkContext._jvm
     tpath = jvm.org.apache.hadoop.fs.Path(target)
     fs = tpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -69,7 +81,8 @@ def materialized_view(spark: SparkSession, root: str, as_of: _dt.date, name: str
             fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)   # another job published first
             if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
                 raise RuntimeError(f"could not publish view {name} at {target}")
-    return spark.read.parquet(target)
+    _VIEWS[memo] = spark.read.parquet(target)
+    return _VIEWS[memo]
 
 
 # Views written once per data directory and read back by every query, the

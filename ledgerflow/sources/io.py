@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.sources.tables import table_path
+from ledgerflow.sources.tables import scan_view
 
 log = logging.getLogger(__name__)
 
@@ -51,7 +51,7 @@ def scan_bronze(spark: SparkSession, root: str, tables, mapping: dict[str, str])
     out: dict[str, DataFrame] = {}
     for t in tables:
         try:
-            df = spark.read.parquet(table_path(root, t)) if _is_path(root) else spark.table(f"{root}.{t}")
+            df = scan_view(spark, root, t) if _is_path(root) else spark.table(f"{root}.{t}")
             out[t] = rename_by_map(df, mapping)
         except Exception as e:  # noqa: BLE001 - a bad source is skipped, as documented
             log.warning("could not read %s: %s", t, e)
