@@ -19,9 +19,12 @@ def top_n_per_group(df: DataFrame, keys, order: list, n: int, salts: int = 16) -
     task: rows are first ranked within (group, salt) buckets, keeping at most
     ``n`` per bucket, then at most ``n * salts`` survivors per group are
     ranked again. The salt is a hash of the whole row, so a group holding a
-    third of the data is spread over ``salts`` tasks in the first step."""
+    third of the data is spread over ``salts`` tasks in the first step. The
+    salt hashes the row's input position (partition id, row id), which is
+    cheap for wide rows and repeats exactly when a lost task is recomputed
+    from the same input."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(salts))
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
     first = (df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1))
              .filter(F.col("_rn") <= n).drop("_rn", "_salt"))
