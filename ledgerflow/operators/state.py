@@ -286,3 +286,19 @@ def infer_preset_memory(history: DataFrame) -> DataFrame:
     p = infer_preset("query_text")
     return history.select("id", "user_name", p["preset"].alias("preset"),
                           p["confidence"].alias("confidence")).filter(F.col("preset").isNotNull())
+
+
+def merge_batches(state: DataFrame, batches, merge, every: int = 4) -> DataFrame:
+    """Fold change batches into a state table: ``state = merge(state, batch)``
+    for each batch in order. Each merge adds a join to the plan, so the
+    lineage is cut with a reliable ``checkpoint()`` (written to the shared
+    ``spark.checkpoint.dir``; never a local checkpoint) every ``every``
+    batches; a lost executor then recomputes from the last checkpoint, not
+    from the first batch."""
+    from ledgerflow.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(state.sparkSession)
+    for i, batch in enumerate(batches, 1):
+        state = merge(state, batch)
+        if every and i % every == 0:
+            state = state.checkpoint(eager=True)
+    return state

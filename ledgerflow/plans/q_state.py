@@ -55,6 +55,25 @@ def _touched(v):
     return M.touch_count(_memory(v), reads, "memory_id", "access_count")
 
 
+@register("memory_upsert_batched", "M1", MEMORY_SQL)
+def q_memory_upsert_batched(v):
+    """M1 memory state folded from weekly change batches, lineage cut by a
+    reliable checkpoint every two batches."""
+    ch = v.memory_changes
+    cuts = [_dt.datetime(2024, 1, d) for d in (8, 15, 22, 29)]
+    bounds = [None] + cuts + [None]
+    batches = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("updated_at") >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (F.col("updated_at") < F.lit(hi))
+        batches.append(ch.filter(cond))
+    empty = v.spark.createDataFrame([], M.memory_state(ch).schema)
+    return M.merge_batches(empty, batches, lambda state, b: M.memory_state(b, state), every=2)
+
+
 @register("memory_touch", "M4", TOUCHED_SQL)
 def q_memory_touch(v):
     """M4 every read adds one to the access count."""

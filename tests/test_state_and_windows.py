@@ -63,3 +63,17 @@ def test_entity_mentions_first_match_wins(spark):
     r = M.entity_mentions(h, ents, "1").collect()
     assert len(r) == 1 and r[0].memory_val == "NATION_2" and r[0].mentions == 4
     assert abs(r[0].confidence - 0.4) < 1e-12
+
+
+def test_merge_batches_equals_single_merge(spark):
+    from .conftest import SF_SMALL
+    from ledgerflow.sources.fixtures import Views
+    v = Views(spark, SF_SMALL, materialize=False)
+    ch = v.memory_changes
+    once = sorted(map(tuple, M.memory_state(ch).collect()))
+    days = [dt.datetime(2024, 1, d) for d in (1, 6, 11, 16, 21, 26, 31)]
+    batches = [ch.filter((F.col("updated_at") >= F.lit(a)) & (F.col("updated_at") < F.lit(b)))
+               for a, b in zip(days[:-1], days[1:])] + [ch.filter(F.col("updated_at") >= F.lit(days[-1]))]
+    empty = spark.createDataFrame([], M.memory_state(ch).schema)
+    folded = M.merge_batches(empty, batches, lambda s, b: M.memory_state(b, s), every=2)
+    assert sorted(map(tuple, folded.collect())) == once
