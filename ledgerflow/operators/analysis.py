@@ -63,7 +63,9 @@ def spending_headline(monthly: DataFrame, vendors: DataFrame) -> DataFrame:
     share = topn_share(vendors, "spend", "spend", 5).select(
         F.col("total").alias("total_ytd"), F.col("share").alias("top5_pct"))
     change = period_change(monthly, "month", "monthly_spend")
-    return share.crossJoin(change)
+    return share.select("total_ytd", "top5_pct",
+                        change.select("mom_pct").scalar().alias("mom_pct"),
+                        change.select("qoq_pct").scalar().alias("qoq_pct"))
 
 
 def vendor_analysis(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
@@ -91,9 +93,9 @@ def vendor_concentration(vendors: DataFrame, value: str = "total_spend") -> Data
     """A33 top-1 and top-5 share of the listed vendors' total, and row count."""
     one = topn_share(vendors, value, value, 1).select(
         F.col("total").alias("total_spend"), F.col("share").alias("top1_pct"))
-    five = topn_share(vendors, value, value, 5).select(F.col("share").alias("top5_pct"))
-    n = vendors.agg(F.count(F.lit(1)).alias("active_vendors"))
-    return one.crossJoin(five).crossJoin(n)
+    five = topn_share(vendors, value, value, 5).select("share").scalar()
+    n = vendors.agg(F.count(F.lit(1))).scalar()
+    return one.select("total_spend", "top1_pct", five.alias("top5_pct"), n.alias("active_vendors"))
 
 
 def payment_performance(inv: DataFrame, as_of: _dt.date, months: int = 6) -> DataFrame:

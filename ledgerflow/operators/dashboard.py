@@ -31,13 +31,11 @@ def status_distribution(inv: DataFrame, start, end) -> DataFrame:
 def share_of_total(df: DataFrame, value: str, out: str = "percentage",
                    digits: int = 1) -> DataFrame:
     """W7 value / total * 100, rounded half-even. Meant for aggregated frames
-    (a few rows); the total is a one-row aggregate cross-joined back."""
-    total = df.agg(F.sum(value).alias("_total"))
-    return (df.crossJoin(total)
-            .withColumn(out, F.when(F.col("_total") > 0,
-                                    F.bround(F.col(value).cast("double") / F.col("_total") * 100.0,
-                                             digits)).otherwise(F.lit(0.0)))
-            .drop("_total"))
+    (a few rows); the total is a scalar subquery over the same frame."""
+    total = df.agg(F.sum(value)).scalar()
+    return df.withColumn(out, F.when(total > 0,
+                                     F.bround(F.col(value).cast("double") / total * 100.0, digits))
+                         .otherwise(F.lit(0.0)))
 
 
 def spend_per_vendor(inv: DataFrame, ven: DataFrame, start, end,

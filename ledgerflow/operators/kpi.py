@@ -94,9 +94,8 @@ def fact_kpis(inv: DataFrame, ven: DataFrame, start, end, vendor: str | None = N
         F.count(fb_days).alias("_fb_n")]
     if vendor is not None:
         return base.agg(*aggs, F.count_distinct("_sel_name").alias("active_vendors"))
-    names = names_of(f.select("vendor_id").distinct(), ven).agg(
-        F.count_distinct("vendor_name").alias("active_vendors"))
-    return base.agg(*aggs).crossJoin(names)
+    names = names_of(f.select("vendor_id").distinct(), ven).agg(F.count_distinct("vendor_name"))
+    return base.agg(*aggs, names.scalar().alias("active_vendors"))
 
 
 def kpi_cycle_days(cycle: DataFrame, start, end) -> DataFrame:

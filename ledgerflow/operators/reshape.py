@@ -36,11 +36,11 @@ def unpivot_numeric(df: DataFrame, max_rows: int = 200) -> DataFrame:
     if not nums or not dims:
         return df.sparkSession.createDataFrame([], "dimension string, variable string, value double")
     dim = dims[0]
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = df.agg(F.count(F.lit(1))).scalar()
     src = df.select(F.col(dim).cast("string").alias("dimension"),
                     *[F.col(c).cast("double").alias(c) for c in nums])
     long = src.unpivot(["dimension"], nums, "variable", "value")
-    return long.crossJoin(n).filter(F.col("_n") <= max_rows).drop("_n")
+    return long.filter(n <= max_rows)
 
 
 def title_header(name: str) -> str:

@@ -265,15 +265,14 @@ def entity_mentions(history: DataFrame, entities: DataFrame, user: str, recent:
     contained in at least ``min_count`` of the user's ``recent`` newest
     distinct questions; confidence = min(count / 10, 1).
 
-    The recent questions are a bounded list (``recent`` rows); they are
-    packed into one array row and joined to each entity, so no
+    The recent questions are a bounded list (``recent`` rows) packed into
+    one array by a scalar subquery and tested against each entity, so no
     question x entity pairs are materialised."""
-    qs = recent_distinct_questions(history, user, recent).agg(F.collect_list("q").alias("qs"))
+    qs = recent_distinct_questions(history, user, recent).agg(F.collect_list("q")).scalar()
     ents = (entities.select("entity", "position").orderBy("position").limit(first_n))
-    j = ents.crossJoin(F.broadcast(qs))     # one-row side: each entity gets the question list
-    counted = j.select("entity", "position",
-                       F.size(F.filter("qs", lambda q: q.contains(F.lower(F.col("entity")))))
-                       .alias("mentions"))
+    counted = ents.select("entity", "position", qs.alias("qs")).select(
+        "entity", "position",
+        F.size(F.filter("qs", lambda q: q.contains(F.lower(F.col("entity"))))).alias("mentions"))
     hit = counted.filter(F.col("mentions") >= min_count).orderBy("position").limit(1)
     return hit.select(F.lit("frequent_vendor").alias("memory_key"), F.col("entity").alias("memory_val"),
                       F.lit("entity").alias("memory_type"), F.lit("inferred").alias("source"),
