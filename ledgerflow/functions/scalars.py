@@ -207,7 +207,7 @@ def truncate_text(c, n: int = S.TRANSCRIPT_TRUNCATE, ellipsis: str = "…") -> C
 
 def role_label(c) -> Column:
     """C17 user -> User, anything else -> Assistant."""
-    return F.when(col_(c) == "user", F.lit("User")).otherwise(F.lit("Assistant"))
+    return F.when(col_(c) == "user", F.lit(S.ROLE_USER_LABEL)).otherwise(F.lit(S.ROLE_OTHER_LABEL))
 
 
 def age_label(ts, now) -> Column:

@@ -53,7 +53,7 @@ def top_vendors_ytd(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
     per_id = _ytd_rows(inv, as_of).groupBy("vendor_id").agg(F.sum(_amount()).alias("_s"))
     agg = names_of(per_id, ven).groupBy("vendor_name").agg(F.sum("_s").alias("_spend"))
     return (agg.orderBy(F.col("_spend").desc(), F.col("vendor_name").asc_nulls_last()).limit(k)
-            .select(F.coalesce("vendor_name", F.lit("Unknown")).alias("vendor_name"),
+            .select(F.coalesce("vendor_name", F.lit(S.UNKNOWN_VENDOR)).alias("vendor_name"),
                     F.col("_spend").cast("double").alias("spend")))
 
 
@@ -77,7 +77,7 @@ def vendor_analysis(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
     agg = (names_of(pairs, ven).groupBy("vendor_name")
            .agg(F.sum("_s").alias("_spend"), F.count_distinct("invoice_number").alias("invoice_count")))
     return (agg.orderBy(F.col("_spend").desc(), F.col("vendor_name").asc_nulls_last()).limit(k)
-            .select(F.coalesce("vendor_name", F.lit("Unknown")).alias("vendor_name"),
+            .select(F.coalesce("vendor_name", F.lit(S.UNKNOWN_VENDOR)).alias("vendor_name"),
                     F.col("_spend").cast("double").alias("total_spend"), "invoice_count"))
 
 
@@ -119,11 +119,12 @@ def payment_performance(inv: DataFrame, as_of: _dt.date, months: int = 6) -> Dat
 
 def payment_headline(perf: DataFrame) -> DataFrame:
     """A35 mean of the monthly means, late share, totals."""
-    return (perf.agg(F.sum("avg_days_to_pay").alias("_sum_avg"),
+    return (perf.agg(F.sum(F.col("avg_days_to_pay").cast("decimal(20,1)")).alias("_sum_avg"),
                      F.count(F.lit(1)).alias("_months"),
                      F.sum("late_payments").alias("total_late"),
                      F.sum("total_payments").alias("total_payments"))
-            .select(F.round(F.col("_sum_avg") / F.col("_months"), 6).alias("avg_days_to_pay"),
+            .select(F.round(F.col("_sum_avg").cast("double") / F.col("_months"), 6)
+                    .alias("avg_days_to_pay"),
                     ratio("total_late", "total_payments", 100.0).alias("late_payments_pct"),
                     F.coalesce("total_late", F.lit(0)).cast("bigint").alias("total_late"),
                     F.coalesce("total_payments", F.lit(0)).cast("bigint").alias("total_payments")))
@@ -149,9 +150,10 @@ def invoice_aging(inv: DataFrame, as_of: _dt.date) -> DataFrame:
 
 def aging_headline(aging: DataFrame) -> DataFrame:
     """A37 open total, overdue amount and share, invoice count."""
-    row = aging.agg(F.coalesce(F.sum("total_amount"), F.lit(0.0)).alias("total_open"),
-                    F.coalesce(F.sum(F.when(F.col("aging_bucket") == S.AGING_OVERDUE,
-                                            F.col("total_amount"))), F.lit(0.0)).alias("overdue_amount"),
+    money = F.col("total_amount").cast("decimal(38,2)")
+    row = aging.agg(F.coalesce(F.sum(money).cast("double"), F.lit(0.0)).alias("total_open"),
+                    F.coalesce(F.sum(F.when(F.col("aging_bucket") == S.AGING_OVERDUE, money)).cast("double"),
+                               F.lit(0.0)).alias("overdue_amount"),
                     F.coalesce(F.sum("invoice_count"), F.lit(0)).cast("bigint").alias("invoice_count"))
     return row.withColumn("overdue_pct", ratio("overdue_amount", "total_open", 100.0))
 
@@ -180,7 +182,7 @@ def mom_drivers(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
     per_id = (f.groupBy("vendor_id")
               .agg(F.sum(F.when(is_this, _amount())).alias("_t0"),
                    F.sum(F.when(~is_this, _amount())).alias("_l0")))
-    driver = F.coalesce(F.col("vendor_name"), F.lit("Unknown"))
+    driver = F.coalesce(F.col("vendor_name"), F.lit(S.UNKNOWN_VENDOR))
     agg = (names_of(per_id, ven).groupBy(driver.alias("driver"))
            .agg(F.coalesce(F.sum("_t0"), F.lit(0)).alias("_t"),
                 F.coalesce(F.sum("_l0"), F.lit(0)).alias("_l")))
@@ -195,7 +197,7 @@ def mom_drivers_full_join(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
     anchor = latest_month_anchor(inv, as_of).scalar()
     m = F.trunc("posting_date", "MM")
     f = _spend_rows(inv).filter(F.col("posting_date") >= F.add_months(anchor, -1))
-    driver = F.coalesce(F.col("vendor_name"), F.lit("Unknown")).alias("driver")
+    driver = F.coalesce(F.col("vendor_name"), F.lit(S.UNKNOWN_VENDOR)).alias("driver")
 
     def month(cond):
         per_id = f.filter(cond).groupBy("vendor_id").agg(F.sum(_amount()).alias("_s"))
@@ -208,6 +210,6 @@ def mom_drivers_full_join(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
 
 def _top_changes(df: DataFrame, k: int) -> DataFrame:
     top = df.orderBy(F.abs(F.col("spend_change")).desc(), F.col("driver").asc()).limit(k)
-    return top.select(F.lit("VENDOR").alias("row_type"), "driver",
+    return top.select(F.lit(S.DRIVER_ROW_TYPE).alias("row_type"), "driver",
                       *[F.col(c).cast("double").alias(c)
                         for c in ("this_month_spend", "last_month_spend", "spend_change")])

@@ -45,7 +45,7 @@ def spend_per_vendor(inv: DataFrame, ven: DataFrame, start, end,
     per_id = (date_range(inv, start, end).groupBy("vendor_id")
               .agg(F.sum(F.coalesce(F.col("invoice_amount_local"), F.lit(0))).alias("_s")))
     j = names_of(per_id, ven, vendor)
-    return (j.groupBy(F.coalesce(F.col("vendor_name"), F.lit("Unknown")).alias("vendor_name"))
+    return (j.groupBy(F.coalesce(F.col("vendor_name"), F.lit(S.UNKNOWN_VENDOR)).alias("vendor_name"))
             .agg(F.sum("_s").alias("spend")))
 
 
@@ -88,7 +88,7 @@ def vendor_list(inv: DataFrame, ven: DataFrame, start, end,
     names = (j.filter(F.col("vendor_name").isNotNull()).select("vendor_name").distinct()
              .withColumn("sort_key", F.lit(1)))
     if include_all:
-        head = ven.sparkSession.range(1).select(F.lit("All Vendors").alias("vendor_name"),
+        head = ven.sparkSession.range(1).select(F.lit(S.ALL_VENDORS).alias("vendor_name"),
                                                  F.lit(0).alias("sort_key"))
         names = head.unionByName(names)
     return names.orderBy("sort_key", "vendor_name")
@@ -98,7 +98,7 @@ def vendor_names_all(ven: DataFrame) -> DataFrame:
     """A40 every vendor name of the dimension, sorted (the invoice page's
     filter list), with 'All Vendors' first."""
     names = ven.select("vendor_name").distinct().withColumn("sort_key", F.lit(1))
-    head = ven.sparkSession.range(1).select(F.lit("All Vendors").alias("vendor_name"),
+    head = ven.sparkSession.range(1).select(F.lit(S.ALL_VENDORS).alias("vendor_name"),
                                              F.lit(0).alias("sort_key"))
     return head.unionByName(names).orderBy("sort_key", F.col("vendor_name").asc_nulls_last())
 

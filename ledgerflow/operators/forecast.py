@@ -60,8 +60,11 @@ def cash_flow_ordered(buckets: DataFrame) -> DataFrame:
 def cash_flow_headline(buckets: DataFrame) -> DataFrame:
     """A17 total unpaid, overdue now, due within 30 days and its share."""
     def amt(*names):
-        return F.coalesce(F.sum(F.when(F.col("forecast_bucket").isin(*names),
-                                       F.col("total_amount"))), F.lit(0.0))
+        # exact decimal sum of the bucket amounts, so the total does not
+        # depend on the order the rows are added in
+        money = F.col("total_amount").cast("decimal(38,2)")
+        return F.coalesce(F.sum(F.when(F.col("forecast_bucket").isin(*names), money)).cast("double"),
+                          F.lit(0.0))
     row = buckets.agg(amt(S.CASH_FLOW_TOTAL).alias("total_unpaid"),
                       amt("OVERDUE_NOW").alias("overdue_now"),
                       amt(*S.CASH_FLOW_NEAR).alias("due_30_days"))

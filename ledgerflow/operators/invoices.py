@@ -13,8 +13,7 @@ from ledgerflow.operators.filters import invoice_key, status_is
 from ledgerflow.operators.joins import with_company_plant
 
 HISTORY_COLS = ("invoice_number", "sequence_nbr", "status", "effective_date", "status_notes")
-DEFAULT_OPEN_NOTE = "Invoice opened."
-DEFAULT_OVERDUE_NOTE = "Invoice overdue."
+(DEFAULT_OPEN, DEFAULT_OPEN_NOTE), (DEFAULT_OVERDUE, DEFAULT_OVERDUE_NOTE) = S.DEFAULT_HISTORY
 
 
 def status_history(history: DataFrame, invoice_number) -> DataFrame:
@@ -39,10 +38,10 @@ def history_default(inv: DataFrame, history: DataFrame) -> DataFrame:
     have = history.select("invoice_number").distinct()
     missing = invoice_representative(inv).join(have, "invoice_number", "left_anti")
     rows = F.array(
-        F.struct(F.lit(1).alias("sequence_nbr"), F.lit("OPEN").alias("status"),
+        F.struct(F.lit(1).alias("sequence_nbr"), F.lit(DEFAULT_OPEN).alias("status"),
                  F.col("posting_date").alias("effective_date"),
                  F.lit(DEFAULT_OPEN_NOTE).alias("status_notes")),
-        F.struct(F.lit(2).alias("sequence_nbr"), F.lit("OVERDUE").alias("status"),
+        F.struct(F.lit(2).alias("sequence_nbr"), F.lit(DEFAULT_OVERDUE).alias("status"),
                  F.col("due_date").alias("effective_date"),
                  F.lit(DEFAULT_OVERDUE_NOTE).alias("status_notes")))
     synth = missing.select("invoice_number", F.explode(rows).alias("r")).select(

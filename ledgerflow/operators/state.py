@@ -197,7 +197,7 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def conversation_context(messages: DataFrame, sessions: DataFrame, user: str, now,
-                         limit: int = 20, days: int = 2) -> DataFrame:
+                         limit: int = S.CONTEXT_MESSAGES, days: int = S.CONTEXT_DAYS) -> DataFrame:
     """M11 the user's newest ``limit`` messages of the last ``days`` days,
     oldest first, labelled and joined into one prompt text (a bounded list:
     at most ``limit`` rows reach the final aggregate)."""
@@ -209,9 +209,9 @@ def conversation_context(messages: DataFrame, sessions: DataFrame, user: str, no
     line = F.concat(role_label("role"), F.lit(": "), F.col("content"))
     pieces = top.select(F.struct("ts", "turn_index", line.alias("line")).alias("p"))
     agg = pieces.agg(F.array_sort(F.collect_list("p")).alias("ps"), F.count(F.lit(1)).alias("n"))
-    text = F.concat(F.lit("Conversation history:\n\n"),
+    text = F.concat(F.lit(S.CONTEXT_HEADER),
                     F.array_join(F.transform("ps", lambda x: x["line"]), "\n\n"),
-                    F.lit("\n\nNew question:\n"))
+                    F.lit(S.CONTEXT_FOOTER))
     return agg.select(F.col("n").alias("messages"),
                       F.when(F.col("n") > 0, text).otherwise(F.lit("")).alias("context"))
 
@@ -259,8 +259,9 @@ def recent_distinct_questions(history: DataFrame, user: str, recent: int = 20) -
         .select(F.lower("query_text").alias("q"))
 
 
-def entity_mentions(history: DataFrame, entities: DataFrame, user: str, recent: int = 20,
-                    first_n: int = 50, min_count: int = 3) -> DataFrame:
+def entity_mentions(history: DataFrame, entities: DataFrame, user: str,
+                    recent: int = S.ENTITY_RECENT_QUESTIONS, first_n: int = S.ENTITY_FIRST_N,
+                    min_count: int = S.ENTITY_MIN_MENTIONS) -> DataFrame:
     """A46 the first entity (in list order, among the first ``first_n``)
     contained in at least ``min_count`` of the user's ``recent`` newest
     distinct questions; confidence = min(count / 10, 1).
@@ -274,8 +275,8 @@ def entity_mentions(history: DataFrame, entities: DataFrame, user: str, recent:
         "entity", "position",
         F.size(F.filter("qs", lambda q: q.contains(F.lower(F.col("entity"))))).alias("mentions"))
     hit = counted.filter(F.col("mentions") >= min_count).orderBy("position").limit(1)
-    return hit.select(F.lit("frequent_vendor").alias("memory_key"), F.col("entity").alias("memory_val"),
-                      F.lit("entity").alias("memory_type"), F.lit("inferred").alias("source"),
+    return hit.select(F.lit(S.FREQUENT_VENDOR_KEY).alias("memory_key"), F.col("entity").alias("memory_val"),
+                      F.lit(S.ENTITY_MEMORY_TYPE).alias("memory_type"), F.lit(S.INFERRED_SOURCE).alias("source"),
                       F.least(F.col("mentions") / 10.0, F.lit(1.0)).alias("confidence"), "mentions")
 
 

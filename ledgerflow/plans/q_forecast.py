@@ -61,10 +61,10 @@ def q_cash_flow_labels(v):
 
 @register("cash_flow_headline", "A17", f"""
 WITH c AS ({BUCKETS_SQL}),
-h AS (SELECT COALESCE(SUM(CASE WHEN forecast_bucket = 'TOTAL_UNPAID' THEN total_amount END), 0.0) AS total_unpaid,
-             COALESCE(SUM(CASE WHEN forecast_bucket = 'OVERDUE_NOW' THEN total_amount END), 0.0) AS overdue_now,
-             COALESCE(SUM(CASE WHEN forecast_bucket IN ('DUE_7_DAYS','DUE_14_DAYS','DUE_30_DAYS')
-                               THEN total_amount END), 0.0) AS due_30_days FROM c)
+h AS (SELECT COALESCE(CAST(SUM(CASE WHEN forecast_bucket = 'TOTAL_UNPAID' THEN CAST(total_amount AS DECIMAL(38,2)) END) AS DOUBLE), 0.0) AS total_unpaid,
+             COALESCE(CAST(SUM(CASE WHEN forecast_bucket = 'OVERDUE_NOW' THEN CAST(total_amount AS DECIMAL(38,2)) END) AS DOUBLE), 0.0) AS overdue_now,
+             COALESCE(CAST(SUM(CASE WHEN forecast_bucket IN ('DUE_7_DAYS','DUE_14_DAYS','DUE_30_DAYS')
+                               THEN CAST(total_amount AS DECIMAL(38,2)) END) AS DOUBLE), 0.0) AS due_30_days FROM c)
 SELECT *, CASE WHEN total_unpaid > 0 THEN due_30_days / total_unpaid * 100.0 ELSE 0.0 END AS pct_due_30 FROM h""")
 def q_cash_flow_headline(v):
     """A17 cash-flow headline figures."""

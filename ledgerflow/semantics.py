@@ -195,3 +195,21 @@ PRESET_RULES = (
 # -- FIXED VALUES: narrative section markers --------------------------------
 PRESCRIPTIVE_SPLIT = r"(?i)\n?\*{0,2}prescriptive\*{0,2}[:\s\-—]*"
 DESCRIPTIVE_HEAD = r"(?i)^\*{0,2}descriptive\*{0,2}[:\s\-—]*"
+
+# -- FIXED VALUES: labels and texts shown by the source system --------------
+ALL_VENDORS = "All Vendors"
+UNKNOWN_VENDOR = "Unknown"
+DRIVER_ROW_TYPE = "VENDOR"
+DEFAULT_HISTORY = (("OPEN", "Invoice opened."), ("OVERDUE", "Invoice overdue."))
+ROLE_USER_LABEL = "User"
+ROLE_OTHER_LABEL = "Assistant"
+CONTEXT_HEADER = "Conversation history:\n\n"
+CONTEXT_FOOTER = "\n\nNew question:\n"
+FREQUENT_VENDOR_KEY = "frequent_vendor"
+ENTITY_MEMORY_TYPE = "entity"
+INFERRED_SOURCE = "inferred"
+ENTITY_MIN_MENTIONS = 3
+ENTITY_RECENT_QUESTIONS = 20
+ENTITY_FIRST_N = 50
+CONTEXT_MESSAGES = 20
+CONTEXT_DAYS = 2
