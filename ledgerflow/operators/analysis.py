@@ -175,9 +175,12 @@ def mom_drivers(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
     round trip. Both months are conditional sums per vendor id, then per
     driver name, which equals the reference's FULL OUTER JOIN of two
     aggregates."""
-    anchor = latest_month_anchor(inv, as_of).scalar()
+    # one scalar subquery only: Spark merges several subqueries over the same
+    # source into one struct-valued subquery, which is no longer pushable
+    since = latest_month_anchor(inv, as_of).select(F.add_months("anchor_month", -1)).scalar()
+    anchor = F.add_months(since, 1)            # exact: both are first days of months
     m = F.trunc("posting_date", "MM")
-    f = _spend_rows(inv).filter(F.col("posting_date") >= F.add_months(anchor, -1))
+    f = _spend_rows(inv).filter(F.col("posting_date") >= since)
     is_this = m == anchor
     per_id = (f.groupBy("vendor_id")
               .agg(F.sum(F.when(is_this, _amount())).alias("_t0"),
@@ -194,9 +197,10 @@ def mom_drivers(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
 def mom_drivers_full_join(inv: DataFrame, ven: DataFrame, as_of: _dt.date,
                           k: int = S.TOP_DRIVERS) -> DataFrame:
     """A39 literal form: two monthly aggregates FULL OUTER JOINed (J6)."""
-    anchor = latest_month_anchor(inv, as_of).scalar()
+    since = latest_month_anchor(inv, as_of).select(F.add_months("anchor_month", -1)).scalar()
+    anchor = F.add_months(since, 1)
     m = F.trunc("posting_date", "MM")
-    f = _spend_rows(inv).filter(F.col("posting_date") >= F.add_months(anchor, -1))
+    f = _spend_rows(inv).filter(F.col("posting_date") >= since)
     driver = F.coalesce(F.col("vendor_name"), F.lit(S.UNKNOWN_VENDOR)).alias("driver")
 
     def month(cond):

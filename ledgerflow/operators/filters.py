@@ -221,6 +221,7 @@ def min_share(df: DataFrame, col: str = "percentage", pct: float = S.MIN_SHARE_P
 
 def first_non_empty(a: DataFrame, b: DataFrame) -> DataFrame:
     """F18 rows of ``a``, or of ``b`` when ``a`` has none; decided inside the
-    plan (anti join against a one-row probe of ``a``), no driver round trip."""
-    probe = a.limit(1).select(F.lit(1).alias("_probe"))
-    return a.unionByName(b.join(probe, F.lit(True), "left_anti"))
+    plan by a scalar probe (``a`` stopped at its first row), no driver round
+    trip and no join."""
+    a_is_empty = a.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
+    return a.unionByName(b.filter(a_is_empty))
