@@ -44,14 +44,14 @@ def q_memory_upsert(v):
 
 TOUCHED_SQL = f"""
 WITH m AS ({MEMORY_SQL}),
-r AS (SELECT memory_id, COUNT(*) AS reads FROM v_memory_changes WHERE seq % 3 = 0 GROUP BY 1)
+r AS (SELECT memory_id, COUNT(*) AS reads FROM v_memory_changes GROUP BY 1)
 SELECT m.memory_id, user_name, memory_type, memory_key, memory_val, source, confidence, created_at, updated_at,
        CAST(access_count + COALESCE(r.reads, 0) AS BIGINT) AS access_count
 FROM m LEFT JOIN r ON m.memory_id = r.memory_id"""
 
 
 def _touched(v):
-    reads = v.memory_changes.filter(F.col("seq") % 3 == 0).select("memory_id")
+    reads = v.memory_changes.select("memory_id")          # every event reads its key
     return M.touch_count(_memory(v), reads, "memory_id", "access_count")
 
 
@@ -151,22 +151,19 @@ def q_cache_live(v):
 
 
 @register("cache_lookup", "M2+C19", f"""
-WITH q AS (SELECT DISTINCT '  ' || upper(question) || ' ' AS asked, cache_type FROM v_cache_writes
-           WHERE event_id % 50 = 0)
+WITH q AS (SELECT '  ' || upper(question) || ' ' AS asked, cache_type FROM v_cache_writes)
 SELECT c.*, q.asked FROM v_query_cache c JOIN q
   ON c.query_hash = md5(lower(trim(q.asked))) AND c.cache_type = q.cache_type
 WHERE epoch_us({NOW_SQL}) - epoch_us(c.created_at) <= COALESCE(c.ttl_seconds, 3600) * 1000000""")
 def q_cache_lookup(v):
-    """M2 live hits for a batch of questions typed with stray case/spaces."""
-    qs = (v.cache_writes.filter(F.col("event_id") % 50 == 0)
-          .select(F.concat(F.lit("  "), F.upper("question"), F.lit(" ")).alias("question"), "cache_type")
-          .distinct())
+    """M2 live hits for every logged question re-asked with stray case/spaces."""
+    qs = v.cache_writes.select(F.concat(F.lit("  "), F.upper("question"), F.lit(" ")).alias("question"),
+                               "cache_type")
     return M.cache_lookup(v.query_cache, qs, NOW)
 
 
 @register("cache_touch", "M4+M2", f"""
-WITH q AS (SELECT DISTINCT '  ' || upper(question) || ' ' AS asked, cache_type FROM v_cache_writes
-           WHERE event_id % 50 = 0),
+WITH q AS (SELECT '  ' || upper(question) || ' ' AS asked, cache_type FROM v_cache_writes),
 hits AS (SELECT c.query_hash FROM v_query_cache c JOIN q
            ON c.query_hash = md5(lower(trim(q.asked))) AND c.cache_type = q.cache_type
          WHERE epoch_us({NOW_SQL}) - epoch_us(c.created_at) <= COALESCE(c.ttl_seconds, 3600) * 1000000),
@@ -176,9 +173,8 @@ SELECT c.query_hash, c.question, c.created_at, CAST(c.hit_count + COALESCE(n.rea
 FROM v_query_cache c LEFT JOIN n ON c.query_hash = n.query_hash""")
 def q_cache_touch(v):
     """M4 each live cache lookup adds one hit (expired entries are not hit)."""
-    qs = (v.cache_writes.filter(F.col("event_id") % 50 == 0)
-          .select(F.concat(F.lit("  "), F.upper("question"), F.lit(" ")).alias("question"), "cache_type")
-          .distinct())
+    qs = v.cache_writes.select(F.concat(F.lit("  "), F.upper("question"), F.lit(" ")).alias("question"),
+                               "cache_type")
     hits = M.cache_lookup(v.query_cache, qs, NOW).select("query_hash")
     return M.touch_count(v.query_cache, hits, "query_hash", "hit_count")
 
