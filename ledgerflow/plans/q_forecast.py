@@ -131,7 +131,7 @@ def q_late_payment_trend(v):
 
 @register("grir_hotspots", "A22+C15", """
 SELECT year, month, invoice_count, CAST(total_grir_blnc AS DOUBLE) AS total_grir_balance,
-       row_number() OVER (ORDER BY year DESC, month DESC) AS month_rank,
+       CAST(row_number() OVER (ORDER BY year DESC, month DESC) AS INTEGER) AS month_rank,
        CASE WHEN row_number() OVER (ORDER BY year DESC, month DESC) <= 12
             THEN printf('%04d-%02d', year, month) END AS label
 FROM v_grir_balance""")

@@ -114,8 +114,8 @@ def q_kpi_cycle_fallback(v):
 
 
 @register("kpi_first_pass", "A8", f"""
-SELECT SUM(CAST(full_paid_invoices AS BIGINT)) AS fp_full_paid,
-       SUM(CAST(total_cleared_invoices AS BIGINT)) AS fp_total_cleared,
+SELECT CAST(SUM(full_paid_invoices) AS BIGINT) AS fp_full_paid,
+       CAST(SUM(total_cleared_invoices) AS BIGINT) AS fp_total_cleared,
        CASE WHEN SUM(total_cleared_invoices) > 0
             THEN CAST(SUM(full_paid_invoices) AS DOUBLE) / CAST(SUM(total_cleared_invoices) AS DOUBLE) * 100
             ELSE 0.0 END AS first_pass_rate
@@ -208,8 +208,8 @@ WITH fact_agg AS (
   WHERE f.posting_date {RANGE}),
 cycle_agg AS (SELECT round(AVG(CAST(avg_payment_cycle_time_days AS DOUBLE)), 6) AS avg_days
               FROM v_payment_cycle WHERE {_ym(START, END)}),
-fp_agg AS (SELECT SUM(CAST(full_paid_invoices AS BIGINT)) AS fp_full_paid,
-                  SUM(CAST(total_cleared_invoices AS BIGINT)) AS fp_total_cleared
+fp_agg AS (SELECT CAST(SUM(full_paid_invoices) AS BIGINT) AS fp_full_paid,
+                  CAST(SUM(total_cleared_invoices) AS BIGINT) AS fp_total_cleared
            FROM v_full_payment WHERE {_ym(START, END)}),
 auto_agg AS (SELECT COUNT(*) AS auto_total,
                     CAST(SUM(CASE WHEN upper(status_notes) = 'AUTO PROCESSED' THEN 1 ELSE 0 END) AS BIGINT) AS auto_processed

@@ -49,7 +49,7 @@ def preset_sql(col: str) -> tuple[str, str]:
     for words, name, conf in S.PRESET_RULES:
         cond = " OR ".join(f"contains(lower({col}), {_q(w)})" for w in words)
         p.append(f"WHEN {cond} THEN {_q(name)}")
-        c.append(f"WHEN {cond} THEN {conf}")
+        c.append(f"WHEN {cond} THEN CAST({conf} AS DOUBLE)")
     return "CASE " + " ".join(p) + " END", "CASE " + " ".join(c) + " END"
 
 

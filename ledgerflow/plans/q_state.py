@@ -230,7 +230,8 @@ WITH recent AS (SELECT lower(query_text) AS q FROM (
                   GROUP BY query_text ORDER BY last_asked DESC, query_text LIMIT 20)),
 ents AS (SELECT n_name AS entity, row_number() OVER (ORDER BY n_name) AS position FROM nation
          ORDER BY position LIMIT 50),
-c AS (SELECT e.entity, e.position, (SELECT COUNT(*) FROM recent r WHERE contains(r.q, lower(e.entity))) AS mentions
+c AS (SELECT e.entity, e.position,
+             CAST((SELECT COUNT(*) FROM recent r WHERE contains(r.q, lower(e.entity))) AS INTEGER) AS mentions
       FROM ents e)
 SELECT 'frequent_vendor' AS memory_key, entity AS memory_val, 'entity' AS memory_type, 'inferred' AS source,
        least(mentions / 10.0, 1.0) AS confidence, mentions

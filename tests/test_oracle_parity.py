@@ -10,7 +10,7 @@ from .conftest import ROOT, SF_SMALL
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from compare import duck_con, rows_of  # noqa: E402
+from compare import duck_con, rows_of, type_diffs  # noqa: E402
 
 NAMES = sorted(E.oracle_sql())
 
@@ -22,7 +22,9 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF_SMALL).toPandas()
+    df = E.queries()[name](spark, SF_SMALL)
+    assert type_diffs(df.dtypes, duck, E.oracle_sql()[name]) == []
+    sdf = df.toPandas()
     ddf = duck.execute(E.oracle_sql()[name]).df()
     sc, sr = rows_of(sdf)
     dc, dr = rows_of(ddf)
