@@ -274,7 +274,7 @@ def q_session_messages(v):
 def _insights(v):
     h = v.question_history
     return h.select(F.col("id").alias("insight_id"), F.col("user_name").alias("created_by"),
-                    F.when(F.col("id") % 2 == 0, F.lit("genie")).otherwise(F.lit("dashboard")).alias("page"),
+                    F.when(F.col("id") % 2 == 0, F.lit("assistant")).otherwise(F.lit("dashboard")).alias("page"),
                     F.substring("query_text", 1, 45).alias("title"), F.col("query_text").alias("question"),
                     F.when(F.col("id") % 3 == 0, F.lit("kpi_summary")).otherwise(F.lit("mom_drivers"))
                     .alias("verified_query_name"), F.col("asked_at").alias("created_at"))
@@ -282,14 +282,14 @@ def _insights(v):
 
 @register("saved_insights", "M8+C16", """
 SELECT insight_id, title, question, verified_query_name, created_at FROM (
-  SELECT id AS insight_id, user_name AS created_by, CASE WHEN id % 2 = 0 THEN 'genie' ELSE 'dashboard' END AS page,
+  SELECT id AS insight_id, user_name AS created_by, CASE WHEN id % 2 = 0 THEN 'assistant' ELSE 'dashboard' END AS page,
          substring(query_text, 1, 45) AS title, query_text AS question,
          CASE WHEN id % 3 = 0 THEN 'kpi_summary' ELSE 'mom_drivers' END AS verified_query_name,
          asked_at AS created_at FROM v_question_history)
-WHERE created_by = '4' AND page = 'genie' ORDER BY created_at DESC, insight_id DESC LIMIT 20""")
+WHERE created_by = '4' AND page = 'assistant' ORDER BY created_at DESC, insight_id DESC LIMIT 20""")
 def q_saved_insights(v):
     """M8 a user's newest saved insights on a page."""
-    return M.saved_insights(_insights(v), "4", "genie")
+    return M.saved_insights(_insights(v), "4", "assistant")
 
 
 @register("question_log_rows", "M10", """
