@@ -22,9 +22,30 @@ BASE_CONF = {
 }
 
 
+# Sizing for a large cluster (~1000 executors, ~100 TB of parquet). Shuffles
+# start wide and AQE coalesces them to ~256 MB partitions, so a partition
+# fits an executor core's memory share; hot keys in joins are split by AQE's
+# skew handling; scans split files into 256 MB tasks; a join side is
+# broadcast only when AQE measures it under 64 MB; runtime bloom filters
+# prune the big side of selective joins before the shuffle.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8192",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "ledgerflow") -> SparkSession:
-    """Return the active session, or build one (local runs and tests)."""
+                app_name: str = "ledgerflow", profile: str | None = None) -> SparkSession:
+    """Return the active session, or build one (local runs and tests).
+    ``profile="cluster"`` applies ``CLUSTER_CONF``."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
@@ -33,6 +54,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.master(master)
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
+    if profile == "cluster":
+        for k, v in CLUSTER_CONF.items():
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
