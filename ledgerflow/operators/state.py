@@ -101,7 +101,8 @@ def cache_lookup(cache: DataFrame, questions: DataFrame, as_of_ts,
                  default_ttl: int = S.DEFAULT_TTL_SECONDS) -> DataFrame:
     """M2 live cache hits for a batch of (question, cache_type) lookups; the
     key is md5(lower(trim(question)))."""
-    q = questions.select(F.md5(F.lower(F.trim("question"))).alias("query_hash"),
+    from ledgerflow.functions.scalars import strip_
+    q = questions.select(F.md5(F.lower(strip_("question"))).alias("query_hash"),
                          F.col("question").alias("asked"), "cache_type")
     return ttl_live(cache, as_of_ts, default_ttl).join(q, ["query_hash", "cache_type"], "inner")
 
@@ -187,7 +188,8 @@ def kpi_snapshot(kpi: DataFrame, user: str, preset: str, start: _dt.date, end: _
 
 def log_rows(questions: DataFrame, user_col: str = "user_name") -> DataFrame:
     """M10 rows appended to the question log: normalised text, user, time."""
-    return questions.select(F.lower(F.trim("query_text")).alias("normalized_query"), "query_text",
+    from ledgerflow.functions.scalars import strip_
+    return questions.select(F.lower(strip_("query_text")).alias("normalized_query"), "query_text",
                             user_col, "asked_at")
 
 

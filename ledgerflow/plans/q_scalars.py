@@ -21,8 +21,11 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+WS_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+
+
 def relevant_sql(col: str) -> str:
-    q = f"lower(trim({col}))"
+    q = f"lower(trim({col}, {WS_SQL}))"
     rej = " OR ".join(f"regexp_matches({q}, {_q(p)})" for p in S.NON_PROCUREMENT_PATTERNS)
     kw = " OR ".join(f"contains({q}, {_q(k)})" for k in S.PROCUREMENT_KEYWORDS)
     return f"(CASE WHEN {q} IS NULL THEN FALSE WHEN {rej} THEN FALSE ELSE COALESCE({kw}, FALSE) END)"

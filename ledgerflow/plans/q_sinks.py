@@ -72,9 +72,9 @@ def q_export_csv(v):
 
 
 @register("append_log_read_back", "M10", """
-SELECT lower(trim(query_text)) AS normalized_query, query_text, user_name, asked_at FROM v_question_history
+SELECT lower(trim(query_text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS normalized_query, query_text, user_name, asked_at FROM v_question_history
 UNION ALL
-SELECT lower(trim(query_text)), query_text, user_name, asked_at FROM v_question_history""")
+SELECT lower(trim(query_text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), query_text, user_name, asked_at FROM v_question_history""")
 def q_append_log(v):
     """M10 two batches appended to a log table, read back."""
     path = _fresh(v.spark, "log")

@@ -153,7 +153,7 @@ def q_cache_live(v):
 @register("cache_lookup", "M2+C19", f"""
 WITH q AS (SELECT '  ' || upper(question) || ' ' AS asked, cache_type FROM v_cache_writes)
 SELECT c.*, q.asked FROM v_query_cache c JOIN q
-  ON c.query_hash = md5(lower(trim(q.asked))) AND c.cache_type = q.cache_type
+  ON c.query_hash = md5(lower(trim(q.asked, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)))) AND c.cache_type = q.cache_type
 WHERE epoch_us({NOW_SQL}) - epoch_us(c.created_at) <= COALESCE(c.ttl_seconds, 3600) * 1000000""")
 def q_cache_lookup(v):
     """M2 live hits for every logged question re-asked with stray case/spaces."""
@@ -165,7 +165,7 @@ def q_cache_lookup(v):
 @register("cache_touch", "M4+M2", f"""
 WITH q AS (SELECT '  ' || upper(question) || ' ' AS asked, cache_type FROM v_cache_writes),
 hits AS (SELECT c.query_hash FROM v_query_cache c JOIN q
-           ON c.query_hash = md5(lower(trim(q.asked))) AND c.cache_type = q.cache_type
+           ON c.query_hash = md5(lower(trim(q.asked, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)))) AND c.cache_type = q.cache_type
          WHERE epoch_us({NOW_SQL}) - epoch_us(c.created_at) <= COALESCE(c.ttl_seconds, 3600) * 1000000),
 n AS (SELECT query_hash, COUNT(*) AS reads FROM hits GROUP BY 1)
 SELECT c.query_hash, c.question, c.created_at, CAST(c.hit_count + COALESCE(n.reads, 0) AS BIGINT) AS hit_count,
@@ -293,7 +293,7 @@ def q_saved_insights(v):
 
 
 @register("question_log_rows", "M10", """
-SELECT lower(trim(query_text)) AS normalized_query, query_text, user_name, asked_at FROM v_question_history""")
+SELECT lower(trim(query_text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS normalized_query, query_text, user_name, asked_at FROM v_question_history""")
 def q_question_log_rows(v):
     """M10 rows as appended to the question log (normalised text)."""
     return M.log_rows(v.question_history)

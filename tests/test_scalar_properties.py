@@ -34,7 +34,7 @@ def _pct(cur, prev):
 
 
 def _relevant(q):
-    ql = q.lower().strip(" ")
+    ql = q.lower().strip(" \t\n\r\f\v")
     if any(re.search(p, ql) for p in S.NON_PROCUREMENT_PATTERNS):
         return False
     return any(k in ql for k in S.PROCUREMENT_KEYWORDS)
