@@ -249,7 +249,8 @@ def frequent_questions(history: DataFrame, user: str | None = None, limit: int =
     f = history if user is None else history.filter(F.col("user_name") == user)
     g = f.groupBy(F.col("normalized_query").alias("query")).agg(
         F.count(F.lit(1)).alias("count"), F.max("asked_at").alias("last_asked"))
-    return g.orderBy(F.col("last_asked").desc(), F.col("query")).limit(limit)
+    return (g.orderBy(F.col("last_asked").desc(), F.col("query")).limit(limit)
+            .withColumn("label", F.substring("query", 1, S.FAQ_LABEL_CHARS)))
 
 
 def recent_distinct_questions(history: DataFrame, user: str, recent: int = 20) -> DataFrame:

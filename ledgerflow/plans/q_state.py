@@ -208,8 +208,9 @@ def q_running_hit_count(v):
 
 def _freq_sql(where: str) -> str:
     return f"""
-SELECT normalized_query AS query, COUNT(*) AS count, MAX(asked_at) AS last_asked
-FROM v_question_history {where} GROUP BY 1 ORDER BY last_asked DESC, query LIMIT 10"""
+SELECT *, substring(query, 1, 55) AS label FROM (
+  SELECT normalized_query AS query, COUNT(*) AS count, MAX(asked_at) AS last_asked
+  FROM v_question_history {where} GROUP BY 1 ORDER BY last_asked DESC, query LIMIT 10)"""
 
 
 @register("frequent_questions", "A45", _freq_sql(""))
@@ -275,7 +276,8 @@ def _insights(v):
     h = v.question_history
     return h.select(F.col("id").alias("insight_id"), F.col("user_name").alias("created_by"),
                     F.when(F.col("id") % 2 == 0, F.lit("assistant")).otherwise(F.lit("dashboard")).alias("page"),
-                    F.substring("query_text", 1, 45).alias("title"), F.col("query_text").alias("question"),
+                    F.substring("query_text", 1, S.INSIGHT_TITLE_CHARS).alias("title"),
+                    F.col("query_text").alias("question"),
                     F.when(F.col("id") % 3 == 0, F.lit("kpi_summary")).otherwise(F.lit("mom_drivers"))
                     .alias("verified_query_name"), F.col("asked_at").alias("created_at"))
 

@@ -107,6 +107,8 @@ SEARCH_ROWS = 500
 PAGE_SIZE = 8
 DEFAULT_TTL_SECONDS = 3600
 TRANSCRIPT_TRUNCATE = 600
+FAQ_LABEL_CHARS = 55
+INSIGHT_TITLE_CHARS = 45
 
 # -- FIXED VALUES: relevance gate (searched in lower(trim(question))) -------
 NON_PROCUREMENT_PATTERNS = (
