@@ -132,10 +132,14 @@ def _counts_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _written_vault(v):
+    return V.materialized_vault(v.spark, v.root, MODEL, _sources(v), LOAD_TS)
+
+
 @register("vault_counts", "V12", _counts_sql())
 def q_vault_counts(v):
-    """V12 rows per vault table (the load's report), without writing."""
-    return V.vault_counts(V.build_vault(MODEL, _sources(v), LOAD_TS, v.spark))
+    """V12 rows per vault table, read from the vault as written."""
+    return V.vault_counts(_written_vault(v))
 
 
 def _reconcile_sql() -> str:
@@ -154,8 +158,9 @@ FROM ({link_sql(lk, MODEL)}) c WHERE c.{hk} NOT IN (SELECT {hub.hk} FROM ({hub_s
 
 @register("vault_reconcile", "V14", _reconcile_sql())
 def q_vault_reconcile(v):
-    """V14 satellite / link keys missing from their hub (expected: none)."""
-    return V.vault_reconcile(V.build_vault(MODEL, _sources(v), LOAD_TS, v.spark), MODEL)
+    """V14 satellite / link keys missing from their hub (expected: none),
+    checked on the written vault: only the hash-key columns are read."""
+    return V.vault_reconcile(_written_vault(v), MODEL)
 
 
 _MAP_VALUES = ", ".join(f"('{k}', '{b}')" for k, b in NAME_MAP.items())
