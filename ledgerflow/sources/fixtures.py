@@ -51,11 +51,31 @@ def _fingerprint(spark: SparkSession, root: str, as_of: _dt.date) -> str:
     return _FINGERPRINTS[memo]
 
 
+def publish(spark: SparkSession, df: DataFrame, base: str, name: str) -> bool:
+    """Write ``df`` to a temp folder under ``base`` and rename it to
+    ``base/name``. Returns False when another writer published first (the
+    temp folder is then removed; the published view is kept)."""
+    import uuid
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    target = f"{base}/{name}"
+    tmp = f"{base}/.{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(tmp)
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(base))
+    # a rename onto an existing folder would move the temp folder inside it
+    if fs.exists(path(target)) or not fs.rename(path(tmp), path(target)):
+        fs.delete(path(tmp), True)
+        if not fs.exists(path(f"{target}/_SUCCESS")):
+            raise RuntimeError(f"could not publish view {name} at {target}")
+        return False
+    return True
+
+
 def materialized_view(spark: SparkSession, root: str, as_of: _dt.date, name: str, build,
                       cluster_by: str | None) -> DataFrame:
     """Write ``build()`` once to <checkpoint dir>/views/<fingerprint>/<name>
     (atomically: temp folder, then rename) and return a scan of it."""
-    import uuid
     from ledgerflow.session import ensure_checkpoint_dir
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/views/{_fingerprint(spark, root, as_of)}"
     target = f"{base}/{name}"
@@ -73,14 +93,7 @@ def materialized_view(spark: SparkSession, root: str, as_of: _dt.date, name: str
             # filter column so parquet row-group min/max statistics skip rows
             # outside a date range
             df = df.hint("rebalance").sortWithinPartitions(cluster_by)
-        tmp = f"{base}/.{name}-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(tmp)
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(base))
-        # a rename onto an existing folder would move the temp folder inside it
-        if fs.exists(tpath) or not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), tpath):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)   # another job published first
-            if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
-                raise RuntimeError(f"could not publish view {name} at {target}")
+        publish(spark, df, base, name)
     _VIEWS[memo] = spark.read.parquet(target)
     return _VIEWS[memo]
 
