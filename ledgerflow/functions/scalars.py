@@ -304,27 +304,28 @@ def split_sections(c) -> Column:
 def repair_json_map(c) -> Column:
     """C26 map<string,string> from model output: strip code fences, keep the
     outermost {...}, drop trailing commas, parse; when parsing fails, fall
-    back to the "key": "value" pairs found by a regex."""
-    t = F.trim(col_(c))
+    back to the "key": "value" pairs found by a regex (a repeated key keeps
+    its last value, as a dict built from the pairs would)."""
+    t = strip_(col_(c))
     t = F.regexp_replace(t, r"```json\s*", "")
     t = F.regexp_replace(t, r"```\s*$", "")
     first = F.instr(t, "{")
-    last = F.length(t) - F.locate("}", F.reverse(t)) + 1
-    has = (first > 0) & (F.locate("}", F.reverse(t)) > 0) & (last > first)
-    cand = F.when(has, _substr(t, first, last - first + 1)).otherwise(t)
+    last_from_end = F.locate("}", F.reverse(t))
+    last = F.length(t) - last_from_end + 1
+    has = (first > 0) & (last_from_end > 0) & (last > first)
+    cand = F.when(has, t.substr(first, last - first + 1)).otherwise(t)
     cand = F.regexp_replace(cand, r",\s*}", "}")
     cand = F.regexp_replace(cand, r",\s*]", "]")
     parsed = F.from_json(cand, "map<string,string>", {"mode": "PERMISSIVE"})
-    keys = F.regexp_extract_all(cand, F.lit(r'"([^"]+)"\s*:\s*"([^"]*)"'), 1)
-    vals = F.regexp_extract_all(cand, F.lit(r'"([^"]+)"\s*:\s*"([^"]*)"'), 2)
-    fallback = F.when(F.size(keys) > 0, F.map_from_arrays(keys, vals))
+    pair = r'"([^"]+)"\s*:\s*"([^"]*)"'
+    entries = F.arrays_zip(F.regexp_extract_all(cand, F.lit(pair), 1).alias("k"),
+                           F.regexp_extract_all(cand, F.lit(pair), 2).alias("v"))
+    last_wins = F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["k"] == e["k"]))
+    fallback = F.when(F.size(entries) > 0, F.map_from_entries(last_wins))
     return F.coalesce(parsed, fallback)
 
 
-def _substr(s: Column, pos: Column, length: Column) -> Column:
-    return s.substr(pos, length)
-
-
 def parse_json_cell(c, schema: str) -> Column:
     """C27 JSON text -> typed value."""
     return F.from_json(col_(c), schema)

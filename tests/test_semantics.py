@@ -191,3 +191,8 @@ def test_invoice_search_bound_is_exact(spark):
         assert [(g.invoice_number, g.posting_date) for g in got] == \
             [(e.invoice_number, None if e.posting_date != e.posting_date or e.posting_date is None
               else e.posting_date) for e in exp.itertuples()]
+
+
+def test_repair_json_map_repeated_key_keeps_last(spark):
+    df = spark.createDataFrame([("junk \"a\": \"1\" \"b\": \"2\" \"a\": \"3\" {",)], "t string")
+    assert df.select(C.repair_json_map("t").alias("m")).collect()[0].m == {"a": "3", "b": "2"}
