@@ -112,7 +112,7 @@ MATERIALIZED = {
     "grir_balance": None,
     "grir_aging": None,
 }
-VIEW_VERSION = "1"
+VIEW_VERSION = "2"
 
 
 class Views:
@@ -309,7 +309,9 @@ class Views:
                          F.sum("invoice_amount_local").alias("_all"),
                          F.sum(F.when(old, 1).otherwise(0)).cast("bigint").alias("cnt_grir_over_60"))
                     .select("year", "month",
-                            (F.col("_old").cast("double") / F.col("_all").cast("double"))
+                            # null rather than a division-by-zero error (ANSI)
+                            # for a month whose open amounts sum to zero
+                            F.try_divide(F.col("_old").cast("double"), F.col("_all").cast("double"))
                             .alias("pct_grir_over_60"),
                             "cnt_grir_over_60"))
         return self._get("grir_aging", build)
