@@ -42,12 +42,17 @@ def test_hub_reads_only_key_columns(spark):
     assert "ReadSchema: struct<l_suppkey:bigint>" in p
 
 
-def test_no_cartesian_products_and_nested_loops_only_in_j5(spark):
-    offenders = []
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
+                "PythonUDF", "MapInArrow")
+
+
+def test_no_cartesian_products_no_python_and_nested_loops_only_in_j5(spark):
+    joins, python = [], []
     for name in sorted(E.queries()):
-        if name in ("kpi_parts_cross",):
-            continue
         p = plan(spark, name, "simple")
-        if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
-            offenders.append(name)
-    assert offenders == []
+        if name != "kpi_parts_cross" and ("CartesianProduct" in p or "BroadcastNestedLoopJoin" in p):
+            joins.append(name)
+        if any(node in p for node in PYTHON_NODES):
+            python.append(name)
+    assert joins == []
+    assert python == []
