@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ledgerflow.operators.filters import not_null
 from ledgerflow.operators.forecast import cash_flow_buckets
 from ledgerflow.operators.state import append_log, log_rows
-from ledgerflow.operators.vault import empty_table
 from ledgerflow.plans.registry import AS_OF, register
 from ledgerflow.sources.io import export_csv, scratch_path, write_table
 
@@ -84,10 +83,13 @@ def q_append_log(v):
     return v.spark.read.parquet(path)
 
 
-@register("empty_satellite", "S7", None)
+@register("empty_satellite", "S7+V6", None)
 def q_empty_satellite(v):
-    """S7 an empty satellite with real column types (0 rows)."""
-    from ledgerflow.plans.q_vault import MODEL, _sources
+    """S7 through V6: a satellite whose source table is not among the bronze
+    tables comes out empty but typed from the tables that carry its columns."""
+    from ledgerflow.operators.vault import build_satellite
+    from ledgerflow.plans.q_vault import LOAD_TS, MODEL, _sources
     from ledgerflow.sources.bronze import Satellite
-    sat = Satellite("SAT_EMPTY", "HUB_VENDOR", ["VENDOR_ID"], "supplier", ["VENDOR_NAME", "S_ACCTBAL"])
-    return empty_table(v.spark, "satellite", sat, MODEL, _sources(v))
+    sat = Satellite("SAT_VENDOR_ARCHIVE", "HUB_VENDOR", ["VENDOR_ID"], "supplier_archive",
+                    ["VENDOR_NAME", "S_ACCTBAL"])
+    return build_satellite(sat, MODEL.hub("HUB_VENDOR"), _sources(v), LOAD_TS, v.spark, MODEL)
