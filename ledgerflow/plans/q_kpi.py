@@ -140,9 +140,9 @@ def q_kpi_auto_rate(v):
         "auto_rate", ratio("auto_processed", "auto_total", 100.0))
 
 
-def _compare_sql() -> str:
-    cur = kpi_sql(START, END).strip()
-    prev = kpi_sql(PREV_START, PREV_END).strip()
+def _compare_sql(vendor_where: str = "") -> str:
+    cur = kpi_sql(START, END, vendor_where).strip()
+    prev = kpi_sql(PREV_START, PREV_END, vendor_where).strip()
     cols = ("total_spend", "active_pos", "total_pos", "pending_inv", "active_vendors",
             "avg_processing_days", "first_pass_rate", "auto_rate")
 
@@ -178,6 +178,12 @@ def q_kpi_compare(v):
     return kpi.kpi_compare(v, START, END)
 
 
+@register("kpi_compare_vendor", "A11+F4+J2", _compare_sql(VWHERE))
+def q_kpi_compare_vendor(v):
+    """A11 for one vendor (both windows from one pass, vendor as a flag)."""
+    return kpi.kpi_compare(v, START, END, VENDOR)
+
+
 def _preset(name):
     from ledgerflow.operators.filters import range_preset
     from ledgerflow.plans.registry import AS_OF
