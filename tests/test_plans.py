@@ -6,6 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from ledgerflow.plans.registry import load_all
 
 from .conftest import SF_SMALL
 
@@ -48,7 +49,7 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGro
 
 def test_no_cartesian_products_no_python_and_nested_loops_only_in_j5(spark):
     joins, python = [], []
-    for name in sorted(E.queries()):
+    for name in sorted(load_all()):
         p = plan(spark, name, "simple")
         if name != "kpi_parts_cross" and ("CartesianProduct" in p or "BroadcastNestedLoopJoin" in p):
             joins.append(name)
