@@ -13,6 +13,7 @@ from ledgerflow.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from ledgerflow.llm.common import only_kept, stored, table
 
 MAX_PASSES = 2.0        # passes over the most repeated source
+PACKING_CACHE = 100_000     # pieces a worker keeps: the stages share the executors' memory
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences (operator 6): one row a piece."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_entries=PACKING_CACHE)
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_dedup_stage), ("near_dedup", near_dedup_stage),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ledgerflow.session import ensure_checkpoint_dir
 # Working columns of every operator start with this, so that extra columns
 # of the caller's table never clash with them.
 OWN = "_lf_"
+BATCH_ROWS = 1000           # rows of an Arrow batch in jobs that run here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Let Arrow batches hold at most ``rows`` rows while a job runs: texts and
+    ids are long rows, and a worker holds a few batches at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
@@ -31,7 +47,8 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     files, never the work behind them.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with arrow_batches(df.sparkSession, BATCH_ROWS):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

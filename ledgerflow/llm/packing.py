@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import small, stored
-from ledgerflow.llm.tokens import END_ID, default_tokenizer, encoder
+from ledgerflow.llm.tokens import CACHE_ENTRIES, END_ID, default_tokenizer, encoder
 
 WINDOW = 1024
 MAX_PARTITIONS = 500_000         # rows of the broadcast offsets: about 20 MB
@@ -29,10 +29,11 @@ BATCH = 128                      # documents encoded at once
 END = np.array([END_ID], "<u4").tobytes()
 
 
-def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
+            cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, part, before (ids of the partition before it), ids (with the end id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(tokenizer, cache_entries), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 rows = batch.slice(at, BATCH)
@@ -52,15 +53,16 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Data
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens,
-    sequence_id, offset.
+    sequence_id, offset. ``cache_entries`` bounds what a worker keeps of pieces
+    encoded before (200 bytes each).
 
     start counts the document's ids before the piece, offset the sequence's.
     A null text is an empty one: its only id is the end id. Rows with a null
     or repeated doc_id are packed each. An empty table gives an empty result.
     """
-    rows = stored(encoded(docs, tokenizer or default_tokenizer(), id_col, text_col), "pack-ids",
+    rows = stored(encoded(docs, tokenizer or default_tokenizer(), id_col, text_col, cache_entries), "pack-ids",
                   compression="zstd")
     totals = stored(rows.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n")),
                     "pack-totals")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import small
+from ledgerflow.llm.common import BATCH_ROWS, arrow_batches, small
 from ledgerflow.llm.tokens import END_ID, default_tokenizer, encoder
 
 CHUNK_IDS = 1 << 16
@@ -130,8 +130,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
         if shard.docs:
             yield _batch([shard.flush()])
 
-    (dealt.mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "uncompressed")
-     .option("parquet.block.size", 8 << 20).parquet(f"{path}/chunks"))
+    with arrow_batches(spark, BATCH_ROWS):
+        (dealt.mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "uncompressed")
+         .option("parquet.block.size", 8 << 20).parquet(f"{path}/chunks"))
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
     chunks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).write.parquet(f"{path}/shards")
 

@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
-CACHE_ENTRIES = 500_000            # about 120 MB a worker
+CACHE_ENTRIES = 500_000            # pieces a worker keeps: about 100 MB
 END_ID = 0
-_ODD = re.compile(r"\s\s|\0| \Z|\A ")
+_SIDE_BY_SIDE = re.compile(r"\s\s")
 _TAIL = re.compile(r"( ?[^\W\d_]+)([.,])\Z")
 
 
@@ -27,27 +26,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces(text: str) -> list[str] | None:
+    """The text cut before blanks, or None if it has to be encoded whole: with
+    white space side by side, a blank at an end, or a NUL (the mark used here)."""
+    if "\0" in text or text[:1] == " " or text[-1:] == " " or _SIDE_BY_SIDE.search(text):
+        return None
+    return text.replace(" ", "\0 ").split("\0")
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
+        self.cache_entries = cache_entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
+        if len(self.cache) > self.cache_entries:
             self.cache.clear()
         cache = self.cache
-        # a text with white space side by side, or with a NUL, is encoded whole
-        cut = [None if _ODD.search(t) else t.replace(" ", "\0 ").split("\0") for t in (x or "" for x in texts)]
+        cut = [pieces(t or "") for t in texts]
         missing = {p for c in cut if c is not None for p in c if p not in cache}
         halves = {p: m.groups() for p in missing if (m := _TAIL.match(p))}
         need = list({q for p in missing for q in halves.get(p, (p,)) if q not in cache})
@@ -55,10 +62,10 @@ class Encoder:
         for p, (a, b) in halves.items():
             cache[p] = cache[a] + cache[b]
         whole = iter(self._encode([t or "" for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join([cache[p] for p in c]) for c in cut]
+        return [next(whole) if c is None else b"".join(map(cache.__getitem__, c)) for c in cut]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=2)
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
     """The worker's encoder for one tokenizer file."""
-    return Encoder(path)
+    return Encoder(path, cache_entries)
