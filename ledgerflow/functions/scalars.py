@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow import semantics as S
 
@@ -18,9 +19,9 @@ __all__ = [
     "col_", "month_start", "year_start", "add_months_", "add_days", "days_between",
     "month_key", "month_label", "yyyymm", "as_of_date", "pct_delta", "abbr_currency",
     "clean_invoice_number", "format_invoice_number", "safe_number", "safe_int",
-    "upper_", "lower_", "trim_", "contains_", "cast_", "try_cast_", "coalesce_", "case_",
-    "round_", "abs_", "ym_label", "strip_", "truncate_text", "role_label", "age_label", "md5_key",
-    "sha_key", "hash_text", "is_relevant", "route_intent", "chart_title_class",
+    "try_cast_", "coalesce_", "case_",
+    "round_", "ym_label", "strip_", "truncate_text", "role_label", "age_label", "md5_key",
+    "sha_key", "hash_text", "key_text", "is_relevant", "route_intent", "chart_title_class",
     "infer_preset", "split_sections", "repair_json_map", "parse_json_cell", "status_group",
     "bucket_label", "detail_aging", "ratio", "any_contains",
 ]
@@ -139,31 +140,11 @@ def safe_int(c, default: int = 0) -> Column:
 
 
 # -- C12-C15 generic ---------------------------------------------------------
-def upper_(c) -> Column:
-    return F.upper(col_(c))
-
-
-def lower_(c) -> Column:
-    return F.lower(col_(c))
-
-
-def trim_(c) -> Column:
-    return F.trim(col_(c))
-
-
-def contains_(c, s: str) -> Column:
-    return col_(c).contains(s)
-
-
 def any_contains(c, words) -> Column:
     c = col_(c)
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
-def cast_(c, t: str) -> Column:
-    return col_(c).cast(t)
-
-
 def try_cast_(c, t: str) -> Column:
     """CAST that yields NULL on bad input (ANSI mode safe)."""
     return col_(c).try_cast(t)
@@ -189,10 +170,6 @@ def round_(c, n: int = 0) -> Column:
     return F.round(col_(c), n)
 
 
-def abs_(c) -> Column:
-    return F.abs(col_(c))
-
-
 def ym_label(year, month) -> Column:
     """C15 'yyyy-MM' from (year, month) pair columns."""
     return F.format_string("%04d-%02d", col_(year).cast("int"), col_(month).cast("int"))
@@ -223,12 +200,28 @@ def md5_key(*cols, sep: str = ":") -> Column:
     return F.md5(F.concat_ws(sep, *[col_(c).cast("string") for c in cols]))
 
 
-def hash_text(c) -> Column:
-    """Text form of a value for hashing: integers plain, doubles via
-    DECIMAL(12,2), timestamps via DATE, null -> ''."""
+def hash_text(c, kind: T.DataType | None = None) -> Column:
+    """Text form of a value for hashing: its full plain text, null -> ''."""
     return F.coalesce(col_(c).cast("string"), F.lit(""))
 
 
+def key_text(c, kind: T.DataType | None = None) -> Column:
+    """Text form of a business key, the same for every numeric type: whole
+    numbers as plain digits, decimals without trailing zeros, doubles in full.
+    Other types, and an unknown type, as ``hash_text``."""
+    c = col_(c)
+    if isinstance(kind, T.DecimalType):
+        plain = c.cast("string")
+        text = F.when(F.contains(plain, F.lit(".")),
+                      F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))).otherwise(plain)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole = (c == F.floor(c.cast("double"))) & (F.abs(c) < 9.007199254740992e15)
+        text = F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
+    else:
+        text = c.cast("string")
+    return F.coalesce(text, F.lit(""))
+
+
 def sha_key(*cols) -> Column:
     """C20 sha2-256 over '||'-joined text, null -> ''."""
     return F.sha2(F.concat_ws("||", *[hash_text(c) for c in cols]), 256)
@@ -306,23 +299,17 @@ def repair_json_map(c) -> Column:
     outermost {...}, drop trailing commas, parse; when parsing fails, fall
     back to the "key": "value" pairs found by a regex (a repeated key keeps
     its last value, as a dict built from the pairs would)."""
-    t = strip_(col_(c))
-    t = F.regexp_replace(t, r"```json\s*", "")
-    t = F.regexp_replace(t, r"```\s*$", "")
-    first = F.instr(t, "{")
-    last_from_end = F.locate("}", F.reverse(t))
-    last = F.length(t) - last_from_end + 1
-    has = (first > 0) & (last_from_end > 0) & (last > first)
-    cand = F.when(has, t.substr(first, last - first + 1)).otherwise(t)
-    cand = F.regexp_replace(cand, r",\s*}", "}")
-    cand = F.regexp_replace(cand, r",\s*]", "]")
-    parsed = F.from_json(cand, "map<string,string>", {"mode": "PERMISSIVE"})
+    bare = F.regexp_replace(strip_(col_(c)), r"```json\s*|```\s*$", "")
+    outer = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    body = F.regexp_replace(F.when(outer != "", outer).otherwise(bare), r",\s*([}\]])", "$1")
+    parsed = F.from_json(body, "map<string,string>", {"mode": "PERMISSIVE"})
     pair = r'"([^"]+)"\s*:\s*"([^"]*)"'
-    entries = F.arrays_zip(F.regexp_extract_all(cand, F.lit(pair), 1).alias("k"),
-                           F.regexp_extract_all(cand, F.lit(pair), 2).alias("v"))
-    last_wins = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["k"] == e["k"]))
-    fallback = F.when(F.size(entries) > 0, F.map_from_entries(last_wins))
+    found = F.reverse(F.arrays_zip(F.regexp_extract_all(body, F.lit(pair), 1).alias("k"),
+                                   F.regexp_extract_all(body, F.lit(pair), 2).alias("v")))
+    keys = F.transform(found, lambda e: e["k"])
+    # newest first: a pair stays if its key has not come up before
+    newest = F.filter(found, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
+    fallback = F.when(F.size(found) > 0, F.map_from_entries(newest))
     return F.coalesce(parsed, fallback)
 
 

@@ -123,8 +123,7 @@ def payment_headline(perf: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("_months"),
                      F.sum("late_payments").alias("total_late"),
                      F.sum("total_payments").alias("total_payments"))
-            .select(F.round(F.col("_sum_avg").cast("double") / F.col("_months"), 6)
-                    .alias("avg_days_to_pay"),
+            .select((F.col("_sum_avg").cast("double") / F.col("_months")).alias("avg_days_to_pay"),
                     ratio("total_late", "total_payments", 100.0).alias("late_payments_pct"),
                     F.coalesce("total_late", F.lit(0)).cast("bigint").alias("total_late"),
                     F.coalesce("total_payments", F.lit(0)).cast("bigint").alias("total_payments")))

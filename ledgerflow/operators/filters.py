@@ -8,9 +8,10 @@ the parquet scan where the column is a stored one.
 from __future__ import annotations
 
 import datetime as _dt
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow import semantics as S
@@ -108,9 +109,13 @@ def not_null(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def invoice_key(invoice_number) -> Column:
-    """Typed probe literal: the key is cast, not the column, so the filter
-    stays pushable (the reference casts the column to text)."""
-    return F.lit(str(invoice_number)).try_cast("bigint")
+    """Typed probe literal: the number is cleaned (what follows a decimal point
+    is dropped, as C9 does) and cast, not the column, so that the filter stays
+    pushable (the reference casts the column to text)."""
+    if isinstance(invoice_number, (float, Decimal)):
+        invoice_number = int(invoice_number)
+    text = str(invoice_number).strip().partition(".")[0]
+    return F.lit(text).try_cast("bigint")
 
 
 INVOICE_DETAIL_ORDER = ("vendor_id", "invoice_amount", "invoice_date", "due_date", "po_number",
@@ -144,6 +149,35 @@ def invoice_exists(inv: DataFrame, invoice_number) -> DataFrame:
                     (F.col("n") > 0).alias("found")))
 
 
+NUMBER_SLOTS = 512
+
+
+def newest_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows of the newest posting dates that surely hold ``limit`` distinct
+    rows (all rows if none do).
+
+    Per date, invoice numbers are hashed into ``NUMBER_SLOTS`` bits (eight
+    longs, combined map-side): the bits set are a lower bound of its distinct
+    rows. Dates are summed up newest first until the bound reaches ``limit``,
+    usually after one or two dates. The oldest such date is a scalar subquery
+    that Spark pushes into the parquet scan. Its input is one small row per
+    date, however long the history is."""
+    h = F.pmod(F.xxhash64("invoice_number"), F.lit(NUMBER_SLOTS)).cast("int")
+    words = [F.bit_or(F.when(F.floor(h / 64) == i, F.expr(
+        f"shiftleft(1L, cast(pmod(xxhash64(invoice_number), {NUMBER_SLOTS}) % 64 as int))"))
+        .otherwise(F.lit(0).cast("bigint"))).alias(f"_b{i}") for i in range(NUMBER_SLOTS // 64)]
+    dates = rows.filter(F.col("posting_date").isNotNull()).groupBy("posting_date").agg(*words)
+    least = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"_b{i}")) for i in range(NUMBER_SLOTS // 64)])
+    newest = Window.orderBy(F.col("posting_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dates.select("posting_date", F.sum(least).over(newest).alias("_rows"))     # one row a date
+    bound = summed.filter(F.col("_rows") >= limit).agg(F.max("posting_date").alias("d"))
+    # two branches so each predicate is pushable on its own (an OR is not)
+    dated = rows.filter(F.col("posting_date") >= bound.select(
+        F.coalesce("d", F.lit("0001-01-01").cast("date"))).scalar())
+    undated = rows.filter(F.col("posting_date").isNull() & bound.select(F.col("d").isNull()).scalar())
+    return dated.unionByName(undated)
+
+
 def invoice_search(inv: DataFrame, ven: DataFrame, as_of: _dt.date, number=None,
                    vendor: str | None = None, status: str | None = None,
                    limit: int = S.SEARCH_ROWS) -> DataFrame:
@@ -161,26 +195,11 @@ def invoice_search(inv: DataFrame, ven: DataFrame, as_of: _dt.date, number=None,
         else:
             preds.append(F.upper(F.col("invoice_status")) == F.upper(F.lit(status)))
     base = inv.filter(reduce(lambda a, b: a & b, preds)) if preds else inv
-    # Exact bound before the DISTINCT: every distinct posting date holds at
-    # least one distinct result row, so the first ``limit`` rows (newest
-    # first) all lie on or after the ``limit``-th newest distinct date. That
-    # date comes from a tiny aggregate and is applied as a scalar subquery,
-    # which Spark pushes into the parquet scan; the DISTINCT then only sees
-    # those dates instead of the whole history. (A left join to a keyed
-    # dimension keeps every fact row, so without a vendor filter the dates
-    # can be taken from the fact itself.)
     j = with_vendor(base, ven, vendor=vendor)
-    dated = base if vendor is None else j
-    dates = dated.filter(F.col("posting_date").isNotNull()).select("posting_date").distinct()
-    newest = dates.orderBy(F.col("posting_date").desc()).limit(limit)
-    bounds = newest.agg(F.min("posting_date").alias("d"), F.count(F.lit(1)).alias("n"))
-    bound = bounds.select("d").scalar()
-    enough = bounds.select(F.col("n") >= limit).scalar()
-    src = base if vendor is None else j
-    # two branches so each predicate is pushable on its own (an OR is not)
-    kept = (src.filter(F.col("posting_date") >= bound)
-            .unionByName(src.filter(F.col("posting_date").isNull() & ~enough)))
-    j = with_vendor(kept, ven, vendor=vendor) if vendor is None else kept
+    if number is None:
+        # A left join to a keyed dimension keeps every fact row, so without a
+        # vendor filter the bound can be taken from the fact itself.
+        j = with_vendor(newest_rows(base, limit), ven) if vendor is None else newest_rows(j, limit)
     out = j.select("invoice_number", "vendor_name", "posting_date", "due_date",
                    F.col("invoice_amount_local").cast("double").alias("invoice_amount"),
                    F.col("purchase_order_reference").alias("po_number"),
@@ -220,8 +239,8 @@ def min_share(df: DataFrame, col: str = "percentage", pct: float = S.MIN_SHARE_P
 
 
 def first_non_empty(a: DataFrame, b: DataFrame) -> DataFrame:
-    """F18 rows of ``a``, or of ``b`` when ``a`` has none; decided inside the
-    plan by a scalar probe (``a`` stopped at its first row), no driver round
-    trip and no join."""
-    a_is_empty = a.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
-    return a.unionByName(b.filter(a_is_empty))
+    """F18 rows of ``a``, or of ``b`` when ``a`` has none.
+
+    The probe stops at the first row of ``a``; the other frame is never read.
+    It runs when the plan is built, as the choice decides what is planned."""
+    return b.select(*a.columns) if a.isEmpty() else a

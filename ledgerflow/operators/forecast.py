@@ -17,7 +17,6 @@ from ledgerflow import semantics as S
 from ledgerflow.functions.scalars import ratio, ym_label
 from ledgerflow.operators.filters import status_is
 from ledgerflow.operators.joins import latest_pair, names_of, with_vendor
-from ledgerflow.operators.setops import union_total_row
 
 
 def _as_of(as_of) -> Column:
@@ -35,18 +34,21 @@ def cash_flow_bucket(days: Column) -> Column:
 
 def cash_flow_buckets(inv: DataFrame, as_of: _dt.date) -> DataFrame:
     """A15 unpaid invoices with a due date, by due bucket: count, sum, min and
-    max due; plus the TOTAL_UNPAID row with null dates (U2)."""
+    max due; plus the TOTAL_UNPAID row with null dates (U2). No unpaid invoice,
+    no row."""
     base = inv.filter(status_is(*S.UNPAID) & F.col("due_date").isNotNull())
-    du = F.datediff(F.col("due_date"), _as_of(as_of))
-    buckets = (base.groupBy(cash_flow_bucket(du).alias("forecast_bucket"))
-               .agg(F.count(F.lit(1)).alias("invoice_count"),
-                    F.sum("invoice_amount_local").alias("total_amount"),
-                    F.min("due_date").alias("earliest_due"),
-                    F.max("due_date").alias("latest_due")))
-    out = union_total_row(buckets, "forecast_bucket", S.CASH_FLOW_TOTAL,
-                          ["invoice_count", "total_amount"],
-                          {"earliest_due": "date", "latest_due": "date"})
-    return out.withColumn("total_amount", F.col("total_amount").cast("double"))
+    bucket = cash_flow_bucket(F.datediff(F.col("due_date"), _as_of(as_of)))
+    # one pass: the empty grouping set of the rollup is the total
+    rolled = (base.select(bucket.alias("_bucket"), "invoice_amount_local", "due_date").rollup("_bucket")
+              .agg(F.count(F.lit(1)).alias("invoice_count"),
+                   F.sum("invoice_amount_local").cast("double").alias("total_amount"),
+                   F.min("due_date").alias("_first"), F.max("due_date").alias("_last"),
+                   F.grouping("_bucket").alias("_total")))
+    total = F.col("_total") == 1
+    return rolled.select(
+        F.when(total, F.lit(S.CASH_FLOW_TOTAL)).otherwise(F.col("_bucket")).alias("forecast_bucket"),
+        "invoice_count", "total_amount", F.when(~total, F.col("_first")).alias("earliest_due"),
+        F.when(~total, F.col("_last")).alias("latest_due"))
 
 
 def cash_flow_ordered(buckets: DataFrame) -> DataFrame:

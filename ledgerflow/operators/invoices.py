@@ -34,9 +34,15 @@ def invoice_representative(inv: DataFrame, cols=("posting_date", "due_date")) ->
 
 def history_default(inv: DataFrame, history: DataFrame) -> DataFrame:
     """I2 every invoice's history; invoices with none get two synthesised rows:
-    OPEN at the invoice date and OVERDUE at the due date."""
-    have = history.select("invoice_number").distinct()
-    missing = invoice_representative(inv).join(have, "invoice_number", "left_anti")
+    OPEN at the invoice date and OVERDUE at the due date.
+
+    Which invoices have none comes from one map-side combined aggregate over
+    the fact's and the history's numbers together, not from a join."""
+    dates = F.struct("posting_date", "due_date")
+    numbers = inv.select("invoice_number", dates.alias("_r"), F.lit(False).alias("_has")).unionByName(
+        history.select("invoice_number", F.lit(True).alias("_has")), allowMissingColumns=True)
+    missing = (numbers.groupBy("invoice_number").agg(F.min("_r").alias("_r"), F.bool_or("_has").alias("_has"))
+               .filter(~F.col("_has")).select("invoice_number", "_r.posting_date", "_r.due_date"))
     rows = F.array(
         F.struct(F.lit(1).alias("sequence_nbr"), F.lit(DEFAULT_OPEN).alias("status"),
                  F.col("posting_date").alias("effective_date"),
@@ -60,16 +66,16 @@ def payable_flag(inv: DataFrame) -> DataFrame:
 def mark_paid(history: DataFrame, to_pay: DataFrame, as_of: _dt.date,
               note: str = "Processed via payment run") -> DataFrame:
     """U7 batch form of 'Proceed to Pay': add a PAID row to each selected
-    invoice unless a PAID row with the same note exists."""
+    invoice unless a PAID row (in any letter case) with the same note exists."""
     from ledgerflow.operators.setops import append_if_absent
     new = to_pay.select("invoice_number").distinct().select(
         "invoice_number", F.lit(9).alias("sequence_nbr"), F.lit("PAID").alias("status"),
         F.lit(as_of).cast("date").alias("effective_date"), F.lit(note).alias("status_notes"))
     base = history.select(*HISTORY_COLS)
     # every new row is (PAID, note): only history rows with those values can
-    # match, and the two literal predicates are pushed into the scan
-    probe = base.filter((F.col("status") == "PAID") & (F.col("status_notes") == note))
-    return append_if_absent(base, new, ["invoice_number", "status", "status_notes"], probe)
+    # match; the note's literal predicate is pushed into the scan
+    probe = base.filter((F.upper("status") == "PAID") & (F.col("status_notes") == note))
+    return append_if_absent(base, new, ["invoice_number"], probe)
 
 
 def invoice_360(inv: DataFrame, ven: DataFrame, company: DataFrame, plant: DataFrame,

@@ -26,21 +26,22 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def unpivot_numeric(df: DataFrame, max_rows: int = 200) -> DataFrame:
+def unpivot_numeric(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """P3 first non-numeric column as the dimension, all numeric columns
-    melted to (dim, variable, value). Like the chart it feeds, it yields no
-    rows when the input has more than ``max_rows`` rows (decided in the
-    plan by a one-row count)."""
+    melted to (dim, variable, value). With ``max_rows`` (a chart's display
+    limit, off by default) it yields no rows when the input has more, decided
+    in the plan by a one-row count."""
     nums = numeric_columns(df)
     dims = [c for c in df.columns if c not in nums]
     if not nums or not dims:
         return df.sparkSession.createDataFrame([], "dimension string, variable string, value double")
     dim = dims[0]
-    n = df.agg(F.count(F.lit(1))).scalar()
     src = df.select(F.col(dim).cast("string").alias("dimension"),
                     *[F.col(c).cast("double").alias(c) for c in nums])
     long = src.unpivot(["dimension"], nums, "variable", "value")
-    return long.filter(n <= max_rows)
+    if max_rows is None:
+        return long
+    return long.filter(df.agg(F.count(F.lit(1))).scalar() <= max_rows)
 
 
 def title_header(name: str) -> str:
@@ -49,10 +50,14 @@ def title_header(name: str) -> str:
 
 
 def report_frame(df: DataFrame, labels: dict[str, str] | None = None,
-                 max_rows: int = S.SEARCH_ROWS) -> DataFrame:
-    """P4 display frame: at most ``max_rows`` rows (the report's page cap),
-    nulls as '—', numbers with thousands separators (floats 2 dp unless
+                 max_rows: int | None = None, order: list | None = None) -> DataFrame:
+    """P4 display frame: all rows, or with ``max_rows`` (a page cap, off by
+    default) the first so many in ``order``, which it then needs; nulls as '—', numbers with thousands separators (floats 2 dp unless
     whole), headers titled or relabelled."""
+    if max_rows is not None:
+        if not order:
+            raise ValueError("a capped report needs an order")
+        df = df.orderBy(*order).limit(max_rows)
     labels = labels or {}
     out = []
     for f in df.schema.fields:
@@ -66,7 +71,7 @@ def report_frame(df: DataFrame, labels: dict[str, str] | None = None,
         else:
             txt = c.cast("string")
         out.append(F.coalesce(txt, F.lit("—")).alias(labels.get(f.name, title_header(f.name))))
-    return df.limit(max_rows).select(*out)
+    return df.select(*out)
 
 
 def stringify_objects(df: DataFrame) -> DataFrame:

@@ -139,10 +139,11 @@ def delete_keys(state: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def delete_type(state: DataFrame, cache_type: str | None) -> DataFrame:
-    """M5 remove a whole type, or everything when ``cache_type`` is None."""
+    """M5 remove a whole type, or everything when ``cache_type`` is None; rows
+    without a type stay."""
     if cache_type is None:
         return state.limit(0)
-    return state.filter(~(F.col("cache_type") == cache_type))
+    return state.filter(~F.col("cache_type").eqNullSafe(cache_type))
 
 
 def memory_by_user(memory: DataFrame, user: str, memory_type: str | None = None) -> DataFrame:
@@ -174,15 +175,12 @@ def saved_insights(insights: DataFrame, user: str, page: str, limit: int = 20) -
 def kpi_snapshot(kpi: DataFrame, user: str, preset: str, start: _dt.date, end: _dt.date,
                  created_at) -> DataFrame:
     """M9 the KPI row as JSON keyed by md5(user:preset:start:end)."""
-    from ledgerflow.sources.io import json_ready
-    j = json_ready(kpi)
-    return j.select(
+    return kpi.select(
         md5_key(F.lit(user), F.lit(preset), F.lit(start.isoformat()), F.lit(end.isoformat()))
         .alias("snapshot_id"),
         F.lit(user).alias("user_name"), F.lit(preset).alias("preset"),
         F.lit(start.isoformat()).alias("start_date"), F.lit(end.isoformat()).alias("end_date"),
-        F.to_json(F.struct(*[F.col(c).cast("decimal(20,6)") if t in ("double", "float") else F.col(c)
-                             for c, t in j.dtypes])).alias("kpi_json"),
+        F.to_json(F.struct(*kpi.columns)).alias("kpi_json"),
         _ts(created_at).alias("created_at"))
 
 

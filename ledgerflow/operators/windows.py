@@ -8,6 +8,8 @@ by their key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,28 +85,42 @@ def topn_share(ranked: DataFrame, order_value: str, value: str, n: int) -> DataF
 
 def paginate(df: DataFrame, page: int, size: int, order: list) -> DataFrame:
     """W6 page ``page`` (0-based) of ``size`` rows in ``order``: a top-k of
-    (page+1)*size rows then an offset, so only bounded rows are sorted."""
+    (page+1)*size rows then an offset. Deep pages grow that top-k; use
+    ``page_after`` to go on from the last row shown."""
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def page_after(df: DataFrame, size: int, keys: list[str], last: dict) -> DataFrame:
+    """W6 the next ``size`` rows after the row ``last`` in ascending ``keys``
+    (non-null, unique together): a filter that is pushed into the scan and a
+    top-k of one page, however deep the page lies."""
+    after = F.lit(False)
+    for i, k in enumerate(keys):
+        tied = reduce(lambda a, b: a & b, [F.col(x) == F.lit(last[x]) for x in keys[:i]], F.lit(True))
+        after = after | (tied & (F.col(k) > F.lit(last[k])))
+    return df.filter(F.col(keys[0]) >= F.lit(last[keys[0]])).filter(after).orderBy(*keys).limit(size)
+
+
 def running_hit_count(writes: DataFrame, key: str = "query_hash", ts: str = "created_at",
-                      tie: str | None = None) -> DataFrame:
+                      tie: str | None = None, slice_by: str = "hour") -> DataFrame:
     """W8 per key, hits accumulated over re-writes: the n-th write (in
-    ``ts``, ``tie`` order) has n-1 hits.
+    ``ts``, ``tie`` order) has n-1 hits. All columns are kept.
 
-    Skew-safe: rows are range-partitioned on (key, ts, tie), so one key's
-    writes may span several partitions in order; each (key, partition)
-    slice is numbered on its own, and the slice's offset is the number of
-    earlier rows of the key in lower partitions (a small per-(key,
-    partition) count table). No key is ever gathered into one task."""
+    Skew-safe: a key's writes are cut into slices of time that the data alone
+    determine (``slice_by`` of ``ts``, null times first). Slices are counted
+    (map-side combined) and summed up per key, one row a slice; inside a slice
+    rows are numbered on their own. Nothing depends on sampling or on how rows
+    are partitioned, and no key is ever gathered into one task."""
     order = [ts] + ([tie] if tie else [])
-    n = int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = writes.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy(key, "_part").orderBy(*[F.col(c) for c in order])
-    local = ranged.withColumn("_rn", F.row_number().over(w))
-    sizes = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cut = writes.withColumn("_slice", F.date_trunc(slice_by, F.col(ts)))
+    sizes = cut.groupBy(F.col(key).alias("_key"), F.col("_slice").alias("_at")).agg(
+        F.count(F.lit(1)).alias("_cnt"))
+    before = (Window.partitionBy("_key").orderBy(F.col("_at").asc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
-    return (local.join(offsets, [key, "_part"])
+    w = Window.partitionBy(key, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    local = cut.withColumn("_rn", F.row_number().over(w))
+    return (local.join(offsets, local[key].eqNullSafe(offsets["_key"])
+                       & local["_slice"].eqNullSafe(offsets["_at"]))
             .withColumn("hit_count", F.col("_off") + F.col("_rn") - 1)
-            .drop("_part", "_rn", "_off"))
+            .select(*writes.columns, "hit_count"))

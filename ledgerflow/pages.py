@@ -1,5 +1,6 @@
 """One function per screen of the source application, each returning named
-lazy DataFrames built from the operators (nothing is executed here).
+lazy DataFrames built from the operators (little is executed here: views are
+written once, and F18 probes for a first row).
 
     v = open_views(spark, "/data/p2p")
     page = dashboard(v, preset="YTD", vendor=None)
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow import semantics as S
@@ -18,10 +20,11 @@ from ledgerflow.operators import dashboard as D
 from ledgerflow.operators import forecast as FC
 from ledgerflow.operators import invoices as I
 from ledgerflow.operators import kpi
-from ledgerflow.operators.filters import invoice_lookup, range_preset, split_by_tag
+from ledgerflow.operators.filters import first_non_empty, invoice_lookup, range_preset, split_by_tag
 from ledgerflow.operators.joins import vendor_profile
 from ledgerflow.operators.reshape import unpivot_trend
 from ledgerflow.sources.fixtures import Views
+from ledgerflow.sources.views import CatalogViews
 
 
 def open_views(spark: SparkSession, root: str, as_of: _dt.date | None = None) -> Views:
@@ -49,9 +52,20 @@ def dashboard(v: Views, preset: str = "YTD", vendor: str | None = None) -> dict[
     return out
 
 
+def cash_flow(v: Views | CatalogViews) -> DataFrame:
+    """The precomputed cash-flow view where there is one with rows (F18), else
+    the buckets computed from the fact."""
+    computed = FC.cash_flow_buckets(v.invoice, v.as_of)
+    try:
+        given = v.cash_flow
+    except (AnalysisException, ValueError):
+        return computed
+    return first_non_empty(given, computed)
+
+
 def forecast(v: Views) -> dict[str, DataFrame]:
     """Cash-flow obligations by bucket and the GR/IR reconciliation tab."""
-    buckets = FC.cash_flow_buckets(v.invoice, v.as_of)
+    buckets = cash_flow(v)
     return {
         "cash_flow": FC.cash_flow_ordered(buckets),
         "cash_flow_headline": FC.cash_flow_headline(buckets),
@@ -86,7 +100,7 @@ def prebuilt_answer(v: Views, intent: str) -> dict[str, DataFrame]:
     if intent in quick:
         return quick_analysis(v, quick[intent])
     builders = {
-        "cash_flow": lambda: {"cash_flow": FC.cash_flow_ordered(FC.cash_flow_buckets(v.invoice, v.as_of))},
+        "cash_flow": lambda: {"cash_flow": FC.cash_flow_ordered(cash_flow(v))},
         "early_payment": lambda: {"candidates": FC.early_payment(v.invoice, v.vendor, v.as_of)},
         "payment_timing": lambda: {"windows": FC.payment_timing(v.invoice, v.as_of)},
         "late_payment_trend": lambda: {"trend": FC.late_payment_trend(v.invoice, v.as_of)},

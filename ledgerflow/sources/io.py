@@ -8,7 +8,6 @@ import os
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerflow.sources.tables import scan_view
 
@@ -40,21 +39,28 @@ def list_sources(spark: SparkSession, db_or_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "table string")
 
 
-def scan_bronze(spark: SparkSession, root: str, tables, mapping: dict[str, str]) -> dict[str, DataFrame]:
-    """S3 each source table with business column names (V1/V2); unreadable
-    tables are skipped with a warning.
+def scan_bronze(spark: SparkSession, root: str, tables, mapping: dict[str, str],
+                skip_unreadable: bool = False) -> dict[str, DataFrame | None]:
+    """S3 each source table with business column names (V1/V2).
+
+    A table that cannot be read raises. With ``skip_unreadable`` it is logged
+    and given as None; ``load_vault`` then leaves every vault table that it
+    feeds as it was.
 
     Sources are not cached: each hub / link / satellite reads only its
     columns from parquet (column pruning), which at scale is cheaper than
     materialising whole wide tables in executor memory."""
     from ledgerflow.operators.vault import rename_by_map
-    out: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame | None] = {}
     for t in tables:
         try:
             df = scan_view(spark, root, t) if _is_path(root) else spark.table(f"{root}.{t}")
             out[t] = rename_by_map(df, mapping)
-        except Exception as e:  # noqa: BLE001 - a bad source is skipped, as documented
+        except Exception as e:
+            if not skip_unreadable:
+                raise
             log.warning("could not read %s: %s", t, e)
+            out[t] = None
     return out
 
 
@@ -81,6 +87,18 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     return int(rows)
 
 
+def assemble_transcript(blocks: DataFrame, max_blocks: int = 100_000) -> DataFrame:
+    """S10 the Markdown document of each conversation (session_id, document):
+    its blocks of ``export_transcript`` in order, one line feed between them.
+    A conversation of more than ``max_blocks`` blocks raises, as one row
+    should not hold it; write those with ``write_transcripts``."""
+    own = blocks.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_b"))
+    text = F.array_join(F.transform("_b", lambda b: b["text"]), "\n")
+    return own.select("session_id", F.when(F.col("_n") <= max_blocks, text).otherwise(
+        F.raise_error(F.lit(f"a conversation has more than {max_blocks} blocks"))).alias("document"))
+
+
 def reset_target(spark: SparkSession, root: str, keep: list[str],
                  groups=("hubs", "links", "satellites")) -> list[str]:
     """S6 remove previously written tables that are no longer in the model
@@ -104,23 +122,10 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def json_ready(df: DataFrame) -> DataFrame:
-    """Numbers are written as plain decimal numbers (doubles via
-    DECIMAL(38,6), so large values never switch to exponent notation);
-    dates and timestamps become ISO text."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = c.cast("decimal(38,6)")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
-
-
 def to_json_rows(df: DataFrame) -> DataFrame:
-    """S9 one JSON object per row (dates ISO, decimals as numbers)."""
-    j = json_ready(df)
-    return j.select(F.to_json(F.struct(*j.columns),
+    """S9 one JSON object per row: numbers in full, dates and timestamps as ISO
+    text, nulls written."""
+    return df.select(F.to_json(F.struct(*df.columns),
                               {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
                                "dateFormat": "yyyy-MM-dd",
                                "ignoreNullFields": "false"}).alias("json"))

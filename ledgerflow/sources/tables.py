@@ -14,37 +14,28 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}.parquet"
 
 
-_SCANS: dict[tuple, DataFrame] = {}
-
-
 def scan_view(spark: SparkSession, root: str, name: str,
               schema: StructType | None = None) -> DataFrame:
     """S1: lazy parquet scan; projection and filters are pushed into the scan
     by Catalyst. With ``schema`` the footer-inferred schema is replaced by the
-    declared one (only the declared columns are read).
-
-    Scans are memoised per Spark application and path, so repeated queries
-    reuse the resolved relation (file listing and footer schema) instead of
-    listing the files again; like any DataFrame, a memoised scan sees the
-    files as they were when it was first resolved."""
-    key = (spark.sparkContext.applicationId, root, name, schema.json() if schema else None)
-    df = _SCANS.get(key)
-    if df is None:
-        reader = spark.read
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = _SCANS[key] = reader.parquet(table_path(root, name))
-    return df
+    declared one (only the declared columns are read). The files are listed
+    anew on each call."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(table_path(root, name))
 
 
 class Tables:
-    """Lazily scanned raw tables of one directory: ``Tables(spark, d).lineitem``."""
+    """Lazily scanned raw tables of one directory: ``Tables(spark, d).lineitem``.
+    An instance scans each table once."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._scans: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in RAW_TABLES:
             raise AttributeError(name)
-        return scan_view(self.spark, self.root, name)
+        if name not in self._scans:
+            self._scans[name] = scan_view(self.spark, self.root, name)
+        return self._scans[name]
