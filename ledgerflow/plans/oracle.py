@@ -20,8 +20,7 @@ SELECT CAST(s.s_suppkey AS VARCHAR) AS vendor_id, s.s_name AS vendor_name,
        'Alias ' || s.s_name AS vendor_name_2, upper(n.n_name) AS country_code,
        n.n_name AS city, CAST(10000 + s.s_suppkey AS VARCHAR) AS postal_code,
        'Street ' || CAST(s.s_suppkey AS VARCHAR) AS street
-FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
-WHERE s.s_suppkey % 10 <> 9""",
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey""",
     "v_company": """
 SELECT r_regionkey AS company_code, r_name AS company_name, 'HQ ' || r_name AS street,
        r_name AS city, CAST(90000 + r_regionkey AS VARCHAR) AS postal_code
@@ -42,7 +41,9 @@ FROM (
                    WHEN a.due_date < DATE '2000-06-30' THEN 'OVERDUE' ELSE 'OPEN' END AS st
   FROM (
     SELECT l.l_orderkey * 10 + l.l_linenumber AS invoice_number,
-           CAST(l.l_suppkey AS VARCHAR) AS vendor_id,
+           CASE WHEN l.l_orderkey % 53 = 0 THEN NULL
+                WHEN l.l_orderkey % 41 = 0 THEN 'X' || CAST(l.l_suppkey AS VARCHAR)
+                ELSE CAST(l.l_suppkey AS VARCHAR) END AS vendor_id,
            CAST(o.o_orderdate AS DATE) AS posting_date,
            CAST(o.o_orderdate AS DATE) + CAST(20 + l.l_partkey % 70 AS INTEGER) AS pay_date,
            CASE WHEN l.l_orderkey % 97 = 0 THEN NULL
@@ -56,20 +57,19 @@ FROM (
     JOIN orders o ON l.l_orderkey = o.o_orderkey
     JOIN supplier s ON l.l_suppkey = s.s_suppkey
     JOIN nation n ON s.s_nationkey = n.n_nationkey
-    WHERE CAST(o.o_orderdate AS DATE) <= DATE '2000-06-30'
   ) a
 ) b""",
     "v_status_history": """
 SELECT invoice_number, 1 AS sequence_nbr, 'Open' AS status, posting_date AS effective_date,
        'Invoice received' AS status_notes, posting_date
-FROM v_invoice
+FROM v_invoice WHERE invoice_number % 13 <> 5
 UNION ALL
 SELECT invoice_number, 2, 'OVERDUE', due_date, 'Past due', posting_date
-FROM v_invoice WHERE due_date < COALESCE(payment_date, DATE '2000-06-30')
+FROM v_invoice WHERE due_date < COALESCE(payment_date, DATE '2000-06-30') AND invoice_number % 13 <> 5
 UNION ALL
 SELECT invoice_number, 3, 'PAID', payment_date,
        CASE WHEN invoice_number % 3 = 0 THEN 'Auto Processed' ELSE 'Manual' END, posting_date
-FROM v_invoice WHERE payment_date IS NOT NULL""",
+FROM v_invoice WHERE payment_date IS NOT NULL AND invoice_number % 13 <> 5""",
     "v_payment_cycle": """
 SELECT CAST(year(payment_date) AS INTEGER) AS year, CAST(month(payment_date) AS INTEGER) AS month,
        CAST(SUM(datediff('day', posting_date, payment_date)) AS DOUBLE) / COUNT(*) AS avg_payment_cycle_time_days,

@@ -81,6 +81,12 @@ def q_invoice_search_number(v):
     return FL.invoice_search(v.invoice, v.vendor, AS_OF, number=INVOICE)
 
 
+@register("invoice_search_uncleaned_number", "F13+C9", _search_sql(f"f.invoice_number = {INVOICE}"))
+def q_invoice_search_uncleaned(v):
+    """F13 a number as a spreadsheet gives it, with a decimal point."""
+    return FL.invoice_search(v.invoice, v.vendor, AS_OF, number=f"{INVOICE}.0")
+
+
 @register("vendor_profile", "J4", f"""
 SELECT * FROM (SELECT DISTINCT f.vendor_id, v.vendor_name, v.vendor_name_2, v.country_code, v.city,
                       v.postal_code, v.street
@@ -116,27 +122,22 @@ def q_status_history(v):
     return I.status_history(v.status_history, INVOICE)
 
 
-HIST_DEFAULT_SQL = f"""
-WITH inv AS (SELECT * FROM v_invoice WHERE posting_date BETWEEN {dlit(START)} AND {dlit(END)}),
-h AS (SELECT * FROM v_status_history WHERE status = 'PAID'
-        AND invoice_number IN (SELECT invoice_number FROM inv)),
-rep AS (SELECT invoice_number, posting_date, due_date FROM (
-          SELECT invoice_number, posting_date, due_date,
-                 row_number() OVER (PARTITION BY invoice_number ORDER BY posting_date NULLS FIRST,
-                                    due_date NULLS FIRST) AS rn FROM inv) WHERE rn = 1),
-miss AS (SELECT * FROM rep WHERE invoice_number NOT IN (SELECT invoice_number FROM h))
-SELECT invoice_number, sequence_nbr, upper(status) AS status, effective_date, status_notes FROM h
-UNION ALL SELECT invoice_number, 1, 'OPEN', posting_date, 'Invoice opened.' FROM miss
-UNION ALL SELECT invoice_number, 2, 'OVERDUE', due_date, 'Invoice overdue.' FROM miss"""
+HIST_DEFAULT_SQL = """
+SELECT invoice_number, sequence_nbr, upper(status) AS status, effective_date, status_notes FROM v_status_history
+UNION ALL
+SELECT invoice_number, nbr, st, CASE nbr WHEN 1 THEN firsts.posting_date ELSE firsts.due_date END, note
+FROM (SELECT invoice_number, arg_min(struct_pack(p := posting_date, d := due_date),
+                                     (posting_date, COALESCE(due_date, DATE '0001-01-01'))) AS f
+      FROM v_invoice i WHERE NOT EXISTS (SELECT 1 FROM v_status_history h WHERE h.invoice_number = i.invoice_number)
+      GROUP BY invoice_number) x,
+     LATERAL (SELECT x.f.p AS posting_date, x.f.d AS due_date) firsts,
+     (VALUES (1, 'OPEN', 'Invoice opened.'), (2, 'OVERDUE', 'Invoice overdue.')) AS t(nbr, st, note)"""
 
 
 @register("history_default", "I2", HIST_DEFAULT_SQL)
 def q_history_default(v):
-    """I2 paid-history of the window's invoices, with defaults for the rest."""
-    inv = FL.date_range(v.invoice, START, END)
-    h = v.status_history.filter(F.col("status") == "PAID").join(
-        inv.select("invoice_number").distinct(), "invoice_number", "left_semi")
-    return I.history_default(inv, h)
+    """I2 every invoice's history, with defaults for those that have none."""
+    return I.history_default(v.invoice, v.status_history)
 
 
 @register("payable_flag", "I3", """
@@ -148,6 +149,22 @@ def q_payable_flag(v):
     return I.payable_flag(v.invoice)
 
 
+@register("mark_paid_any_case", "U7", f"""
+WITH due AS (SELECT DISTINCT invoice_number FROM v_invoice WHERE upper(invoice_status) = 'OPEN'
+               AND due_date - {A} BETWEEN 0 AND 30),
+h AS (SELECT invoice_number, sequence_nbr, CASE WHEN invoice_number % 2 = 0 THEN 'Paid' ELSE status END AS status,
+             effective_date, 'Processed via payment run' AS status_notes FROM v_status_history)
+SELECT * FROM h
+UNION ALL SELECT invoice_number, 9, 'PAID', {A}, 'Processed via payment run' FROM due
+WHERE invoice_number NOT IN (SELECT invoice_number FROM h WHERE lower(status) = 'paid')""")
+def q_mark_paid_any_case(v):
+    """U7 a stored 'Paid' row with the note is not paid again."""
+    stored = v.status_history.withColumn(
+        "status", F.when(F.col("invoice_number") % 2 == 0, F.lit("Paid")).otherwise(F.col("status"))).withColumn(
+        "status_notes", F.lit("Processed via payment run"))
+    return I.mark_paid(stored, FL.due_window(v.invoice, AS_OF), AS_OF)
+
+
 @register("mark_paid", "U7", f"""
 WITH due AS (SELECT DISTINCT invoice_number FROM v_invoice WHERE upper(invoice_status) = 'OPEN'
                AND due_date >= {A} AND due_date <= {A} + INTERVAL 30 DAY),

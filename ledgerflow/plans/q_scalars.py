@@ -177,7 +177,7 @@ def q_scalar_safe_numbers(v):
            .when(F.col("event_id") % 3 == 1, F.col("value").cast("string")))
     t = e.select("event_id", raw.alias("raw"))
     return t.select("event_id", "raw", C.safe_number("raw", 0.0).alias("as_number"),
-                    C.safe_int("raw", 0).alias("as_int"), C.cast_("event_id", "string").alias("id_text"),
+                    C.safe_int("raw", 0).alias("as_int"), F.col("event_id").cast("string").alias("id_text"),
                     C.try_cast_("raw", "int").alias("try_int"))
 
 
@@ -188,9 +188,9 @@ FROM v_question_history""")
 def q_scalar_text_basics(v):
     """C12 upper / lower / trim / contains."""
     h = v.question_history
-    return h.select("id", C.upper_("query_text").alias("upper_text"), C.lower_("query_text").alias("lower_text"),
-                    C.trim_("query_text").alias("trimmed"),
-                    C.contains_(C.lower_("query_text"), "vendor").alias("mentions_vendor"))
+    return h.select("id", F.upper("query_text").alias("upper_text"), F.lower("query_text").alias("lower_text"),
+                    F.trim("query_text").alias("trimmed"),
+                    F.lower("query_text").contains("vendor").alias("mentions_vendor"))
 
 
 @register("scalar_conditionals", "C14+C28+C30", f"""
@@ -211,7 +211,7 @@ def q_scalar_conditionals(v):
                     C.status_group("invoice_status").alias("status_group"),
                     C.round_(F.col("invoice_amount_local") * F.lit(0.015).cast("decimal(4,3)"), 2)
                     .cast("double").alias("fee"),
-                    C.abs_("aging_days").alias("abs_aging"),
+                    F.abs("aging_days").alias("abs_aging"),
                     C.detail_aging("due_date", "aging_days", C.as_of_date(AS_OF)).alias("detail_aging"))
 
 

@@ -15,7 +15,7 @@ from ledgerflow.operators.joins import recent_messages, sessions_with_counts
 from ledgerflow.operators.windows import running_hit_count
 from ledgerflow.plans.q_kpi import kpi_sql
 from ledgerflow.plans.registry import END, START, register
-from ledgerflow.sources.io import export_transcript, to_json_rows
+from ledgerflow.sources.io import assemble_transcript, export_transcript, to_json_rows
 
 NOW = S.AS_OF_TS
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -179,10 +179,14 @@ def q_cache_touch(v):
     return M.touch_count(v.query_cache, hits, "query_hash", "hit_count")
 
 
-@register("cache_delete_type", "M5", "SELECT * FROM v_query_cache WHERE NOT (cache_type = 'error')")
+@register("cache_delete_type", "M5", """
+SELECT query_hash, question, created_at, hit_count, ttl_seconds,
+       CASE WHEN cache_type <> 'click' THEN cache_type END AS cache_type
+FROM v_query_cache WHERE cache_type IS DISTINCT FROM 'error'""")
 def q_cache_delete_type(v):
-    """M5 remove one cache type."""
-    return M.delete_type(v.query_cache, "error")
+    """M5 remove one cache type; entries without a type (here: the clicks') stay."""
+    cache = v.query_cache.withColumn("cache_type", F.when(F.col("cache_type") != "click", F.col("cache_type")))
+    return M.delete_type(cache, "error")
 
 
 @register("cache_stats", "A44", f"""
@@ -206,6 +210,16 @@ def q_running_hit_count(v):
         .select("query_hash", "event_id", "hit_count")
 
 
+@register("running_hit_count_rows", "W8", """
+SELECT query_hash, question, created_at, event_id, ttl_seconds, cache_type,
+       (SELECT COUNT(*) FROM v_cache_writes e WHERE e.query_hash = w.query_hash
+          AND (e.created_at < w.created_at OR e.created_at = w.created_at AND e.event_id < w.event_id)) AS hit_count
+FROM v_cache_writes w""")
+def q_running_hit_count_rows(v):
+    """W8 with the rows' other columns kept."""
+    return running_hit_count(v.cache_writes, "query_hash", "created_at", "event_id", "day")
+
+
 def _freq_sql(where: str) -> str:
     return f"""
 SELECT *, substring(query, 1, 55) AS label FROM (
@@ -339,6 +353,16 @@ def q_export_transcript(v):
     return export_transcript(v.chat_messages)
 
 
+@register("transcript_documents", "S10+C17", f"""
+SELECT session_id, '# Conversation' || {NL} || {NL} || string_agg(
+         CASE WHEN role = 'user' THEN '**User**' ELSE '**Assistant**' END || {NL} || {NL} || COALESCE(content, '')
+         || {NL} || {NL} || '---' || {NL}, {NL} ORDER BY turn_index) AS document
+FROM v_chat_messages GROUP BY session_id""")
+def q_transcript_documents(v):
+    """S10 one Markdown document per conversation."""
+    return assemble_transcript(export_transcript(v.chat_messages))
+
+
 @register("kpi_snapshot", "M9+C19+S9", f"""
 WITH k AS ({kpi_sql(START, END).strip()})
 SELECT md5('user1:YTD:{START.isoformat()}:{END.isoformat()}') AS snapshot_id, 'user1' AS user_name,
@@ -353,12 +377,14 @@ FROM k""")
 def q_kpi_snapshot(v):
     """M9 the KPI row stored as JSON under its snapshot key."""
     from ledgerflow.operators.kpi import kpi_summary
-    return M.kpi_snapshot(kpi_summary(v, START, END), "user1", "YTD", START, END, NOW)
+    k = kpi_summary(v, START, END)
+    plain = k.select(*[F.col(c).cast("decimal(38,6)").alias(c) if t == "double" else c for c, t in k.dtypes])
+    return M.kpi_snapshot(plain, "user1", "YTD", START, END, NOW)
 
 
 @register("json_rows", "S9", """
 SELECT CAST(to_json({'payment_window': payment_window, 'invoice_count': invoice_count,
-                     'total_amount': CAST(total_amount AS DECIMAL(38,6)), 'window_order': window_order}) AS VARCHAR)
+                     'total_amount': CAST(total_amount AS DECIMAL(38,2)), 'window_order': window_order}) AS VARCHAR)
        AS json
 FROM (SELECT CASE WHEN due_date < DATE '2000-06-30' THEN 'Overdue'
                   WHEN due_date <= DATE '2000-06-30' + INTERVAL 7 DAY THEN 'Due in 0-7 days'
@@ -371,5 +397,6 @@ FROM (SELECT CASE WHEN due_date < DATE '2000-06-30' THEN 'Overdue'
 def q_json_rows(v):
     """S9 result rows serialised as JSON objects."""
     from ledgerflow.operators.forecast import payment_timing
-    pt = payment_timing(v.invoice, S.AS_OF).withColumn("window_order", F.lit(0))
+    pt = payment_timing(v.invoice, S.AS_OF).withColumn("window_order", F.lit(0)).withColumn(
+        "total_amount", F.col("total_amount").cast("decimal(38,2)"))
     return to_json_rows(pt)

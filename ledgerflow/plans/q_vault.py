@@ -1,19 +1,16 @@
 """Registered queries: raw vault over the TPC-H-style bronze tables
-(V1-V14, U4, U6, U8, C20, S1-S4, S7)."""
+(V1-V14, U4, U6, C20, S1, S3)."""
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import functions as F
-
 from ledgerflow.operators import vault as V
-from ledgerflow.operators.setops import column_coverage_diff, union_missing_cols
+from ledgerflow.operators.setops import union_missing_cols
 from ledgerflow.plans.registry import register
 from ledgerflow.sources import io
-from ledgerflow.sources.tables import RAW_TABLES
-from ledgerflow.sources.bronze import (BRONZE_SCHEMA, BRONZE_TABLES, NAME_MAP, business_names,
-                                       business_types, fixture_model)
+from ledgerflow.sources.bronze import (BRONZE_SCHEMA, BRONZE_TABLES, NAME_MAP, Hub, VaultModel, business_names,
+                                       fixture_model)
 
 LOAD_TS = _dt.datetime(2024, 1, 31, 0, 0, 0)
 LOAD_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -24,19 +21,9 @@ def _sources(v):
 
 
 # -- oracle SQL built from the same metadata ------------------------------------------
-def _text_sql(name: str, typ: str) -> str:
-    if typ in ("double", "float"):
-        e = f"CAST(CAST({name} AS DECIMAL(12,2)) AS VARCHAR)"
-    elif typ.startswith("timestamp"):
-        e = f"CAST(CAST({name} AS DATE) AS VARCHAR)"
-    else:
-        e = f"CAST({name} AS VARCHAR)"
-    return f"COALESCE({e}, '')"
-
-
 def _pre_sql(table: str, cols: list[str]) -> str:
-    types = business_types(table)
-    return "concat_ws('||', " + ", ".join(_text_sql(c, types[c]) for c in cols) + ")"
+    """The full values as text; the fixture's keys are all integers."""
+    return "concat_ws('||', " + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '')" for c in cols) + ")"
 
 
 def _bronze_cte(tables) -> str:
@@ -163,39 +150,27 @@ def q_vault_reconcile(v):
     return V.vault_reconcile(_written_vault(v), MODEL)
 
 
-_MAP_VALUES = ", ".join(f"('{k}', '{b}')" for k, b in NAME_MAP.items())
-_BRONZE_LIST = ", ".join(f"'{t}'" for t in BRONZE_TABLES)
-
-
-@register("translate_columns", "V13+S4", f"""
-SELECT c.table_name AS "table", c.column_name AS "column",
-       COALESCE(m.business_name, upper(c.column_name)) AS business_name, m.business_name IS NULL AS missing
-FROM information_schema.columns c LEFT JOIN (VALUES {_MAP_VALUES}) AS m(technical, business_name)
-  ON m.technical = c.column_name
-WHERE c.table_name IN ({_BRONZE_LIST})""")
-def q_translate_columns(v):
-    """V13 business name per bronze column; unmapped ones flagged (upper-case fallback)."""
-    raw = {t: v.spark.read.parquet(f"{v.root}/{t}.parquet") for t in BRONZE_TABLES}
-    return V.translate_columns(io.collect_schema(raw), NAME_MAP)
-
-
-@register("collect_schema", "S4", f"""
-SELECT table_name AS "table", column_name AS "column", CAST(ordinal_position AS INTEGER) AS position
-FROM information_schema.columns WHERE table_name IN ({_BRONZE_LIST})""")
-def q_collect_schema(v):
-    """S4 (table, column, position) of the bronze tables from metadata."""
-    raw = {t: v.spark.read.parquet(f"{v.root}/{t}.parquet") for t in BRONZE_TABLES}
-    return io.collect_schema(raw).select("table", "column", "position")
-
+def _owing_sql(keys: str) -> str:
+    return (f"SELECT COUNT(*) FROM ({keys}) k LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 0) s "
+            "ON s.s_suppkey = k.id WHERE s.s_suppkey IS NULL")
 
-_RAW_LIST = ", ".join(f"'{t}'" for t in RAW_TABLES)
 
-
-@register("list_sources", "S2", f"""
-SELECT DISTINCT table_name AS "table" FROM information_schema.tables WHERE table_name IN ({_RAW_LIST})""")
-def q_list_sources(v):
-    """S2 tables found in the data directory."""
-    return io.list_sources(v.spark, v.root)
+@register("vault_reconcile_orphans", "V14", f"""
+SELECT 'SAT_VENDOR' AS child, 'HUB_VENDOR' AS hub, ({_owing_sql("SELECT DISTINCT s_suppkey AS id, s_name, s_nationkey, s_acctbal FROM supplier")}) AS orphans
+UNION ALL SELECT 'LINK_PO_LINE_ITEM', 'HUB_VENDOR',
+  ({_owing_sql("SELECT DISTINCT l_suppkey AS id, l_orderkey, l_partkey FROM lineitem")})""")
+def q_vault_reconcile_orphans(v):
+    """V14 with real orphans: the vendor hub was loaded from suppliers in
+    credit only, its satellite and link from everything."""
+    s = _sources(v)
+    hub = Hub("HUB_VENDOR", "VENDOR", ["VENDOR_ID"], ["supplier"])
+    sat, link = MODEL.satellites[0], MODEL.links[1]
+    vault = {"HUB_VENDOR": V.build_hub(hub, {"supplier": s["supplier"].filter("S_ACCTBAL >= 0")}, LOAD_TS),
+             sat.name: V.build_satellite(sat, hub, s, LOAD_TS),
+             link.name: V.build_link(link, MODEL, s, LOAD_TS)}
+    refs = [r for r in link.refs if r.hub == "HUB_VENDOR"]
+    own = VaultModel([hub], [type(link)(link.name, link.entity, refs, link.sources)], [sat])
+    return V.vault_reconcile(vault, own)
 
 
 @register("bronze_part_renamed", "S1+S3+V1+V2", f"""
@@ -213,27 +188,3 @@ def q_union_missing(v):
     s = _sources(v)
     return union_missing_cols(s["customer"].select("CUSTOMER_ID", "COUNTRY_ID"),
                               s["supplier"].select("COUNTRY_ID", "VENDOR_ID"))
-
-
-@register("column_coverage_gaps", "U8+V10", None)
-def q_column_coverage(v):
-    """U8 (table, column) pairs of the bronze schema not covered by any
-    declared satellite attribute (input of V10's remediation)."""
-    s = _sources(v)
-    req = io.collect_schema(s).select(F.upper("table").alias("table"), "column")
-    cov = v.spark.createDataFrame([(sat.source.upper(), a) for sat in MODEL.satellites
-                                   for a in sat.attributes], "table string, column string")
-    return column_coverage_diff(req, cov)
-
-
-@register("vault_model_covered", "V10+V9+V11", None)
-def q_vault_model(v):
-    """V10 the model after coverage remediation, one row per object."""
-    s = _sources(v)
-    model = V.ensure_coverage(V.complete_hubs(V.validate_model(fixture_model(), io.schema_map(s),
-                                                               NAME_MAP)), io.schema_map(s))
-    rows = ([("hub", h.name, ",".join(h.sources), ",".join(h.keys)) for h in model.hubs]
-            + [("satellite", x.name, x.source, ",".join(x.attributes)) for x in model.satellites]
-            + [("link", lk.name, ",".join(lk.sources), ",".join(r.hub for r in lk.refs))
-               for lk in model.links])
-    return v.spark.createDataFrame(rows, "kind string, name string, sources string, columns string")

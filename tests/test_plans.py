@@ -25,6 +25,14 @@ def test_kpi_date_range_is_pushed_into_the_scan(spark):
     assert "LessThanOrEqual(posting_date,2000-06-30)" in p
 
 
+def test_kpi_compare_reads_the_fact_once(spark):
+    p = plan(spark, "kpi_compare", "simple")
+    assert p.count("invoice_amount_local#") > 0
+    fact = [ln for ln in p.splitlines() if "FileScan" in ln and "invoice_amount_local" in ln]
+    ids = [ln for ln in p.splitlines() if "FileScan" in ln and "vendor_id" in ln and "purchase_order" not in ln]
+    assert len(fact) == 1 and ids == []
+
+
 @pytest.mark.parametrize("name", ["mom_drivers", "invoice_search_all"])
 def test_runtime_bounds_are_pushed_as_scalar_subqueries(spark, name):
     assert "GreaterThanOrEqual(posting_date,ScalarSubquery" in plan(spark, name)

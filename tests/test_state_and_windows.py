@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import state as M
 from ledgerflow.operators.setops import dedupe_by_key
-from ledgerflow.operators.windows import top_n_per_group
+from ledgerflow.operators.reshape import report_frame, unpivot_numeric
+from ledgerflow.operators.windows import page_after, running_hit_count, top_n_per_group
 
 NOW = dt.datetime(2024, 1, 31)
 
@@ -77,3 +78,61 @@ def test_merge_batches_equals_single_merge(spark):
     empty = spark.createDataFrame([], M.memory_state(ch).schema)
     folded = M.merge_batches(empty, batches, lambda s, b: M.memory_state(b, s), every=2)
     assert sorted(map(tuple, folded.collect())) == once
+
+
+def test_running_hit_count_keeps_every_row_of_a_hot_key(spark):
+    n = 1_000_000
+    df = spark.range(n).selectExpr(
+        "IF(id % 3 = 0, 'hot', concat('k', id % 1000)) AS query_hash",
+        "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, (id * 7919) % 500000) AS created_at", "id",
+        "concat('payload ', id) AS payload")
+    out = running_hit_count(df, "query_hash", "created_at", "id")
+    assert out.columns == [*df.columns, "hit_count"]
+    sums = out.groupBy("query_hash").agg(F.count("*").alias("n"), F.min("hit_count").alias("lo"),
+                                         F.max("hit_count").alias("hi"), F.count_distinct("hit_count").alias("d"))
+    rows = sums.collect()
+    assert sum(r.n for r in rows) == n
+    assert all((r.lo, r.hi, r.d) == (0, r.n - 1, r.n) for r in rows)
+
+
+def test_running_hit_count_with_null_keys_and_times(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", NOW, 2), (None, None, 3), (None, NOW, 4), ("a", None, 5)],
+                               "query_hash string, created_at timestamp_ntz, id long")
+    got = {r.id: r.hit_count for r in running_hit_count(df, "query_hash", "created_at", "id").collect()}
+    assert got == {1: 0, 5: 1, 2: 2, 3: 0, 4: 1}
+
+
+def test_pages_by_key_equal_pages_by_offset(spark):
+    df = spark.range(50).selectExpr("id % 7 AS a", "id AS b")
+    rows = [tuple(r) for r in df.orderBy("a", "b").collect()]
+    last = {"a": rows[19][0], "b": rows[19][1]}
+    assert [tuple(r) for r in page_after(df, 10, ["a", "b"], last).collect()] == rows[20:30]
+
+
+def test_display_limits_are_opt_in(spark):
+    import pytest
+
+    df = spark.range(700).selectExpr("concat('d', id) AS d", "id AS v")
+    assert unpivot_numeric(df).count() == 700
+    assert unpivot_numeric(df, max_rows=200).count() == 0
+    assert report_frame(df).count() == 700
+    assert report_frame(df, max_rows=3, order=["v"]).collect()[0][0] == "d0"
+    with pytest.raises(ValueError):
+        report_frame(df, max_rows=3)
+
+
+def test_delete_type_keeps_rows_without_a_type(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y")], "k string, cache_type string")
+    assert sorted(r.k for r in M.delete_type(df, "x").collect()) == ["b", "c"]
+
+
+def test_newest_rows_bound_is_exact(spark):
+    from ledgerflow.operators.filters import newest_rows
+
+    df = spark.range(20_000).selectExpr("date_add(date'2020-01-01', cast(id % 400 as int)) AS posting_date",
+                                        "id AS invoice_number").unionByName(
+        spark.createDataFrame([(None, 1)], "posting_date date, invoice_number long"))
+    got = newest_rows(df, 120)
+    assert 120 <= got.count() < 400 and got.filter("posting_date is null").isEmpty()
+    assert got.agg(F.min("posting_date")).first()[0] > dt.date(2021, 1, 1)
+    assert newest_rows(df, 10**6).count() == 20_001

@@ -1,10 +1,13 @@
 """Materialised views: written once, published atomically, reused."""
 
-import datetime as dt
 import os
 
+import pytest
+
+from ledgerflow import pages
+from ledgerflow import semantics as S
 from ledgerflow.sources import fixtures as FX
-from ledgerflow.session import ensure_checkpoint_dir
+from ledgerflow.sources.views import CatalogViews, conform, write_views
 
 from .conftest import SF_SMALL
 
@@ -20,18 +23,17 @@ def test_view_written_once_and_reused(spark):
         calls.append(1)
         return spark.range(5).withColumnRenamed("id", "posting_date")
 
-    as_of = dt.date(1999, 1, 2)                  # a key no other test uses
-    a = FX.materialized_view(spark, SF_SMALL, as_of, "probe_view", build, None)
+    base = FX.view_base(spark, SF_SMALL, "probe")     # a key no other test uses
+    a = FX.materialized_view(spark, base, "probe_view", build, None)
     FX._VIEWS.clear()                            # force a second lookup on disk
-    b = FX.materialized_view(spark, SF_SMALL, as_of, "probe_view", build, None)
+    b = FX.materialized_view(spark, base, "probe_view", build, None)
     assert calls == [1]
     assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in b.collect()) == [0, 1, 2, 3, 4]
 
 
 def test_losing_publisher_leaves_no_temp_folder(spark):
-    as_of = dt.date(1999, 1, 3)
-    FX.materialized_view(spark, SF_SMALL, as_of, "race_view", lambda: spark.range(3), None)
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/views/{FX._fingerprint(spark, SF_SMALL, as_of)}"
+    base = FX.view_base(spark, SF_SMALL, "race")
+    FX.materialized_view(spark, base, "race_view", lambda: spark.range(3), None)
     # a second writer that finishes after the first one published
     assert FX.publish(spark, spark.range(7), base, "race_view") is False
     target = _local(f"{base}/race_view")
@@ -39,3 +41,44 @@ def test_losing_publisher_leaves_no_temp_folder(spark):
     assert [n for n in os.listdir(_local(base)) if n.startswith(".race_view-")] == []
     assert not [n for n in os.listdir(target) if n.startswith(".")and not n.endswith(".crc")]
     assert spark.read.parquet(f"{base}/race_view").count() == 3     # the first view is kept
+
+
+def test_a_changed_file_inside_a_partition_folder_gives_a_new_view(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(5).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(path)
+
+    def view():
+        base = FX.view_base(spark, str(tmp_path), "probe")
+        return base, FX.materialized_view(spark, base, "v", lambda: spark.read.parquet(path), None)
+
+    old, first = view()
+    assert first.count() == 5
+    spark.range(3).write.mode("append").parquet(f"{path}/p=1")
+    new, second = view()
+    assert second.count() == 8 and new != old
+    assert FX.drop_superseded(spark, new) == [old.rsplit("/", 1)[1]]
+    assert second.count() == 8
+
+
+def test_pages_run_on_catalog_views(spark):
+    own = FX.Views(spark, SF_SMALL, S.AS_OF)
+    folder = f"{own.base}/catalog"
+    write_views(own, folder)
+    v = CatalogViews(spark, folder, S.AS_OF)
+    a, b = pages.dashboard(v), pages.dashboard(own)
+    assert a["kpis"].drop("avg_processing_days").count() == 1
+    assert sorted(map(tuple, a["status"].collect())) == sorted(map(tuple, b["status"].collect()))
+    assert sorted(map(tuple, pages.forecast(v)["cash_flow"].collect())) == sorted(
+        map(tuple, pages.forecast(own)["cash_flow"].collect()))
+    # no such view: the buckets are computed
+    without = CatalogViews(spark, folder, S.AS_OF, {"cash_flow": "no_such_view"})
+    assert pages.cash_flow(without).count() == pages.cash_flow(v).count()
+    number = own.invoice.agg({"invoice_number": "min"}).first()[0]
+    assert pages.invoice_detail(v, f"{number}.0")["summary"].count() == 1
+
+
+def test_a_view_without_a_needed_column_is_refused(spark):
+    with pytest.raises(ValueError):
+        conform(spark.range(1), "id bigint, vendor_id string", "x")
+    out = conform(spark.range(1).selectExpr("id AS ID"), "id int, city string", "x")
+    assert out.dtypes == [("id", "int"), ("city", "string")]

@@ -10,6 +10,12 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 HELPER_TESTS = {
+    "S2": "tests/test_helpers.py::test_list_sources",
+    "S4": "tests/test_helpers.py::test_collect_schema",
+    "S7": "tests/test_vault.py::test_empty_satellite_has_real_types",
+    "U8": "tests/test_helpers.py::test_column_coverage",
+    "V10": "tests/test_helpers.py::test_column_coverage, tests/test_vault.py::test_validate_complete_and_coverage",
+    "V13": "tests/test_helpers.py::test_translate_columns",
     "S6": "tests/test_vault.py::test_load_vault_writes_and_counts (reset_target)",
     "V3": "tests/test_vault.py::test_existing_columns_resolves_case_insensitively_in_declared_order",
     "V9": "tests/test_vault.py::test_validate_complete_and_coverage",
