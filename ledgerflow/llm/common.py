@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 from ledgerflow.session import ensure_checkpoint_dir
 
-# Working columns of every operator start with this, so that extra columns
-# of the caller's table never clash with them.
-OWN = "_lf_"
 BATCH_ROWS = 1000           # rows of an Arrow batch in jobs that run here
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` starts with (in any letter case), for
+    working columns."""
+    prefix = "_lf_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,14 +87,15 @@ def only_kept(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_
              .agg(F.bool_or("kept").alias("twin"), F.count(F.lit(1)).alias("n"))
              .filter("not twin or n > 1"))
     rows, twins = marks.agg(F.count(F.lit(1)), F.count_if("twin")).first()
-    own = [f"{OWN}id", f"{OWN}hash", f"{OWN}twin"]
+    p = own_prefix(docs)
+    own = [f"{p}id", f"{p}hash", f"{p}twin"]
     marks = small(marks.select(*[F.col(c).alias(o) for c, o in zip(("doc_id", "row_hash", "twin"), own)]),
                   rows, max_listed)
-    key = docs.withColumn(f"{OWN}text_hash", F.xxhash64(docs[text_col]))
+    key = docs.withColumn(f"{p}text_hash", F.xxhash64(docs[text_col]))
     found = key.join(marks, key[id_col].eqNullSafe(marks[own[0]])
-                     & (key[f"{OWN}text_hash"] == marks[own[1]]), "left")
+                     & (key[f"{p}text_hash"] == marks[own[1]]), "left")
     kept = found.filter(F.col(own[2]).isNull()).select(*docs.columns)
     if not twins:
         return kept
-    again = found.filter(F.col(own[2])).dropDuplicates([id_col, f"{OWN}text_hash"])
+    again = found.filter(F.col(own[2])).dropDuplicates([id_col, f"{p}text_hash"])
     return kept.unionByName(again.select(*docs.columns))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import OWN, small, stored, text_or_empty
+from ledgerflow.llm.common import own_prefix, small, stored, text_or_empty
 
 MAX_SOURCES = 100_000          # sources in a broadcast plan: a few MB
 BLOCK_TOKENS = 200_000         # expected tokens of a block
@@ -115,10 +115,6 @@ def plan_mix(totals: DataFrame, exponent: float, budget: float | None = None) ->
                                              F.ceil(F.col("n_tokens") / F.lit(BLOCK_TOKENS)))))
 
 
-def _own(c: str) -> Column:
-    return F.col(OWN + c)
-
-
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
         tokens: Column | None = None, budget: float | None = None, entropy: float | None = None,
         repetition: float | None = None, seed: int = 7, max_sources: int = MAX_SOURCES) -> DataFrame:
@@ -134,6 +130,11 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     clash = [c for c in ("mix_epoch", "mix_block", "mix_position", "mix_weight") if c in docs.columns]
     if clash:
         docs = docs.drop(*clash)
+    pre = own_prefix(docs)
+
+    def _own(c: str) -> Column:
+        return F.col(pre + c)
+
     count = tokens if tokens is not None else tokens_of(text_or_empty(docs, text_col))
     totals = source_totals(docs, source_col, count)
     exponent = find_exponent(totals, budget, entropy, repetition)
@@ -141,18 +142,18 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     n_sources = plan.count()
 
     def planned(rows: DataFrame, *cols: str) -> DataFrame:
-        p = small(plan.select(F.col("source").alias(f"{OWN}source"),
-                              *[F.col(c).alias(OWN + c) for c in cols]), n_sources, max_sources)
-        return rows.join(p, rows[source_col].eqNullSafe(p[f"{OWN}source"]), "left")
+        p = small(plan.select(F.col("source").alias(f"{pre}source"),
+                              *[F.col(c).alias(pre + c) for c in cols]), n_sources, max_sources)
+        return rows.join(p, rows[source_col].eqNullSafe(p[f"{pre}source"]), "left")
 
     key = F.xxhash64(docs[id_col], F.xxhash64(docs[text_col]))
-    rows = docs.withColumn(f"{OWN}tokens", count).withColumn(f"{OWN}key", key)
+    rows = docs.withColumn(f"{pre}tokens", count).withColumn(f"{pre}key", key)
 
     def dealt(epoch: Column) -> Column:
         return F.xxhash64(_own("key"), epoch, F.lit(seed))
 
     # the last pass: which block the rest ends in, and at which row hash
-    narrow = stored(planned(rows.select(source_col, f"{OWN}tokens", f"{OWN}key"), "passes", "rest", "blocks")
+    narrow = stored(planned(rows.select(source_col, f"{pre}tokens", f"{pre}key"), "passes", "rest", "blocks")
                     .filter(_own("rest") > 0)
                     .select(F.col(source_col).alias("source"), _own("tokens").alias("t"),
                             _own("rest").alias("rest"), dealt(_own("passes")).alias("h"),
@@ -169,18 +170,18 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     upto = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     last = stored(per_hash.withColumn("b", F.coalesce(F.sum("t").over(upto), F.lit(0).cast("long")))
                   .filter("b < left").groupBy("source", "block").agg(F.max("h").alias("last_hash")), "mix-end")
-    ends = small(last.select(F.col("source").alias(f"{OWN}end_source"), F.col("block").alias(f"{OWN}end_block"),
-                             F.col("last_hash").alias(f"{OWN}end_hash")), n_sources, max_sources)
+    ends = small(last.select(F.col("source").alias(f"{pre}end_source"), F.col("block").alias(f"{pre}end_block"),
+                             F.col("last_hash").alias(f"{pre}end_hash")), n_sources, max_sources)
 
     out = planned(rows, "passes", "rest", "blocks", "weight", "target", "n_tokens")
-    out = out.join(ends, out[source_col].eqNullSafe(ends[f"{OWN}end_source"]), "left")
+    out = out.join(ends, out[source_col].eqNullSafe(ends[f"{pre}end_source"]), "left")
     whole = F.coalesce(_own("passes"), F.lit(1).cast("long"))
     h = dealt(_own("passes"))
     block = F.pmod(h, _own("blocks"))
     in_rest = F.coalesce((block < _own("end_block")) | ((block == _own("end_block")) & (h <= _own("end_hash"))),
                          F.lit(False))
     uses = whole + F.when(in_rest, 1).otherwise(0)
-    out = (out.withColumn(f"{OWN}uses", uses).filter(_own("uses") > 0)
+    out = (out.withColumn(f"{pre}uses", uses).filter(_own("uses") > 0)
            .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), _own("uses") - 1))))
     slot = F.coalesce(F.pmod(dealt(F.col("mix_epoch")), _own("blocks")), F.lit(0).cast("long"))
     passed = F.col("mix_epoch") * _own("n_tokens") + F.col("mix_block") * _own("n_tokens") / _own("blocks")

@@ -26,7 +26,8 @@ def awkward(spark, extra=True):
     rows = AWKWARD
     if extra:
         cols += "".join(f", {c} string" for c in EXTRA)
-        rows = [(*r, *[f"s{(r[0] or 0) % 3}" if c == "source" else None for c in EXTRA]) for r in rows]
+        rows = [(*r, *[f"s{(r[0] or 0) % 3}" if c == "source" else f"{c} {k}" for c in EXTRA])
+                for k, r in enumerate(rows)]
     return spark.createDataFrame(rows, cols)
 
 

@@ -93,6 +93,8 @@ def test_awkward_rows_and_empty_table(spark):
     docs = awkward(spark)
     out = mixing.mix(docs, repetition=2.0)
     assert out.columns == docs.columns + ["mix_epoch", "mix_block", "mix_position", "mix_weight"]
+    first = [tuple(r)[:len(docs.columns)] for r in out.filter("mix_epoch = 0").collect()]
+    assert sorted(first, key=repr) == sorted(map(tuple, docs.collect()), key=repr)      # all columns as they were
     texts = Counter((r.doc_id, r.text) for r in out.collect())
     assert set(texts) == {(r.doc_id, r.text) for r in docs.collect()}
     empty = spark.createDataFrame([], docs.schema)
