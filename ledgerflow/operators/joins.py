@@ -44,10 +44,9 @@ def names_of(per_vendor: DataFrame, ven: DataFrame, vendor: str | None = None) -
 
 
 def with_company_plant(inv: DataFrame, company: DataFrame, plant: DataFrame) -> DataFrame:
-    """J3 fact LEFT JOIN company LEFT JOIN plant. Company/plant codes are
-    region/nation sized (fixed bound), so both are broadcast."""
-    return (inv.join(F.broadcast(company), "company_code", "left")
-            .join(F.broadcast(plant), "plant_code", "left"))
+    """J3 fact LEFT JOIN company LEFT JOIN plant. The caller's dimensions are
+    broadcast while they are under Spark's size threshold."""
+    return inv.join(company, "company_code", "left").join(plant, "plant_code", "left")
 
 
 def vendor_profile(inv: DataFrame, ven: DataFrame, invoice_number) -> DataFrame:

@@ -216,6 +216,19 @@ def conversation_context(messages: DataFrame, sessions: DataFrame, user: str, no
                       F.when(F.col("n") > 0, text).otherwise(F.lit("")).alias("context"))
 
 
+def short_term_text(messages: DataFrame, max_turns: int = 6) -> DataFrame:
+    """M11 (session_id, context): the newest ``max_turns * 2`` messages of each
+    session, oldest first, as one text with header and footer. A group holds
+    that many messages at most. A session without messages has no row."""
+    from ledgerflow.operators.windows import top_n_per_group
+    kept = top_n_per_group(messages, "session_id", [F.col("turn_index").desc()], max_turns * 2)
+    line = F.concat(role_label("role"), F.lit(": "), F.coalesce(truncate_text("content"), F.lit("")))
+    own = kept.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", line.alias("line")))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["line"]), "\n\n")
+    return own.select("session_id", F.concat(F.lit(S.SHORT_CONTEXT_HEADER), text,
+                                             F.lit(S.SHORT_CONTEXT_FOOTER)).alias("context"))
+
+
 def short_term_context(messages: DataFrame, max_turns: int) -> DataFrame:
     """W2 + C16 + C17 per session: newest ``max_turns*2`` messages, oldest
     first, as 'Label: text' with text cut at 600 characters."""

@@ -330,6 +330,20 @@ def q_conversation_context(v):
     return M.conversation_context(v.chat_events, v.chat_sessions, "0", NOW)
 
 
+@register("short_term_text", "M11+W2+C16+C17", """
+WITH t AS (SELECT session_id, turn_index, CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': '
+      || CASE WHEN length(content) > 600 THEN substring(content, 1, 600) || '…' ELSE content END AS line
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_index DESC) AS rn
+          FROM v_chat_messages) WHERE rn <= 6)
+SELECT session_id, 'Previous conversation context (use this to answer follow-up questions):' || chr(10) || chr(10)
+       || string_agg(line, chr(10) || chr(10) ORDER BY turn_index)
+       || chr(10) || chr(10) || '---' || chr(10) || 'New question:' || chr(10) AS context
+FROM t GROUP BY session_id""")
+def q_short_term_text(v):
+    """M11 the newest turns of each session as one prompt text."""
+    return M.short_term_text(v.chat_messages, 3)
+
+
 @register("short_term_context", "W2+C16+C17", """
 SELECT session_id, turn_index,
        CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' ||
@@ -342,7 +356,7 @@ def q_short_term_context(v):
 
 
 @register("export_transcript", "S10+C17", f"""
-SELECT DISTINCT session_id, CAST(-1 AS BIGINT) AS line_no, '# Conversation' || {NL} AS text FROM v_chat_messages
+SELECT DISTINCT session_id, CAST(-2 AS BIGINT) AS line_no, '# Conversation' || {NL} AS text FROM v_chat_messages
 UNION ALL
 SELECT session_id, CAST(turn_index AS BIGINT),
        CASE WHEN role = 'user' THEN '**User**' ELSE '**Assistant**' END || {NL} || {NL} || COALESCE(content, '')
@@ -354,13 +368,17 @@ def q_export_transcript(v):
 
 
 @register("transcript_documents", "S10+C17", f"""
-SELECT session_id, '# Conversation' || {NL} || {NL} || string_agg(
+SELECT session_id, '# Conversation' || {NL} || {NL} || CASE WHEN session_id LIKE '%7' THEN
+         '**Summary**' || {NL} || {NL} || 'About ' || session_id || {NL} || {NL} || '---' || {NL} || {NL} ELSE '' END || string_agg(
          CASE WHEN role = 'user' THEN '**User**' ELSE '**Assistant**' END || {NL} || {NL} || COALESCE(content, '')
          || {NL} || {NL} || '---' || {NL}, {NL} ORDER BY turn_index) AS document
 FROM v_chat_messages GROUP BY session_id""")
 def q_transcript_documents(v):
-    """S10 one Markdown document per conversation."""
-    return assemble_transcript(export_transcript(v.chat_messages))
+    """S10 one Markdown document per conversation, some with a summary."""
+    m = v.chat_messages
+    told = m.filter(F.col("session_id").endswith("7")).select(
+        "session_id", F.concat(F.lit("About "), F.col("session_id")).alias("summary")).distinct()
+    return assemble_transcript(export_transcript(m, summaries=told))
 
 
 @register("kpi_snapshot", "M9+C19+S9", f"""

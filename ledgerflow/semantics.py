@@ -206,6 +206,9 @@ DEFAULT_HISTORY = (("OPEN", "Invoice opened."), ("OVERDUE", "Invoice overdue."))
 ROLE_USER_LABEL = "User"
 ROLE_OTHER_LABEL = "Assistant"
 CONTEXT_HEADER = "Conversation history:\n\n"
+# FIXED VALUES: text around the newest turns of one session.
+SHORT_CONTEXT_HEADER = "Previous conversation context (use this to answer follow-up questions):\n\n"
+SHORT_CONTEXT_FOOTER = "\n\n---\nNew question:\n"
 CONTEXT_FOOTER = "\n\nNew question:\n"
 FREQUENT_VENDOR_KEY = "frequent_vendor"
 ENTITY_MEMORY_TYPE = "entity"

@@ -135,9 +135,10 @@ TRANSCRIPT_HEADER = "# Conversation\n"
 
 
 def export_transcript(messages: DataFrame, session: str = "session_id",
-                      order: str = "turn_index") -> DataFrame:
+                      order: str = "turn_index", summaries: DataFrame | None = None) -> DataFrame:
     """S10 Markdown transcript per conversation as ordered blocks
-    (session_id, line_no, text): line 0 is the header, then one block per
+    (session_id, line_no, text): the header (-2), the summary of conversations
+    that ``summaries`` (session_id, summary) names (-1), then one block per
     message in turn order. Concatenating a session's blocks by line_no with
     newlines gives the document; no conversation is gathered into one row."""
     label = F.when(F.col("role") == "user", F.lit("**User**")).otherwise(F.lit("**Assistant**"))
@@ -147,16 +148,27 @@ def export_transcript(messages: DataFrame, session: str = "session_id",
         F.concat(label, F.lit("\n\n"), F.coalesce(F.col("content"), F.lit("")),
                  F.lit("\n\n---\n")).alias("text"))
     head = messages.select(F.col(session).alias("session_id")).distinct().select(
-        "session_id", F.lit(-1).cast("bigint").alias("line_no"), F.lit(TRANSCRIPT_HEADER).alias("text"))
-    return head.unionByName(body)
+        "session_id", F.lit(-2).cast("bigint").alias("line_no"), F.lit(TRANSCRIPT_HEADER).alias("text"))
+    out = head.unionByName(body)
+    if summaries is None:
+        return out
+    told = summaries.filter("summary != ''").select(
+        "session_id", F.lit(-1).cast("bigint").alias("line_no"),
+        F.concat(F.lit("**Summary**\n\n"), F.col("summary"), F.lit("\n\n---\n")).alias("text"))
+    # a summary without messages still makes a document
+    alone = told.join(head, "session_id", "left_anti").withColumn("line_no", F.lit(-2).cast("bigint")).withColumn(
+        "text", F.lit(TRANSCRIPT_HEADER))
+    return out.unionByName(told).unionByName(alone)
 
 
 def write_transcripts(blocks: DataFrame, path: str) -> None:
-    """Write one text document per session: range-partitioned on (session,
-    line), sorted within partitions, partitioned by session on disk, so a very
-    long conversation is split over several tasks and part files in order."""
+    """Write the blocks of all sessions in order as Parquet (session_id,
+    line_no, text): range-partitioned on (session, line) and sorted, so that a
+    session lies in one file or a few neighbouring ones, found by row-group
+    statistics, and millions of sessions do not make millions of folders. A
+    very long conversation is split over several tasks in order."""
     (blocks.repartitionByRange("session_id", "line_no").sortWithinPartitions("session_id", "line_no")
-     .select("session_id", "text").write.mode("overwrite").partitionBy("session_id").text(path))
+     .write.mode("overwrite").parquet(path))
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
