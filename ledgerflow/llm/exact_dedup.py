@@ -97,13 +97,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.lit(True).alias("kept"), "digest", "row_hash")
     again = marked.filter("maybe")
     rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    groups = again.groupBy("digest").agg(F.min(rank).alias("best"),
-                                         F.count(F.lit(1)).alias("group_size"))
-    # the group table has one row a digest; a hot digest's rows are split by
-    # the engine's skew join
-    judged = again.join(groups, "digest").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"), "digest", "row_hash")
+    # one row a digest, aggregated map side first; written, so that the join
+    # shuffles both sides itself and a hot digest's rows can be split by the
+    # engine's skew handling (or the table is broadcast while it is small)
+    groups = stored(again.groupBy("digest").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+                    .filter("group_size > 1"), "exact-groups")
+    alone_too = F.col("best").isNull()             # let through by the filter alone
+    judged = again.join(groups, "digest", "left").select(
+        "doc_id", F.when(alone_too, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone_too | (F.col("row") == F.col("best.row"))).alias("kept"), "digest", "row_hash")
     return alone.unionByName(judged).select(
         "doc_id", "keep_id", "group_size", "kept",
         F.lower(F.hex("digest")).alias("text_sha256"), "row_hash")
