@@ -172,9 +172,11 @@ def choose(names: list[str], toxic: np.ndarray, clean: np.ndarray) -> dict[str,
     if picked:
         whole = _gain(a, b, nt, nc)
         bar = max(MIN_GAIN, 0.25 * float(np.median(whole[picked])))
-        begun = tuple(names[i] for i in picked)
-        picked += [int(i) for i in np.nonzero(good & (whole >= bar) & (b <= 0.1 * a))[0]
-                   if not names[i].startswith(begun)]
+        more = np.nonzero(good & (whole >= bar) & (b <= 0.1 * a))[0]
+        for i in sorted(more.tolist(), key=lambda i: (-whole[i], -length[i])):
+            # a longer or shorter form of a chosen entry adds nothing
+            if not any(names[i].startswith(names[j]) or names[j].startswith(names[i]) for j in picked):
+                picked.append(i)
     return {names[i]: float(np.log((a[i] + .5) / (nt + 1)) - np.log((b[i] + .5) / (nc + 1)))
             for i in dict.fromkeys(picked)}
 
