@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from ledgerflow.llm.tokens import END_ID, default_tokenizer, encoder
 CHUNK_IDS = 1 << 16
 PLANES = "byte"                   # or "bit"
 LEVEL = 3
-BATCH = 128
+BATCH = 256
 MAX_SHARDS = 500_000              # rows of the broadcast shard offsets: about 20 MB
 END = np.array([END_ID], "<u4").tobytes()
 
@@ -145,32 +146,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids and ids_crc32 of every document in the store.
 
     Every chunk is decoded and checked. Only documents cut by a chunk border
-    are shuffled, to join their pieces.
+    are shuffled, to join their pieces; they come from a scan of their own.
     """
     totals = spark.read.schema("shard int, n_ids long").parquet(f"{path}/shards")
     n_shards = totals.count()
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)      # one row a shard
     first = totals.select("shard", F.coalesce(F.sum("n_ids").over(upto), F.lit(0).cast("long")).alias("before"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = unshuffled(row["payload"], row["lengths"], row["n_ids"], row["planes"])
                 if zlib.crc32(ids) != row["crc32"]:
                     raise ValueError(f"chunk {row['chunk']} of shard {row['shard']} is damaged")
                 out = [(d["doc_id"], row["shard"], d["rank"], row["chunk"], row["before"] + row["first"] + d["at"],
-                        d["n_tokens"], d["begins"] and d["ends"], ids[4 * d["at"]:4 * (d["at"] + d["length"])])
-                       for d in row["docs"]]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(),
-                         pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                    ["doc_id", "shard", "rank", "chunk", "start", "n_tokens", "whole", "ids"])
-
-    pieces = chunks(spark, path).join(small(first, n_shards, MAX_SHARDS), "shard").mapInArrow(
-        run, "doc_id long, shard int, rank long, chunk int, start long, n_tokens long, whole boolean, ids binary")
-    whole = pieces.filter("whole").select("doc_id", "start", "n_tokens", "ids")
-    cut = (pieces.filter("not whole").groupBy("shard", "rank", "doc_id", "n_tokens")
+                        d["n_tokens"], ids[4 * d["at"]:4 * (d["at"] + d["length"])])
+                       for d in row["docs"] if (d["begins"] and d["ends"]) == whole]
+                if out:
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                        ["doc_id", "shard", "rank", "chunk", "start", "n_tokens", "ids"])
+
+    def pieces(whole: bool) -> DataFrame:
+        return chunks(spark, path).join(small(first, n_shards, MAX_SHARDS), "shard").mapInArrow(
+            partial(run, whole=whole),
+            "doc_id long, shard int, rank long, chunk int, start long, n_tokens long, ids binary")
+
+    whole = pieces(True).select("doc_id", "start", "n_tokens", "ids")
+    cut = (pieces(False).groupBy("shard", "rank", "doc_id", "n_tokens")
            .agg(F.array_sort(F.collect_list(F.struct("chunk", "start", "ids"))).alias("p"))
            .select("doc_id", F.col("p")[0]["start"].alias("start"), "n_tokens",
                    F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["ids"])).alias("ids")))
