@@ -25,13 +25,13 @@ from ledgerflow.llm.tokens import CACHE_ENTRIES, END_ID, default_tokenizer, enco
 
 WINDOW = 1024
 MAX_PARTITIONS = 500_000         # rows of the broadcast offsets: about 20 MB
-BATCH = 128                      # documents encoded at once
+BATCH = 256                      # documents encoded at once
 END = np.array([END_ID], "<u4").tobytes()
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
             cache_entries: int = CACHE_ENTRIES) -> DataFrame:
-    """doc_id, part, before (ids of the partition before it), ids (with the end id)."""
+    """doc_id, part, before (ids of the partition before it), n (ids), ids (with the end id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(tokenizer, cache_entries), TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -45,11 +45,11 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array([part] * len(ids), pa.int32()),
                      pa.array(starts, pa.int64()),
-                     pa.array(ids, pa.binary())],
-                    ["doc_id", "part", "before", "ids"])
+                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "part", "before", "n", "ids"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        run, "doc_id long, part int, before long, ids binary")
+        run, "doc_id long, part int, before long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id_col: str = "doc_id",
@@ -64,7 +64,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id
     """
     rows = stored(encoded(docs, tokenizer or default_tokenizer(), id_col, text_col, cache_entries), "pack-ids",
                   compression="zstd")
-    totals = stored(rows.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n")),
+    totals = stored(rows.groupBy("part").agg(F.sum("n").alias("n")),
                     "pack-totals")
     n_parts = totals.count()
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)     # one row a partition
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id
                 kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], PIECE)
 
-    placed = rows.join(small(offsets, n_parts, MAX_PARTITIONS), "part")
+    placed = rows.drop("n").join(small(offsets, n_parts, MAX_PARTITIONS), "part")
     return placed.select("doc_id", (F.col("first") + F.col("before")).alias("position"), "ids").mapInArrow(
         cut, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, "
              "sequence_id long, offset long")

@@ -34,6 +34,16 @@ def test_pieces_give_the_ids_of_the_whole_text(whole):
         assert ids(got) == whole(t), repr(t)
 
 
+def test_joined_words_give_the_ids_of_each(whole):
+    words = ["the", "Ünïcödé", "字字", "don", "ⅷ", "²", "x" * 200, "éé", "ſt", "ﬁn", "Straße", "ａｂ"]
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    assert [ids(b) for b in enc._joined(words, "\n")] == [whole(w) for w in words]
+    assert [ids(b) for b in enc._joined([" " + w for w in words], " ")] == [whole(" " + w) for w in words]
+    letters = [chr(c) for c in range(0x80, 0x3000) if chr(c).isalpha()]
+    for mark, own in (("\n", letters), (" ", [" " + c for c in letters])):
+        assert [ids(b) for b in enc._joined(own, mark)] == [whole(w) for w in own]
+
+
 def test_cache_stays_bounded():
     enc = tokens.Encoder(tokens.default_tokenizer(), cache_entries=10)
     for i in range(20):
