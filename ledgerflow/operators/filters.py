@@ -170,11 +170,12 @@ def newest_rows(rows: DataFrame, limit: int) -> DataFrame:
     least = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"_b{i}")) for i in range(NUMBER_SLOTS // 64)])
     newest = Window.orderBy(F.col("posting_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
     summed = dates.select("posting_date", F.sum(least).over(newest).alias("_rows"))     # one row a date
-    bound = summed.filter(F.col("_rows") >= limit).agg(F.max("posting_date").alias("d"))
-    # two branches so each predicate is pushable on its own (an OR is not)
-    dated = rows.filter(F.col("posting_date") >= bound.select(
-        F.coalesce("d", F.lit("0001-01-01").cast("date"))).scalar())
-    undated = rows.filter(F.col("posting_date").isNull() & bound.select(F.col("d").isNull()).scalar())
+    never = F.lit("0001-01-01").cast("date")
+    bound = summed.filter(F.col("_rows") >= limit).agg(F.coalesce(F.max("posting_date"), never).alias("d")).scalar()
+    # two branches so each predicate is pushable on its own (an OR is not);
+    # both ask the same subquery, which runs once
+    dated = rows.filter(F.col("posting_date") >= bound)
+    undated = rows.filter(F.col("posting_date").isNull() & (bound == never))
     return dated.unionByName(undated)
 
 
