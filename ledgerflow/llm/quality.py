@@ -231,7 +231,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ["quality", "features"])
 
     rows = stored(sample.select("quality", "text").mapInArrow(featured, "quality int, features binary"),
-                  "quality-sample").filter("length(features) > 0").orderBy("quality", "features").collect()
+                  "quality-sample").filter("length(features) > 0").collect()
+    # sorted here, so that the fit does not depend on the order rows arrive in
+    rows.sort(key=lambda r: (r.quality, bytes(r.features)))
     if len({r.quality for r in rows}) < 2:
         return Field()
     own_rows = [np.frombuffer(r.features, "<f4").reshape(-1, len(FEATURES)) for r in rows]

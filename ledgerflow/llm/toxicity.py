@@ -218,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # of texts that share their smallest shingle hash (copies) one counts
     rows = (sample.mapInArrow(present, "toxic int, mark long, found binary")
-            .groupBy("toxic", "mark").agg(F.min("found").alias("found")).orderBy("toxic", "mark").collect())
+            .groupBy("toxic", "mark").agg(F.min("found").alias("found")).collect())      # the bounded sample
     sides = []
     for kind in (1, 0):
         own = [np.frombuffer(r.found, np.uint16) for r in rows if (r.toxic == 1) == (kind == 1)]
@@ -237,8 +237,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 [batch.column("toxic").cast(pa.int32()), pa.array([g[0] for g in got], pa.float64()),
                  pa.array([g[2] for g in got], pa.int64())], ["toxic", "weight", "n_words"])
 
-    seen = (sample.mapInArrow(weighed, "toxic int, weight double, n_words long")
-            .orderBy("toxic", "weight", "n_words").collect())
+    # sorted here, so that the fit does not depend on the order rows arrive in
+    seen = sorted(sample.mapInArrow(weighed, "toxic int, weight double, n_words long").collect())
     y = np.array([float(r.toxic == 1) for r in seen])
     if 0 < y.sum() < len(y):
         fits = []
