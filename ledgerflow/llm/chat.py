@@ -8,16 +8,22 @@ masked in. Built from DataFrame functions only.
 
 A conversation is rendered in windows of ``window`` consecutive turn numbers,
 so that a conversation of any length is a set of bounded examples, and one
-that holds a third of all rows is dealt over many tasks. A window is rendered
-for the participants who speak in it: for others there is nothing to learn.
+that holds a third of all rows is dealt over many tasks. Where a window's turn
+numbers hold more than ``window`` rows (null or repeated numbers), its rows in
+order are dealt into slices of ``window`` rows, each a part of its own. A part
+is rendered for the participants who speak in it: for others there is nothing
+to learn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.llm.common import small, stored
+
 WINDOW = 256
+MAX_LISTED = 300_000           # rows of a broadcast list of conversations or parts
 SYSTEM = "system"
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
@@ -31,6 +37,38 @@ def _name(role: Column) -> Column:
     return F.regexp_replace(_safe(role), r"\s+", "_")
 
 
+def _dealt(once: DataFrame, window: int) -> DataFrame:
+    """The distinct rows of conversations with an oversized part, renumbered: a
+    part of more than ``window`` rows becomes slices of ``window`` rows in order,
+    and the conversation's later parts move up by the slices added before them.
+
+    Rows are numbered inside ranges of the whole order, of which one part may
+    fill many, and the ranges' counts are summed up.
+    """
+    order = ["turn", "role", "text"]
+    ranged = stored(once.repartitionByRange("conv_id", "part", *order)
+                    .withColumn("range", F.spark_partition_id()), "chat-ranges")
+    counts = ranged.groupBy("conv_id", "part", "range").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("conv_id", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = stored(counts.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0).cast("long"))),
+                    "chat-firsts")
+    sizes = firsts.groupBy("conv_id", "part").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.withColumn("moved", F.coalesce(
+        F.sum(F.floor((F.col("n") - 1) / window)).over(earlier), F.lit(0).cast("long")))
+    at = stored(firsts.select("conv_id", "part", "range", "first").alias("f").join(
+        moved.alias("m"), F.expr("f.conv_id <=> m.conv_id AND f.part = m.part"))
+        .select(F.col("f.conv_id").alias("at_conv"), F.col("f.part").alias("at_part"),
+                F.col("range").alias("at_range"), "first", "moved"), "chat-at")
+    at = small(at, at.count(), MAX_LISTED)
+    own = Window.partitionBy("range", "conv_id", "part").orderBy(*order)
+    numbered = ranged.withColumn("row", F.row_number().over(own).cast("long") - 1)
+    found = numbered.join(at, numbered["conv_id"].eqNullSafe(at["at_conv"]) & (F.col("part") == F.col("at_part"))
+                          & (F.col("range") == F.col("at_range")))
+    number = F.col("part") + F.col("moved") + F.floor((F.col("first") + F.col("row")) / window)
+    return found.select("conv_id", number.alias("part"), *order)
+
+
 def examples(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
              text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per conversation, window and participant: conv_id, part,
@@ -42,15 +80,35 @@ def examples(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     in a part of its own (-1); a null role is the participant "unknown"; a
     null text is empty; a null conversation id is a conversation. An empty
     table gives an empty result; other columns are ignored.
+
+    part is the turn number divided by ``window``; only in a conversation with
+    more than ``window`` rows in one such part are the numbers after it moved
+    up, so that every slice has its own. The rows of a part are counted when
+    this is called.
     """
-    part = F.coalesce(F.floor(F.col("turn") / window), F.lit(-1).cast("long"))
+    first = F.lit(-1).cast("long")
+    part = F.coalesce(F.floor(F.col("turn") / window), first)
     rows = turns.select(turns[id_col].alias("conv_id"), turns[turn_col].cast("long").alias("turn"),
                         F.coalesce(turns[role_col], F.lit("unknown")).alias("role"),
-                        F.coalesce(turns[text_col], F.lit("")).alias("text"))
-    once = rows.groupBy("conv_id", part.alias("part"), "turn", "role", "text").agg(F.lit(1).alias("one"))
+                        F.coalesce(turns[text_col], F.lit("")).alias("text")).withColumn("part", part)
+    rows = rows.select("conv_id", "part", F.coalesce("turn", first).alias("turn"), "role", "text")
+
+    def distinct(df: DataFrame) -> DataFrame:
+        return df.groupBy("conv_id", "part", "turn", "role", "text").agg(F.lit(1).alias("one")).drop("one")
+
+    # narrow: conversations with a part of more rows than a window
+    large = stored(rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > window)
+                   .select("conv_id").distinct().select(F.col("conv_id").alias("large_id")), "chat-large")
+    n_large = large.count()
+    if n_large:
+        large = small(large, n_large, MAX_LISTED)
+        same = rows["conv_id"].eqNullSafe(large["large_id"])
+        once = distinct(rows.join(large, same, "left_anti")).unionByName(
+            _dealt(distinct(rows.join(large, same, "left_semi")), window))
+    else:
+        once = distinct(rows)
     talks = once.groupBy("conv_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-1).cast("long")).alias("turn"),
-                                             "role", "text"))).alias("turns"))
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     talks = talks.withColumn("speakers", F.array_sort(F.array_distinct(F.filter(
         F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM))))
     seen = talks.withColumn("perspective", F.explode("speakers"))

@@ -61,3 +61,23 @@ def test_long_conversation_is_dealt_in_windows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.examples(df).count() == 0
+
+
+def test_null_and_repeated_turn_numbers_are_dealt_in_slices(spark):
+    rows = [(None, None, f"p{i % 3}", f"null {i:03d}") for i in range(250)]          # null id, null turns
+    rows += [(None, 5, "p0", "after"), (8, 300, "p1", "last"), (9, 0, "p0", "short"), (9, 300, "p0", "end")]
+    rows += [(8, i % 8, f"p{i % 2}", f"low {i:03d}") for i in range(1000)] * 2         # repeated low turns
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = chat.examples(df, window=100).collect()
+    assert max(r.n_turns for r in got) == 100
+    assert len({(r.conv_id, r.part, r.perspective) for r in got}) == len(got)
+    # null turns take parts -1, 0, 1, so the conversation's turn 5 moves to part 2
+    sizes = {(r.conv_id, r.part): r.n_turns for r in got}
+    assert sizes == {(None, -1): 100, (None, 0): 100, (None, 1): 50, (None, 2): 1,
+                     **{(8, k): 100 for k in range(10)}, (8, 12): 1, (9, 0): 1, (9, 3): 1}
+    for conv in (None, 8):
+        own = sorted({(-1 if n is None else n, role, text) for c, n, role, text in rows if c == conv})
+        for who in ("p0", "p1", "p2"):
+            said = [r.text[m.start:m.end] for r in sorted((r for r in got if r.conv_id == conv and r.perspective == who),
+                                                          key=lambda r: r.part) for m in r["mask"]]
+            assert said == [text + "<|im_end|>" for _, role, text in own if role == who]
