@@ -33,13 +33,17 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources (operator 1): the least repeated source is read once,
-    so every document stays; small sources are read up to MAX_PASSES times."""
-    return mixing.mix(docs, repetition=MAX_PASSES).select(*docs.columns)
+    so every document stays; small sources are read up to MAX_PASSES times.
+    The files, in order of their numbers, hold the rows in the mixed order."""
+    mixed = mixing.mix(docs, repetition=MAX_PASSES, order=True)
+    return (mixed.repartitionByRange("mix_order").sortWithinPartitions("mix_order")
+            .select(*docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences (operator 6): one row a piece."""
-    return packing.pack(docs, cache_entries=PACKING_CACHE)
+    """Packs the documents, in the order of the mixed files, into sequences
+    (operator 6): one row a piece."""
+    return packing.pack(docs, cache_entries=PACKING_CACHE, file_order=True)
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_dedup_stage), ("near_dedup", near_dedup_stage),

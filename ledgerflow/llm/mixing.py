@@ -13,7 +13,7 @@ blocks as the budget still covers, the last block cut at a row. No row is
 drawn twice within a pass.
 
 Only one row per source or per block is ever aggregated, sorted or joined;
-the rows themselves, with whatever text they carry, are never shuffled.
+the rows themselves, with whatever text they carry, are never shuffled here.
 """
 
 from __future__ import annotations
@@ -117,7 +117,8 @@ def plan_mix(totals: DataFrame, exponent: float, budget: float | None = None) ->
 
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
         tokens: Column | None = None, budget: float | None = None, entropy: float | None = None,
-        repetition: float | None = None, seed: int = 7, max_sources: int = MAX_SOURCES) -> DataFrame:
+        repetition: float | None = None, seed: int = 7, max_sources: int = MAX_SOURCES,
+        order: bool = False) -> DataFrame:
     """All columns of ``docs`` plus mix_epoch, mix_block, mix_position and mix_weight.
 
     One row per use of a document. mix_position orders the mixed stream: the
@@ -126,8 +127,12 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     source of its own; rows without a token (null or empty text) weigh nothing
     and are used once per whole pass (those of a source without any token
     once). Equal rows go together. An empty table gives an empty result.
+
+    With ``order`` a column mix_order places each use in the stream: a seeded
+    hash of the row and epoch spreads the uses of a block evenly from its
+    mix_position to the next block's, so that sources interleave inside blocks.
     """
-    clash = [c for c in ("mix_epoch", "mix_block", "mix_position", "mix_weight") if c in docs.columns]
+    clash = [c for c in ("mix_epoch", "mix_block", "mix_position", "mix_weight", "mix_order") if c in docs.columns]
     if clash:
         docs = docs.drop(*clash)
     pre = own_prefix(docs)
@@ -185,7 +190,16 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
            .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), _own("uses") - 1))))
     slot = F.coalesce(F.pmod(dealt(F.col("mix_epoch")), _own("blocks")), F.lit(0).cast("long"))
     passed = F.col("mix_epoch") * _own("n_tokens") + F.col("mix_block") * _own("n_tokens") / _own("blocks")
-    return (out.withColumn("mix_block", slot)
-            .withColumn("mix_position", F.coalesce(passed / _own("target"), F.lit(0.0)))
-            .withColumn("mix_weight", F.coalesce(_own("weight"), F.lit(0.0)))
-            .select(*docs.columns, "mix_epoch", "mix_block", "mix_position", "mix_weight"))
+    out = (out.withColumn("mix_block", slot)
+           .withColumn("mix_position", F.coalesce(passed / _own("target"), F.lit(0.0)))
+           .withColumn("mix_weight", F.coalesce(_own("weight"), F.lit(0.0))))
+    columns = [*docs.columns, "mix_epoch", "mix_block", "mix_position", "mix_weight"]
+    if order:
+        # the stream ends at 1, also for the block that the last pass is cut in
+        width = F.least(_own("n_tokens") / _own("blocks") / _own("target"),
+                        F.greatest(1 - F.col("mix_position"), F.lit(0.0)))
+        hashed = F.xxhash64(_own("key"), F.col("mix_epoch"), F.lit(seed + 1))
+        even = F.pmod(hashed, F.lit(1 << 52)) / F.lit(float(1 << 52))
+        out = out.withColumn("mix_order", F.col("mix_position") + even * F.coalesce(width, F.lit(1.0)))
+        columns.append("mix_order")
+    return out.select(*columns)

@@ -6,7 +6,9 @@ partitions' token totals, one row each, are summed up to the partitions'
 global offsets. Pass 2 adds the offset to each document's position, cuts the
 global stream of ids at multiples of the window, and emits one boundary
 record per piece of a document. No document is shuffled; only the very last
-window is padded.
+window is padded. With ``file_order`` the parts are the pieces of files that
+tasks read, in the order of the files' numbers, instead of the partitions:
+Spark deals files to partitions by size.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import small, stored
@@ -29,45 +31,60 @@ BATCH = 256                      # documents encoded at once
 END = np.array([END_ID], "<u4").tobytes()
 
 
+def _file_part(docs: DataFrame) -> Column:
+    """Text that orders rows by the number of their file, then by its name and
+    the start of the piece that is read together."""
+    file = docs.metadataColumn("_metadata")
+    number = F.regexp_extract(file["file_name"], r"^part-(\d+)", 1)
+    return F.concat_ws(" ", F.lpad(number, 12, "0"), file["file_name"],
+                       F.lpad(file["file_block_start"].cast("string"), 20, "0"))
+
+
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
-            cache_entries: int = CACHE_ENTRIES) -> DataFrame:
-    """doc_id, part, before (ids of the partition before it), n (ids), ids (with the end id)."""
+            cache_entries: int = CACHE_ENTRIES, file_order: bool = False) -> DataFrame:
+    """doc_id, part, before (ids of the part before it), n (ids), ids (with the end id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, before = encoder(tokenizer, cache_entries), TaskContext.get().partitionId(), 0
+        enc, own = encoder(tokenizer, cache_entries), str(TaskContext.get().partitionId()).zfill(12)
+        before: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 rows = batch.slice(at, BATCH)
                 ids = [x + END for x in enc.encode(rows.column("text").to_pylist())]
+                parts = rows.column("part").to_pylist() if file_order else [own] * len(ids)
                 starts = []
-                for x in ids:
-                    starts.append(before)
-                    before += len(x) // 4
+                for p, x in zip(parts, ids):
+                    starts.append(before.get(p, 0))
+                    before[p] = starts[-1] + len(x) // 4
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([part] * len(ids), pa.int32()),
+                    [rows.column("doc_id"), pa.array(parts, pa.string()),
                      pa.array(starts, pa.int64()),
                      pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "part", "before", "n", "ids"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        run, "doc_id long, part int, before long, n long, ids binary")
+    cols = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")]
+    if file_order:
+        cols.append(_file_part(docs).alias("part"))
+    return docs.select(*cols).mapInArrow(
+        run, "doc_id long, part string, before long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id_col: str = "doc_id",
-         text_col: str = "text", cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+         text_col: str = "text", cache_entries: int = CACHE_ENTRIES, file_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens,
     sequence_id, offset. ``cache_entries`` bounds what a worker keeps of pieces
-    encoded before (200 bytes each).
+    encoded before (200 bytes each). With ``file_order`` (rows read from files)
+    the stream follows the numbers of the files and the rows in them.
 
     start counts the document's ids before the piece, offset the sequence's.
     A null text is an empty one: its only id is the end id. Rows with a null
     or repeated doc_id are packed each. An empty table gives an empty result.
     """
-    rows = stored(encoded(docs, tokenizer or default_tokenizer(), id_col, text_col, cache_entries), "pack-ids",
-                  compression="zstd")
+    rows = stored(encoded(docs, tokenizer or default_tokenizer(), id_col, text_col, cache_entries, file_order),
+                  "pack-ids", compression="zstd")
     totals = stored(rows.groupBy("part").agg(F.sum("n").alias("n")),
                     "pack-totals")
     n_parts = totals.count()
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)     # one row a partition
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)     # one row a part
     offsets = totals.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0).cast("long")).alias("first"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

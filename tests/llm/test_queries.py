@@ -123,3 +123,25 @@ def test_quality_queries_do_not_drop_rows(spark, docs):
     for f in (queries.op4_toxicity, queries.op8_quality, queries.op9_exact_dedup):
         assert f(spark, SF).count() == len(docs)
     assert quality.MIN_WORDS == 20
+
+
+def test_pipeline_interleaves_sources_and_passes_in_the_sequences(spark):
+    # stored by source, and two passes of the small one
+    rows = [(i, f"doc{i} " + "word " * 20, "big" if i < 900 else "small") for i in range(1200)]
+    docs = corpus_pipeline.stored(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3),
+                                  "test-docs")
+    mixed = corpus_pipeline.stored(corpus_pipeline.mixing_stage(spark, docs, SF), "test-mixed")
+    pieces = corpus_pipeline.packing_stage(spark, mixed, SF).filter("start = 0").collect()
+    stream = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))]
+    places = {}
+    for at, doc in enumerate(stream):
+        places.setdefault(doc, []).append(at)
+    assert set(places) == set(range(1200))
+    twice = [p for p in places.values() if len(p) == 2]
+    assert len(twice) > 100
+    gaps = [p[1] - p[0] for p in twice]
+    assert sum(gaps) / len(gaps) > len(stream) / 4 and sum(g < 25 for g in gaps) < len(gaps) / 10
+    share = sum(d >= 900 for d in stream) / len(stream)
+    for k in range(10):                     # every tenth of the stream holds the sources by weight
+        own = stream[k * len(stream) // 10:(k + 1) * len(stream) // 10]
+        assert abs(sum(d >= 900 for d in own) / len(own) - share) < 0.15

@@ -88,3 +88,14 @@ def test_sequences_are_padded(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_file_order_follows_the_files_numbers(spark, whole, tmp_path):
+    # later files are larger, so that Spark would deal them out first
+    rows = [(i, f"w{i} " * (1 + i // 10)) for i in range(200)]
+    path = str(tmp_path / "ordered")
+    (spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(9, "doc_id")
+     .sortWithinPartitions("doc_id").write.parquet(path))
+    pieces = packing.pack(spark.read.parquet(path), window=64, file_order=True).collect()
+    firsts = sorted((r.sequence_id, r.offset, r.doc_id) for r in pieces if r.start == 0)
+    assert [d for _, _, d in firsts] == list(range(200))
