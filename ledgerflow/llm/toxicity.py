@@ -44,7 +44,6 @@ _WORD = re.compile(r"\w+")
 
 FOLDS = 5                                    # fold 0 is held out
 MAX_TOXIC, MAX_CLEAN = 2_000, 8_000          # labelled rows to learn from
-MAX_CANDIDATES = 8_000                       # entries considered
 PREFIXES = (4, 5, 6)                         # lengths of word beginnings considered
 MIN_DOCS, MIN_GAIN, MIN_PRECISION = 4, 30.0, 0.5
 POWERS = (0.25, 0.5, 1.0)                    # length exponents tried
@@ -127,13 +126,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return stored(texts.join(F.broadcast(chosen), "id").select("toxic", "text"), "toxic-sample")
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest shingle hash of each text, by which copies are found."""
+    for batch in batches:
+        marks = [int(s[0]) >> 1 if len(s) else 0 for s in (shingles(t.as_py()) for t in batch.column("text"))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("toxic").cast(pa.int32()), pa.array(marks, pa.int64()), batch.column("text")],
+            ["toxic", "mark", "text"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: Counter[str] = Counter()
-        for text in batch.column("text"):
-            seen.update(candidates(set(folded_words(text.as_py()))))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())],
-                                         ["entry", "n"])
+        seen: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
+        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
+            seen[toxic == 1].update(candidates(set(folded_words(text.as_py()))))
+        a, b = seen[True], seen[False]
+        names = [*a, *(e for e in b if e not in a)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([a[e] for e in names], pa.int64()),
+             pa.array([b[e] for e in names], pa.int64())], ["entry", "a", "b"])
 
 
 def _gain(a, b, na: int, nb: int):
@@ -198,30 +209,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Lexicon:
     """Fit the lexicon. Without labels of both kinds the seed words stay as they are."""
     sample = labelled_sample(docs, labels, id_col, text_col, max_toxic, max_clean)
-    top = (sample.filter("toxic = 1").mapInArrow(_counted, "entry string, n long")
-           .groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS)
-           .orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES))
-    names = [r.entry for r in top.collect()]
+    # of texts that share their smallest shingle hash (copies) one counts
+    texts = stored(sample.mapInArrow(_marked, "toxic int, mark long, text string")
+                   .groupBy("toxic", "mark").agg(F.min("text").alias("text")), "toxic-texts")
+    # what choose() could not take is left out here: an entry needs its number and share of toxic texts. Its
+    # gain grows as texts are explained, so that it is judged there.
+    top = (texts.mapInArrow(_counted, "entry string, a long, b long")
+           .groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+           .filter((F.col("a") >= MIN_DOCS) & (F.col("a") / (F.col("a") + F.col("b")) >= MIN_PRECISION)))
+    names = [r.entry for r in top.select("entry").orderBy("entry").collect()]
     index = {e: i for i, e in enumerate(names)}
 
     def present(batches):
         for batch in batches:
-            rows = []
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
-                s = shingles(text.as_py())
-                found = candidates(set(folded_words(text.as_py())))
-                rows.append((toxic, int(s[0]) >> 1 if len(s) else 0,
-                             np.array(sorted(index[e] for e in found if e in index), np.uint16).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.binary())], ["toxic", "mark", "found"])
+            found = [np.array(sorted(index[e] for e in candidates(set(folded_words(t.as_py()))) if e in index),
+                              np.uint32).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.binary())],
+                                             ["toxic", "found"])
 
-    # of texts that share their smallest shingle hash (copies) one counts
-    rows = (sample.mapInArrow(present, "toxic int, mark long, found binary")
-            .groupBy("toxic", "mark").agg(F.min("found").alias("found")).collect())      # the bounded sample
+    rows = texts.mapInArrow(present, "toxic int, found binary").collect()      # the bounded sample
     sides = []
     for kind in (1, 0):
-        own = [np.frombuffer(r.found, np.uint16) for r in rows if (r.toxic == 1) == (kind == 1)]
+        own = [np.frombuffer(r.found, np.uint32) for r in rows if (r.toxic == 1) == (kind == 1)]
         m = np.zeros((len(own), len(names)), bool)
         for i, found in enumerate(own):
             m[i, found] = True

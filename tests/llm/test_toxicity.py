@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -75,3 +76,18 @@ def test_learns_a_marker_from_labels(spark):
     lex = toxicity.learn(docs, lab)
     got = toxicity.toxicity(docs, lex).collect()
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got)
+
+
+def test_learns_markers_rarer_than_thousands_of_ordinary_entries(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(8)) for _ in range(3000)]
+    markers = ["zaxquob", "zubfrim", "yoxplen", "yitgarb", "xelbund", "xovnapt"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join(rng.sample(words, 1500) + [markers[i // 5 % 6]] * (10 * toxic))))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    lex = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert all(any(f" {m} ".startswith(e) for e in lex.weights) for m in markers)
+    assert all(r.predicted == int(r.doc_id % 5 == 0) for r in toxicity.toxicity(docs, lex).collect())
