@@ -46,14 +46,15 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back.
+def stored(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS, **options: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back. Arrow
+    batches of the job hold ``batch_rows`` rows.
 
     This cuts the lineage: a lost executor costs the tasks that read the
     files, never the work behind them.
     """
     path = shared_path(df.sparkSession, name)
-    with arrow_batches(df.sparkSession, BATCH_ROWS):
+    with arrow_batches(df.sparkSession, batch_rows):
         df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import (chat, exact_dedup, mixing, near_dedup, packing, pii, quality, token_store, toxicity,
-                            url_filter)
+from ledgerflow.llm import (chat, exact_dedup, hard_negatives, language_id, mixing, near_dedup, packing, pii,
+                            prefix_trie, quality, token_store, toxicity, url_filter)
 from ledgerflow.llm.common import shared_path, table
 
 REPETITION = 4.0        # passes over the most repeated source of the mixing query
@@ -61,6 +61,45 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", F.array_join(spans, ","))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0).drop("positive_rank")
+
+
+LEAD = 6                # a rebuilt conversation begins with fewer turns of another than this
+LEAD_STEP = 100
+
+
+def rebuilt_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trie query's input: conversations that share beginnings, as rows
+    (conv_id, turn, role, text), and all their ids."""
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    rows = conversations.filter("conv_id is not null").select("conv_id", "turn", role.alias("role"),
+                                                              text.alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    turns = rows.withColumn("turn", F.row_number().over(order))
+    lead = F.crc32(F.col("conv_id").cast("string").cast("binary")) % LEAD
+    ids = rows.select("conv_id").distinct()
+    first = (turns.filter(F.col("conv_id") % LEAD_STEP == 0).filter(F.col("turn") < LEAD)
+             .withColumnRenamed("conv_id", "base"))
+    begun = (ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % LEAD_STEP).join(first, "base")
+             .filter(F.col("turn") <= lead))
+    own = turns.filter(F.col("turn") > lead)
+    return begun.select("conv_id", "turn", "role", "text").unionByName(own), ids
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, ids = rebuilt_conversations(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(rows, ids)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +108,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_near_dedup, op3_pii, op4_toxicity, op5_url_filter, op6_packing, op7_token_store,
-    op8_quality, op9_exact_dedup, op10_chat, pipeline)}
+    op8_quality, op9_exact_dedup, op10_chat, op11_hard_negatives,
+    op12_prefix_trie, op13_language_id, pipeline)}
 
 
 def _url_sql() -> str:
@@ -124,4 +164,52 @@ SELECT conv_id, part, perspective, count(*) AS n_turns,
     CAST(sum(length(body)) FILTER (WHERE mine) AS BIGINT) AS n_masked
 FROM o GROUP BY conv_id, part, perspective"""
 
-SQL = {"op5_url_filter": _url_sql(), "op9_exact_dedup": _EXACT_SQL, "op10_chat": _CHAT_SQL}
+_NEGATIVES_SQL = """
+WITH e AS (SELECT row_number() OVER () AS rn, vec_id,
+    CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT a.rn, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.rn <> b.rn WHERE a.vec_id % 100 = 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, id NULLS LAST) AS k
+    FROM p WHERE same QUALIFY k <= 5),
+neg AS (SELECT pos.anchor_id, pos.id AS positive_id,
+    CAST(row_number() OVER (PARTITION BY pos.rn, pos.k ORDER BY p.score DESC, p.id NULLS LAST) AS INTEGER) AS rank,
+    p.id AS negative_id, pos.score AS positive_score, p.score AS negative_score
+    FROM pos JOIN p ON p.rn = pos.rn AND NOT p.same
+        AND 80 * pos.score <= 100 * p.score AND p.score <= pos.score)
+SELECT * FROM neg WHERE rank <= 5"""
+
+# DuckDB has no crc32: one step for each byte, then eight shifts
+_TRIE_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], flatten([[ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+        FOR c IN string_split(CAST(conv_id AS VARCHAR), '')])),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END)) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT i.conv_id, t.n, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.base AND t.n <= i.h
+    UNION ALL SELECT i.conv_id, t.n, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.n > i.h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS depth, length(text) AS size,
+    md5(length(role) || ':' || role || text) AS k FROM r),
+p AS (SELECT conv_id, depth, size, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM d
+    UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+f AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+nodes AS (SELECT p.path, p.depth, max(p.size) AS size, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)
+                    FILTER (f.depth = p.depth), '')) AS ends_sha256
+    FROM p JOIN f ON f.conv_id = p.conv_id GROUP BY p.path, p.depth),
+kids AS (SELECT left(path, length(path) - 32) AS path, count(*) AS c FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(k.c, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.path = n.path)
+SELECT a.conv_id, a.depth, any_value(u.conv_id) AS parent_conv_id, a.n_convs, a.n_children,
+    count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.size) AS BIGINT) AS saved_tokens,
+    a.ends_sha256
+FROM full_nodes a JOIN full_nodes b ON starts_with(b.path, a.path)
+    LEFT JOIN nodes u ON a.depth > 0 AND u.path = left(a.path, length(a.path) - 32)
+GROUP BY a.path, a.conv_id, a.depth, a.n_convs, a.n_children, a.ends_sha256"""
+
+SQL = {"op11_hard_negatives": _NEGATIVES_SQL, "op12_prefix_trie": _TRIE_SQL, "op5_url_filter": _url_sql(), "op9_exact_dedup": _EXACT_SQL, "op10_chat": _CHAT_SQL}

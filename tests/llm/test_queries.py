@@ -30,7 +30,7 @@ def docs(spark):
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = list(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
     assert set(queries.SQL) <= set(E.oracle_sql())
@@ -145,3 +145,11 @@ def test_pipeline_interleaves_sources_and_passes_in_the_sequences(spark):
     for k in range(10):                     # every tenth of the stream holds the sources by weight
         own = stream[k * len(stream) // 10:(k + 1) * len(stream) // 10]
         assert abs(sum(d >= 900 for d in own) / len(own) - share) < 0.15
+
+
+def test_op13_on_held_out_documents(spark):
+    lang = {r.doc_id: r.lang for r in table(spark, SF, "documents").select("doc_id", "lang").collect()}
+    rows = [r for r in queries.op13_language_id(spark, SF).collect() if r.lang_pred != "und"]
+    assert len(lang) - len(rows) < 20 and set(r.lang_pred for r in rows) <= set(lang.values())
+    held = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out and lang[r.doc_id]]
+    assert len(held) > 200 and sum(held) >= 0.98 * len(held)
