@@ -33,6 +33,7 @@ CHUNK_IDS = 1 << 16
 PLANES = "byte"                   # or "bit"
 LEVEL = 3
 BATCH = 256
+HEAD = 64                         # characters that order rows of equal id
 MAX_SHARDS = 500_000              # rows of the broadcast shard offsets: about 20 MB
 END = np.array([END_ID], "<u4").tobytes()
 
@@ -109,16 +110,20 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     """Write the ids of all texts in ascending doc_id order to ``path``.
 
     Texts are dealt to shards by ranges of doc_id and encoded where they
-    land. Null ids come first; rows of equal id are ordered by text; a null
-    text is an empty one: its only id is the end id. An empty table gives an
-    empty store.
+    land. Null ids come first; rows of equal id are ordered by their first HEAD
+    characters, then by the hash of the text, so that an id of many rows, and
+    copies under one id, spread over shards. A null text is an empty one: its
+    only id is the end id. An empty table gives an empty store.
     """
     file, spark = tokenizer or default_tokenizer(), docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    # text is only the tie break of a repeated id
-    dealt = (rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
+    # a repeated (or null) id is dealt on by the beginning and hash of the text, and copies by their place
+    head, place = F.substring("text", 1, HEAD), F.struct(F.spark_partition_id(), F.monotonically_increasing_id())
+    keyed = (rows.withColumn("head", head).withColumn("hash", F.xxhash64("text"))
+             .withColumn("place", F.xxhash64(place)))
+    order = [F.col("doc_id").asc_nulls_first(), "head", "hash", "place"]
+    dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(file), _Shard(TaskContext.get().partitionId(), chunk_ids, planes)

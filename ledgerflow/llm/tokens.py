@@ -2,7 +2,8 @@
 
 A text is cut before each blank that stands between two other characters that
 are not white space. The pre-tokenizer of a byte-level BPE never joins across
-such a place, so the ids of the pieces, in turn, are the ids of the text. Each
+such a place, so the ids of the pieces, in turn, are the ids of the text. A text
+that spells an added token (``<|endoftext|>``) is encoded whole. Each
 distinct piece is encoded once per worker while it stays in a bounded cache.
 A piece that is a letter word, perhaps with a stop or comma, a line feed and a
 second such word, is put together from those parts. Words not seen before are
@@ -19,9 +20,12 @@ from functools import lru_cache
 import numpy as np
 
 CACHE_ENTRIES = 800_000            # pieces a worker keeps: about 160 MB
+WORDS = 2_000                      # encoded in one call
 END_ID = 0
 _SIDE_BY_SIDE = re.compile(r"\s\s")
-_PARTS = re.compile(r"( ?[^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?\Z")
+# of pieces set side by side with NULs between: a word; and a word with a sign or a line feed and a second word
+_WORDS = re.compile(r"(?<![^\0])( ?[^\W\d_]+)(?![^\0])")
+_PARTS = re.compile(r"(?<![^\0])( ?[^\W\d_]+)(?=[.,\n])([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?(?![^\0])")
 
 
 def default_tokenizer() -> str:
@@ -47,14 +51,15 @@ class Encoder:
         self.cache_entries = cache_entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         # how byte-level vocabularies write a blank and a line feed
         self.begins = {" ": np.array([n.startswith("\u0120") for n in names]),
                        "\n": np.array([n == "\u010a" for n in names])}
 
-        self.signs = dict(zip(".,\n", self._encode([".", ",", "\n"])))
+        self.signs = {"": b"", **dict(zip(".,\n", self._encode([".", ",", "\n"])))}
+        self.cache.update(self.signs)
 
     def _joined(self, words: list[str], mark: str) -> list[bytes]:
         """Ids of letter words that begin with a blank, or (mark: line feed)
@@ -74,48 +79,49 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
-    def _found(self, missing: list[str]) -> dict[str, bytes]:
+    def _found(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces not in the cache, and of the words in them."""
-        new: dict[str, bytes] = {}
-        made, rest, words = [], [], set()
-        for p in missing:
-            m = _PARTS.match(p)
-            if m is None:
-                rest.append(p)
-                continue
-            first, stop, feed, second, stop2 = m.groups()
+        listed = "\0".join(missing)               # no piece holds a NUL
+        words = set(_WORDS.findall(listed))
+        parts = _PARTS.findall(listed)
+        made = ["".join(m) for m in parts]
+        rest = missing.difference(words, made)
+        for first, _, _, second, _ in parts:
             words.add(first)
-            if stop or feed:
-                made.append((p, (first, stop, feed or "", second or "", stop2 or "")))
-                if second:
-                    words.add(second)
-        words = [w for w in words if w not in self.cache]
+            words.add(second)
+        words.discard("")
+        words.difference_update(self.cache)
+        new: dict[str, bytes] = {}
         for mark, own in ((" ", [w for w in words if w[0] == " "]), ("\n", [w for w in words if w[0] != " "])):
-            new.update(zip(own, self._joined(own, mark)))
-        new.update(zip(rest, self._encode(rest)))
-        for p, parts in made:
-            new[p] = b"".join([self.signs.get(q) or new.get(q) or self.cache[q] for q in parts if q])
+            for at in range(0, len(own), WORDS):
+                part = own[at:at + WORDS]
+                new.update(zip(part, self._joined(part, mark)))
+        rest = list(rest)
+        for at in range(0, len(rest), WORDS):
+            part = rest[at:at + WORDS]
+            new.update(zip(part, self._encode(part)))
+        self.cache.update(new)
+        ids = self.cache.__getitem__
+        for p, (first, stop, feed, second, stop2) in zip(made, parts):
+            if feed:
+                new[p] = ids(first) + ids(stop) + ids(feed) + ids(second) + ids(stop2)
+            else:
+                new[p] = ids(first) + ids(stop)
         return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > self.cache_entries:
             self.cache.clear()
-        cut = [pieces(t or "") for t in texts]
-        every: set[str] = set()
+            self.cache.update(self.signs)
+        cut = [None if any(a in t for a in self.added) else pieces(t) for t in (t or "" for t in texts)]
+        missing: set[str] = set()
         for c in cut:
-            every.update(c or ())
-        now, missing = {}, []
-        for p in every:
-            ids = self.cache.get(p)
-            if ids is None:
-                missing.append(p)
-            else:
-                now[p] = ids
-        new = self._found(missing)
-        self.cache.update(new)
-        now.update(new)
+            missing.update(c or ())
+        missing.difference_update(self.cache)
+        self.cache.update(self._found(missing))
         whole = iter(self._encode([t or "" for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(now.__getitem__, c)) for c in cut]
+        ids = self.cache.__getitem__
+        return [next(whole) if c is None else b"".join(map(ids, c)) for c in cut]
 
 
 @lru_cache(maxsize=2)

@@ -62,7 +62,6 @@ def test_op6_and_op7_against_whole_encodings(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     import numpy as np
 
     want, start = {}, 0

@@ -51,5 +51,17 @@ def test_empty_table(spark, tmp_path):
     assert token_store.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_a_hot_id_and_copies_are_spread(spark, tmp_path):
+    rows = [(None, f"text number {k}") for k in range(300)] + [(7, "the same text")] * 300
+    rows += [(k, "other") for k in range(100, 200)]
+    path = str(tmp_path / "hot")
+    token_store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, shards=7)
+    held = {r.shard: r.n for r in token_store.chunks(spark, path).selectExpr("shard", "size(docs) n")
+            .groupBy("shard").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert len(held) == 7 and max(held.values()) < 250
+    got = token_store.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [r[0] for r in rows]
+
+
 def test_rows_of_the_fixture_are_awkward():
     assert any(t is None for _, t in AWKWARD)
