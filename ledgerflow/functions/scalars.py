@@ -17,7 +17,7 @@ from ledgerflow import semantics as S
 
 __all__ = [
     "col_", "month_start", "year_start", "add_months_", "add_days", "days_between",
-    "month_key", "month_label", "yyyymm", "as_of_date", "pct_delta", "abbr_currency",
+    "month_key", "month_label", "yyyymm", "as_of_date", "tenths", "round_tenth", "fixed_text", "pct_delta", "abbr_currency",
     "clean_invoice_number", "format_invoice_number", "safe_number", "safe_int",
     "try_cast_", "coalesce_", "case_",
     "round_", "ym_label", "strip_", "truncate_text", "role_label", "age_label", "md5_key",
@@ -84,15 +84,61 @@ def ratio(num, den, scale: float = 1.0) -> Column:
             .otherwise(F.lit(0.0)))
 
 
+def _let(c: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
+def tenths(c) -> Column:
+    """|c| * 10 rounded to a bigint, by the exact value of c and half-even on
+    exact ties, as Python's ``round`` and format round; null from 9.2e17 up.
+
+    Whole part and fraction f are exact. The rounded product p = 10 f and its
+    exact error e (f split in two halves, whose products with 10 are exact) tell
+    on which side of a tie f lies: where p is no tie, ``rint(p)`` is right,
+    since e is less than the distance of p to the next tie; where it is one, the
+    sign of e decides."""
+    def rounded(f: Column, high: Column) -> Column:
+        p, near = f * F.lit(10.0), F.rint(f * F.lit(10.0))
+        e = (high * F.lit(10.0) - p) + (f - high) * F.lit(10.0)
+        tie = F.abs(p - near) == 0.5
+        return F.when(tie & (e > 0), F.ceil(p)).when(tie & (e < 0), F.floor(p)).otherwise(near.cast("bigint"))
+
+    split = F.lit(134217729.0)                  # 2^27 + 1
+
+    def of(x: Column) -> Column:
+        whole = F.floor(F.when(x < 9.2e17, x))
+        return whole * 10 + _let(x - whole, lambda f: _let(f * split - (f * split - f), lambda high: rounded(f, high)))
+
+    return _let(F.abs(col_(c).cast("double")), of)
+
+
+def round_tenth(c) -> Column:
+    """c rounded to one decimal as Python's ``round(c, 1)``."""
+    c = col_(c).cast("double")
+    near = _let(tenths(c), lambda n: F.when(F.abs(c) < 2.0 ** 49, n.cast("double") / F.lit(10.0)).when(
+        F.abs(c) < 2.0 ** 52, (n - n % 10).cast("double") / F.lit(10.0) + (n % 10).cast("double") / F.lit(10.0)))
+    return F.coalesce(F.signum(c) * near, c)
+
+
+def fixed_text(c, digits: int) -> Column:
+    """The text of |c| with 0 or 1 decimals, as Python's ``f"{abs(c):.1f}"``."""
+    c = F.abs(col_(c).cast("double"))
+    if digits == 0:
+        whole = F.when(c < 9.2e18, F.rint(c)).cast("bigint").cast("string")
+        return F.coalesce(whole, F.format_string("%.0f", c))
+    text = _let(tenths(c), lambda n: F.concat(
+        F.call_function("div", n - n % 10, F.lit(10)).cast("string"), F.lit("."), (n % 10).cast("string")))
+    return F.coalesce(text, F.format_string("%.1f", c))
+
+
 def pct_delta(cur, prev) -> Column:
     """C7 struct(label, up): percent change label as the dashboard shows it."""
     cur, prev = col_(cur).cast("double"), col_(prev).cast("double")
     change = (cur - prev) / prev * F.lit(100.0)
-    # rounded half-even to 1 dp first, so the text does not depend on the
-    # formatter's own tie rule
     label = (F.when(prev == 0, F.when(cur == 0, F.lit("-")).otherwise(F.lit("+100%")))
              .when(F.abs(change) < 0.05, F.lit("0%"))
-             .otherwise(F.format_string("%+.1f%%", F.bround(change, 1))))
+             .otherwise(F.concat(F.when(change < 0, F.lit("-")).otherwise(F.lit("+")), fixed_text(change, 1), F.lit("%"))))
     up = (F.when(prev == 0, cur >= 0)
           .when(F.abs(change) < 0.05, F.lit(True))
           .otherwise(change >= 0))
@@ -101,14 +147,13 @@ def pct_delta(cur, prev) -> Column:
 
 def abbr_currency(c, sym: str = "$") -> Column:
     """C8 '$1.2M' style: K/M/B at 1e3/1e6/1e9 with 1 dp, else 0 dp.
-    Ties round half-to-even, as Python's format does on these values."""
+    Rounded by the exact value of the double, as Python's format does."""
     v = col_(c).cast("double")
     n = F.abs(v)
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
 
     def fmt(x, digits, suffix):
-        return F.concat(sign, F.lit(sym), F.format_string(f"%.{digits}f", F.bround(x, digits)),
-                        F.lit(suffix))
+        return F.concat(sign, F.lit(sym), fixed_text(x, digits), F.lit(suffix))
 
     return (F.when(n >= 1e9, fmt(n / 1e9, 1, "B"))
             .when(n >= 1e6, fmt(n / 1e6, 1, "M"))

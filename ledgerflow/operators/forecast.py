@@ -34,8 +34,8 @@ def cash_flow_bucket(days: Column) -> Column:
 
 def cash_flow_buckets(inv: DataFrame, as_of: _dt.date) -> DataFrame:
     """A15 unpaid invoices with a due date, by due bucket: count, sum, min and
-    max due; plus the TOTAL_UNPAID row with null dates (U2). No unpaid invoice,
-    no row."""
+    max due; plus the TOTAL_UNPAID row with null dates (U2). Without an unpaid
+    invoice that row alone is there, with nulls."""
     base = inv.filter(status_is(*S.UNPAID) & F.col("due_date").isNotNull())
     bucket = cash_flow_bucket(F.datediff(F.col("due_date"), _as_of(as_of)))
     # one pass: the empty grouping set of the rollup is the total
@@ -44,6 +44,12 @@ def cash_flow_buckets(inv: DataFrame, as_of: _dt.date) -> DataFrame:
                    F.sum("invoice_amount_local").cast("double").alias("total_amount"),
                    F.min("due_date").alias("_first"), F.max("due_date").alias("_last"),
                    F.grouping("_bucket").alias("_total")))
+    # a rollup of no rows has no total: one row of nulls, merged with the total where there is one
+    none = base.sparkSession.range(1).select(
+        *[F.lit(None).cast(rolled.schema[c].dataType).alias(c) for c in rolled.columns[:-1]],
+        F.lit(1).cast(rolled.schema["_total"].dataType).alias("_total"))
+    rolled = (rolled.unionByName(none).groupBy("_bucket", "_total")
+              .agg(*[F.max(c).alias(c) for c in ("invoice_count", "total_amount", "_first", "_last")]))
     total = F.col("_total") == 1
     return rolled.select(
         F.when(total, F.lit(S.CASH_FLOW_TOTAL)).otherwise(F.col("_bucket")).alias("forecast_bucket"),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow import semantics as S
-from ledgerflow.functions.scalars import pct_delta, ratio
+from ledgerflow.functions.scalars import fixed_text, pct_delta, ratio
 from ledgerflow.operators.filters import prior_window, status_is, year_month_between
 from ledgerflow.operators.joins import names_of, selected_vendors
 
@@ -250,11 +250,11 @@ def kpi_compare(v, start: _dt.date, end: _dt.date, vendor: str | None = None) ->
         # lower is better for pending invoices
         out.append((~d["up"] if name == "pending" else d["up"]).alias(f"{name}_good"))
     days_d = F.col("avg_processing_days") - F.col("prev_avg_processing_days")
-    out.append(F.concat(F.format_string("%.1f", F.abs(days_d)), F.lit("d")).alias("days_delta"))
+    out.append(F.concat(fixed_text(days_d, 1), F.lit("d")).alias("days_delta"))
     out.append((days_d < 0).alias("days_good"))
     fp_d = F.col("first_pass_rate") - F.col("prev_first_pass_rate")
-    out.append(F.concat(F.format_string("%.1f", F.abs(fp_d)), F.lit("%")).alias("first_pass_delta"))
+    out.append(F.concat(fixed_text(fp_d, 1), F.lit("%")).alias("first_pass_delta"))
     out.append((fp_d > 0).alias("first_pass_good"))
-    out.append(F.concat(F.lit("+"), F.format_string("%.1f", F.col("auto_rate")), F.lit("%"))
+    out.append(F.concat(F.lit("+"), fixed_text("auto_rate", 1), F.lit("%"))
                .alias("auto_delta"))
     return j.select(*out)

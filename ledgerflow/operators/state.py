@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow import semantics as S
-from ledgerflow.functions.scalars import md5_key, role_label, truncate_text
+from ledgerflow.functions.scalars import md5_key, role_label, round_tenth, truncate_text
 
 
 def _ts(value) -> Column:
@@ -250,7 +250,7 @@ def cache_stats(cache: DataFrame, as_of_ts) -> DataFrame:
                  F.count("hit_count").alias("_n"),
                  F.sum(F.when(expired, 1).otherwise(0)).cast("bigint").alias("expired"))
             .select("type", "entries", "total_hits",
-                    F.coalesce(F.bround(F.col("_sum").cast("double") / F.col("_n"), 1), F.lit(0.0))
+                    F.coalesce(round_tenth(F.col("_sum").cast("double") / F.col("_n")), F.lit(0.0))
                     .alias("avg_hits"), "expired"))
 
 

@@ -2,8 +2,8 @@
 
 Scale rule: a window without ``partitionBy`` runs in one task, so the
 unpartitioned ones here (W4, W5, W6 on a page) are only applied to
-aggregated or top-k frames with a bounded row count. W2 and W8 partition
-by their key.
+aggregated or top-k frames with a bounded row count. W2 ranks in (group,
+salt) first; W8 numbers rows in two levels (``prefix_sums``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.dashboard import share_of_total, spend_forecast  # noqa: F401  (W1, W7)
+from ledgerflow.session import written
 
 
 def top_n_per_group(df: DataFrame, keys, order: list, n: int, salts: int = 16) -> DataFrame:
@@ -101,26 +102,52 @@ def page_after(df: DataFrame, size: int, keys: list[str], last: dict) -> DataFra
     return df.filter(F.col(keys[0]) >= F.lit(last[keys[0]])).filter(after).orderBy(*keys).limit(size)
 
 
+def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Column | None = None,
+                parts: int | None = None, out: str = "_before") -> DataFrame:
+    """``df`` plus ``out``: the sum of ``value`` (rows counted, if None) over the
+    earlier rows of the same ``keys`` in ``order``. Null keys are a key.
+
+    Skew-safe in two levels. Rows are dealt by range of (keys, order, a hash of
+    their place) into ``parts`` parts (default: the shuffle partitions), so that
+    the rows of one key, even of one instant, are cut by quantiles; each part is
+    sorted and written once to the shared folder with its rows' numbers. From
+    that stable table each (key, part) is summed up (one row each), the sums of
+    a key's earlier parts are added, and a row's own part gives the rest: its
+    number in the part, or, for a ``value``, a window over (key, part). The job
+    that writes runs when this is called. The sampling of the ranges decides
+    where parts are cut, never a sum."""
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order, F.col("_place")]
+    placed = df.withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
+    if value is not None:
+        placed = placed.withColumn("_value", value)
+    table = written(placed.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_place")
+                    .withColumn("_row", F.monotonically_increasing_id()), "prefix-sums")
+    # monotonically_increasing_id: partition number in the upper bits, row in the lower 33
+    table = table.withColumn("_part", F.shiftright("_row", 33))
+    names = [f"_key{i}" for i in range(len(keys))]
+    total = F.count(F.lit(1)) if value is None else F.coalesce(F.sum("_value"), F.lit(0))
+    sizes = (table.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, names)], F.col("_part").alias("_at"))
+             .agg(total.alias("_sum"), F.min("_row").alias("_first")))
+    earlier = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    if value is not None:
+        own = (Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+        table = table.withColumn("_local", F.coalesce(F.sum("_value").over(own), F.lit(0)))
+    same = table["_part"] == offsets["_at"]
+    for k, c in zip(keys, names):
+        same = same & table[k].eqNullSafe(offsets[c])
+    local = F.col("_row") - F.col("_first") if value is None else F.col("_local")
+    return table.join(offsets, same).withColumn(out, F.col("_off") + local).select(*df.columns, out)
+
+
 def running_hit_count(writes: DataFrame, key: str = "query_hash", ts: str = "created_at",
-                      tie: str | None = None, slice_by: str = "hour") -> DataFrame:
+                      tie: str | None = None, parts: int | None = None) -> DataFrame:
     """W8 per key, hits accumulated over re-writes: the n-th write (in
-    ``ts``, ``tie`` order) has n-1 hits. All columns are kept.
-
-    Skew-safe: a key's writes are cut into slices of time that the data alone
-    determine (``slice_by`` of ``ts``, null times first). Slices are counted
-    (map-side combined) and summed up per key, one row a slice; inside a slice
-    rows are numbered on their own. Nothing depends on sampling or on how rows
-    are partitioned, and no key is ever gathered into one task."""
-    order = [ts] + ([tie] if tie else [])
-    cut = writes.withColumn("_slice", F.date_trunc(slice_by, F.col(ts)))
-    sizes = cut.groupBy(F.col(key).alias("_key"), F.col("_slice").alias("_at")).agg(
-        F.count(F.lit(1)).alias("_cnt"))
-    before = (Window.partitionBy("_key").orderBy(F.col("_at").asc_nulls_first())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
-    w = Window.partitionBy(key, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    local = cut.withColumn("_rn", F.row_number().over(w))
-    return (local.join(offsets, local[key].eqNullSafe(offsets["_key"])
-                       & local["_slice"].eqNullSafe(offsets["_at"]))
-            .withColumn("hit_count", F.col("_off") + F.col("_rn") - 1)
-            .select(*writes.columns, "hit_count"))
+    ``ts``, ``tie`` order, nulls first) has n-1 hits. All columns are kept.
+    Writes that are equal in ``ts`` and ``tie`` get different numbers in some
+    fixed order. Skew-safe by ``prefix_sums``: a key with all its writes in one
+    instant is still dealt over all parts. Runs a job when called."""
+    order = [F.col(c).asc_nulls_first() for c in ([ts] + ([tie] if tie else []))]
+    return prefix_sums(writes, [key], order, parts=parts, out="hit_count")

@@ -19,7 +19,8 @@ WITH edges(label, above, upto) AS (VALUES ('OVERDUE_NOW', NULL, -1), ('DUE_7_DAY
 unpaid AS (SELECT due_date, due_date - {A} AS ahead, invoice_amount_local AS money FROM v_invoice
            WHERE due_date IS NOT NULL AND upper(invoice_status) SIMILAR TO 'OPEN|DUE|OVERDUE')
 SELECT CASE WHEN GROUPING(e.label) = 1 THEN 'TOTAL_UNPAID' ELSE e.label END AS forecast_bucket,
-       COUNT(*) AS invoice_count, CAST(SUM(u.money) AS DOUBLE) AS total_amount,
+       CASE WHEN GROUPING(e.label) = 1 THEN NULLIF(COUNT(*), 0) ELSE COUNT(*) END AS invoice_count,
+       CAST(SUM(u.money) AS DOUBLE) AS total_amount,
        CASE WHEN GROUPING(e.label) = 0 THEN MIN(u.due_date) END AS earliest_due,
        CASE WHEN GROUPING(e.label) = 0 THEN MAX(u.due_date) END AS latest_due
 FROM unpaid u JOIN edges e ON (e.above IS NULL OR u.ahead > e.above) AND (e.upto IS NULL OR u.ahead <= e.upto)

@@ -98,7 +98,7 @@ WITH m AS (SELECT CAST(date_trunc('month', posting_date) AS DATE) AS month,
 p AS (SELECT month, spend AS cur, COALESCE(lag(spend) OVER (ORDER BY month), 0.0) AS prev FROM m),
 c AS (SELECT *, (cur - prev) / prev * 100.0 AS ch FROM p)
 SELECT month, CASE WHEN prev = 0 THEN (CASE WHEN cur = 0 THEN '-' ELSE '+100%' END)
-                   WHEN abs(ch) < 0.05 THEN '0%' ELSE printf('%+.1f%%', round_even(ch, 1)) END AS label,
+                   WHEN abs(ch) < 0.05 THEN '0%' ELSE printf('%+.1f%%', ch) END AS label,
        CASE WHEN prev = 0 THEN cur >= 0 WHEN abs(ch) < 0.05 THEN TRUE ELSE ch >= 0 END AS up
 FROM c""")
 def q_scalar_pct_delta(v):
@@ -116,7 +116,7 @@ def _abbr_sql(x: str) -> str:
     sign = f"CASE WHEN {x} < 0 THEN '-' ELSE '' END"
 
     def f(val, d, suf):
-        return f"{sign} || '$' || printf('%.{d}f', round_even({val}, {d})) || '{suf}'"
+        return f"{sign} || '$' || printf('%.{d}f', {val}) || '{suf}'"
     return (f"CASE WHEN {n} >= 1e9 THEN {f(f'{n} / 1e9', 1, 'B')} WHEN {n} >= 1e6 THEN {f(f'{n} / 1e6', 1, 'M')} "
             f"WHEN {n} >= 1e3 THEN {f(f'{n} / 1e3', 1, 'K')} ELSE {f(n, 0, '')} END")
 

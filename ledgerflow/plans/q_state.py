@@ -191,7 +191,7 @@ def q_cache_delete_type(v):
 
 @register("cache_stats", "A44", f"""
 SELECT cache_type AS type, COUNT(*) AS entries, CAST(COALESCE(SUM(hit_count), 0) AS BIGINT) AS total_hits,
-       COALESCE(round_even(CAST(SUM(hit_count) AS DOUBLE) / COUNT(hit_count), 1), 0.0) AS avg_hits,
+       COALESCE(CAST(printf('%.1f', CAST(SUM(hit_count) AS DOUBLE) / COUNT(hit_count)) AS DOUBLE), 0.0) AS avg_hits,
        CAST(SUM(CASE WHEN epoch_us({NOW_SQL}) - epoch_us(created_at) > ttl_seconds * 1000000 THEN 1 ELSE 0 END)
             AS BIGINT) AS expired
 FROM v_query_cache GROUP BY cache_type""")
@@ -217,7 +217,7 @@ SELECT query_hash, question, created_at, event_id, ttl_seconds, cache_type,
 FROM v_cache_writes w""")
 def q_running_hit_count_rows(v):
     """W8 with the rows' other columns kept."""
-    return running_hit_count(v.cache_writes, "query_hash", "created_at", "event_id", "day")
+    return running_hit_count(v.cache_writes, "query_hash", "created_at", "event_id", parts=3)
 
 
 def _freq_sql(where: str) -> str:
@@ -368,19 +368,32 @@ def q_export_transcript(v):
 
 
 @register("transcript_documents", "S10+C17", f"""
-SELECT session_id, '# Conversation' || {NL} || {NL} || CASE WHEN session_id LIKE '%7' THEN
+SELECT session_id, CAST(0 AS BIGINT) AS part, '# Conversation' || {NL} || {NL} || CASE WHEN session_id LIKE '%7' THEN
          '**Summary**' || {NL} || {NL} || 'About ' || session_id || {NL} || {NL} || '---' || {NL} || {NL} ELSE '' END || string_agg(
          CASE WHEN role = 'user' THEN '**User**' ELSE '**Assistant**' END || {NL} || {NL} || COALESCE(content, '')
          || {NL} || {NL} || '---' || {NL}, {NL} ORDER BY turn_index) AS document
 FROM v_chat_messages GROUP BY session_id""")
 def q_transcript_documents(v):
-    """S10 one Markdown document per conversation, some with a summary."""
+    """S10 one Markdown document per conversation, some with a summary (these are all short: one part)."""
     m = v.chat_messages
     told = m.filter(F.col("session_id").endswith("7")).select(
         "session_id", F.concat(F.lit("About "), F.col("session_id")).alias("summary")).distinct()
     return assemble_transcript(export_transcript(m, summaries=told))
 
 
+# blocks cut into parts of 200 code points: the part of a block by a plain window over its session
+@register("transcript_document_parts", "S10", f"""
+WITH b AS (SELECT DISTINCT session_id, -2 AS line_no, '# Conversation' || {NL} AS text FROM v_chat_messages
+  UNION ALL SELECT session_id, turn_index, CASE WHEN role = 'user' THEN '**User**' ELSE '**Assistant**' END
+    || {NL} || {NL} || COALESCE(content, '') || {NL} || {NL} || '---' || {NL} FROM v_chat_messages),
+p AS (SELECT *, CAST(COALESCE(SUM(length(text) + 1) OVER (PARTITION BY session_id ORDER BY line_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200 AS BIGINT) AS part FROM b)
+SELECT session_id, part, string_agg(text, {NL} ORDER BY line_no) AS document FROM p GROUP BY session_id, part""")
+def q_transcript_document_parts(v):
+    """S10 documents cut into short numbered parts."""
+    return assemble_transcript(export_transcript(v.chat_messages), part_chars=200)
+
+
 @register("kpi_snapshot", "M9+C19+S9", f"""
 WITH k AS ({kpi_sql(START, END).strip()})
 SELECT md5('user1:YTD:{START.isoformat()}:{END.isoformat()}') AS snapshot_id, 'user1' AS user_name,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that every job relies on. Cluster-specific sizing
 # (shuffle partitions, executor memory) is left to the submitter; AQE
@@ -83,3 +84,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read
+    back: a stable input for several passes, without the lineage behind it.
+    Runs the job at once; the folder stays until the user clears it."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "written", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

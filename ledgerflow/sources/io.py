@@ -9,6 +9,7 @@ import os
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.windows import prefix_sums
 from ledgerflow.sources.tables import scan_view
 
 log = logging.getLogger(__name__)
@@ -87,16 +88,28 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     return int(rows)
 
 
-def assemble_transcript(blocks: DataFrame, max_blocks: int = 100_000) -> DataFrame:
-    """S10 the Markdown document of each conversation (session_id, document):
-    its blocks of ``export_transcript`` in order, one line feed between them.
-    A conversation of more than ``max_blocks`` blocks raises, as one row
-    should not hold it; write those with ``write_transcripts``."""
-    own = blocks.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_b"))
-    text = F.array_join(F.transform("_b", lambda b: b["text"]), "\n")
-    return own.select("session_id", F.when(F.col("_n") <= max_blocks, text).otherwise(
-        F.raise_error(F.lit(f"a conversation has more than {max_blocks} blocks"))).alias("document"))
+PART_CHARS = 1 << 20            # code points of a document part, about
+
+
+def assemble_transcript(blocks: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """S10 the Markdown document of each conversation in numbered parts
+    (session_id, part, document): its blocks of ``export_transcript`` in order,
+    one line feed between them, and one line feed between parts.
+
+    A block belongs to part (code points before it) / ``part_chars``, so a part
+    holds at most ``part_chars`` and one block, and the conversation may have any
+    length. The code points before a block are segmented prefix sums
+    (``prefix_sums``: a hot conversation is cut by ranges, and the job that
+    writes them runs when this is called); nothing larger than a part is ever
+    gathered. Conversations up to ``part_chars`` are one part, number 0."""
+    own = blocks.select("session_id", "line_no", "text")
+    before = prefix_sums(own, ["session_id"], [F.col("line_no").asc_nulls_first()],
+                         value=F.char_length("text").cast("bigint") + 1)
+    parts = before.withColumn("part", F.floor(F.col("_before") / F.lit(part_chars)))
+    return (parts.groupBy("session_id", "part")
+            .agg(F.array_sort(F.collect_list(F.struct("_before", "text"))).alias("_b"))
+            .select("session_id", "part",
+                    F.array_join(F.transform("_b", lambda b: b["text"]), "\n").alias("document")))
 
 
 def reset_target(spark: SparkSession, root: str, keep: list[str],

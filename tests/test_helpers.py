@@ -47,11 +47,37 @@ def test_column_coverage(spark):
     assert V.coverage_gaps(full, io.schema_map(src)) == {}
 
 
-def test_transcript_document_has_its_limit(spark):
+def test_transcript_documents_in_parts(spark):
     msgs = spark.createDataFrame([("s", 2, "user", "b"), ("s", 1, "bot", "a"), ("t", 1, "user", None)],
                                  "session_id string, turn_index long, role string, content string")
     docs = {r.session_id: r.document for r in io.assemble_transcript(io.export_transcript(msgs)).collect()}
     assert docs["s"].index("**Assistant**\n\na") < docs["s"].index("**User**\n\nb")
     assert docs["t"].startswith("# Conversation\n")
-    with pytest.raises(Exception, match="more than 1 blocks"):
-        io.assemble_transcript(io.export_transcript(msgs), max_blocks=1).collect()
+    assert io.assemble_transcript(io.export_transcript(msgs), part_chars=1).count() == 5
+
+
+def test_transcript_of_a_million_messages_beside_small_ones(spark):
+    n = 1_000_000
+    long = spark.range(n).selectExpr("'long' AS session_id", "id AS turn_index", "'user' AS role",
+                                     "repeat(concat('m', id), 1 + int(id % 3)) AS content")
+    small = spark.range(200).selectExpr("concat('s', id % 20) AS session_id", "id AS turn_index", "'bot' AS role",
+                                        "concat('text ', id) AS content")
+    blocks = io.export_transcript(long.unionByName(small))
+    parts = io.assemble_transcript(blocks, part_chars=1 << 18)
+    rows = parts.filter("session_id = 'long'").orderBy("part").toPandas()
+    assert len(rows) > 80 and list(rows["part"]) == list(range(len(rows)))
+    assert max(map(len, rows["document"])) < (1 << 18) + 100
+    want = ["# Conversation\n"] + [f"**User**\n\n{f'm{i}' * (1 + i % 3)}\n\n---\n" for i in range(n)]
+    assert "\n".join(rows["document"]) == "\n".join(want)
+    assert parts.filter("session_id <> 'long'").count() == 20
+
+
+def test_cash_flow_total_without_unpaid_invoices(spark):
+    import datetime as dt
+
+    from ledgerflow.operators.forecast import cash_flow_buckets
+
+    schema = "invoice_status string, due_date date, invoice_amount_local decimal(18,2)"
+    for rows in ([], [("Paid", dt.date(2024, 1, 1), None)]):
+        got = cash_flow_buckets(spark.createDataFrame(rows, schema), dt.date(2024, 1, 1)).collect()
+        assert [tuple(r) for r in got] == [("TOTAL_UNPAID", None, None, None, None)]

@@ -77,8 +77,10 @@ def _collect(spark, rows, schema, expr):
     return [r[0] for r in df.select(expr).collect()]
 
 
-# cents values (money), away from exact binary ties of the last printed digit
-money = st.integers(min_value=-5 * 10**11, max_value=5 * 10**11).map(lambda c: c / 100 + 0.001)
+# plain cents, ties of the last printed digit included
+money = st.integers(min_value=-5 * 10**11, max_value=5 * 10**11).map(lambda c: c / 100)
+TIES = [0.05, 0.15, 0.25, 0.35, 0.45, 2.25, 2.35, 138.65, 0.5, 1.5, 2.5, 999.5, 1150.0, 1250.0, 8950000.0, 1.05e9,
+        2.675, 1e15 + 0.5, 2.0**52 - 0.5, 2.0**52, 2.0**53 + 2, 123456789012345678.0, 5e-324, 0.0]
 
 
 @settings(max_examples=25, deadline=None)
@@ -88,6 +90,23 @@ def test_abbr_currency_matches_rule(spark, values):
     assert got == [_abbr(v) for v in values]
 
 
+def test_rounding_of_100_000_cent_values_and_ties(spark):
+    values = [c / 100 for c in range(-50_000, 50_001)] + [s * t for t in TIES for s in (1, -1)]
+    values += [t + d * 2.0**-40 for t in (0.25, 1.25, 100.75, 4095.45) for d in (-1, 0, 1)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", C.fixed_text("v", 1).alias("t"), C.fixed_text("v", 0).alias("w"),
+                    C.round_tenth("v").alias("r"), C.abbr_currency("v").alias("c")).collect()
+    for g in got:
+        assert (g.t, g.w, g.r, g.c) == (f"{abs(g.v):.1f}", f"{abs(g.v):.0f}", round(g.v, 1), _abbr(g.v)), g.v
+
+
+def test_labels_at_ties(spark):
+    """Fixed examples of the source's labels: $1,150, $8,950,000 and a change of 138.65 %."""
+    assert _collect(spark, [(1150.0,), (8950000.0,)], "v double", C.abbr_currency("v")) == ["$1.1K", "$8.9M"]
+    assert _collect(spark, [(1193.25, 500.0)], "cur double, prev double", C.pct_delta("cur", "prev")["label"]) == [
+        f"{(1193.25 - 500) / 500 * 100:+.1f}%"]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 10**7), st.integers(0, 10**7)), min_size=1, max_size=40))
 def test_pct_delta_matches_rule(spark, pairs):

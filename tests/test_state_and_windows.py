@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ledgerflow.operators import state as M
 from ledgerflow.operators.setops import dedupe_by_key
 from ledgerflow.operators.reshape import report_frame, unpivot_numeric
-from ledgerflow.operators.windows import page_after, running_hit_count, top_n_per_group
+from ledgerflow.operators.windows import page_after, prefix_sums, running_hit_count, top_n_per_group
+from ledgerflow.session import written
 
 NOW = dt.datetime(2024, 1, 31)
 
@@ -102,6 +103,35 @@ def test_running_hit_count_with_null_keys_and_times(spark):
     assert got == {1: 0, 5: 1, 2: 2, 3: 0, 4: 1}
 
 
+def test_running_hit_count_of_one_instant_is_dealt_evenly(spark, monkeypatch):
+    """1M writes of one key in one instant, a third of them equal rows: no part
+    above twice the mean, and the numbers are those of a plain sort."""
+    from ledgerflow.operators import windows
+
+    seen = []
+    monkeypatch.setattr(windows, "written", lambda df, name: seen.append(written(df, name)) or seen[-1])
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'hot' AS query_hash", "timestamp_ntz'2024-01-01' AS created_at",
+                                   "IF(id % 3 = 0, -1, (id * 7919) % 1000003) AS id")
+    out = running_hit_count(df, "query_hash", "created_at", "id").select("id", "hit_count").toPandas()
+    sizes = [r["count"] for r in seen[0].groupBy(F.shiftright("_row", 33)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8 and sum(sizes) == n
+    out = out.sort_values("hit_count")
+    assert (out["hit_count"].to_numpy() == range(n)).all() and out["id"].is_monotonic_increasing
+
+
+def test_prefix_sums_of_values(spark):
+    rows = [(None if k % 5 == 0 else k % 3, k, None if k % 11 == 0 else k * k) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, o long, v long").repartition(7)
+    got = {r.o: r._before for r in prefix_sums(df, ["k"], [F.col("o").asc()], value=F.col("v"), parts=13).collect()}
+    want, sums = {}, {}
+    for k, o, v in rows:
+        want[o] = sums.get(k, 0)
+        sums[k] = want[o] + (v or 0)
+    assert got == want
+    assert prefix_sums(df.limit(0), ["k"], [F.col("o").asc()]).count() == 0
+
+
 def test_pages_by_key_equal_pages_by_offset(spark):
     df = spark.range(50).selectExpr("id % 7 AS a", "id AS b")
     rows = [tuple(r) for r in df.orderBy("a", "b").collect()]
