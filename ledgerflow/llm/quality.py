@@ -10,9 +10,12 @@ whether the text stays. Fixed base rules come first: a text with fewer than
 occur twice or more, fails.
 
 The field is trained here by gradient ascent on its likelihood (forward and
-backward recursions) over a bounded sample of labelled rows, whose lines all
-take the text's quality label. Without labels of both kinds the start weights
-stay.
+backward recursions) over a bounded sample of labelled rows and all their
+lines. A label tells of a whole text, so lines get states of their own: of a
+poor text, those that the start weights hold for content stay content, unless
+all would. And since boilerplate stands around content, good texts are also
+set between poor texts' boilerplate lines, as header and footer, and the field
+learns from these joined sequences when the state changes. Without labels of both kinds the start weights stay.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from ledgerflow.llm.common import stored
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 0.30
 MIN_CONTENT = 0.5
-MAX_ROWS, MAX_LINES = 3_000, 64        # labelled rows, and lines of each, to train on
+MAX_ROWS = 3_000                # labelled rows to train on, with all their lines
+SPAN = 64                       # lines of a training sequence: longer texts are cut into several
+FRAME = 3                       # header and footer lines of a joined sequence, at most
 STEPS, RATE, RIDGE = 200, 0.1, 1e-3
 SYMBOLS = "#*$%&|<>"
 
@@ -144,6 +149,7 @@ class Field:
 
     weights: np.ndarray = field(default_factory=lambda: np.array(START))
     moves: np.ndarray = field(default_factory=lambda: np.array([[0.5, 0.0], [0.0, 0.5]]))
+    least: float = MIN_CONTENT                          # content share of a text that stays
 
     def decode(self, features: np.ndarray) -> np.ndarray:
         """The best labelling (1: content) by Viterbi; ties go to content."""
@@ -210,8 +216,9 @@ def train(x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int = STEPS) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          max_rows: int = MAX_ROWS, max_lines: int = MAX_LINES) -> Field:
-    """Train on at most about ``max_rows`` labelled rows of each quality, chosen by a hash of the id."""
+          max_rows: int = MAX_ROWS) -> Field:
+    """Train on at most about ``max_rows`` labelled rows of each quality, chosen
+    by a hash of the id; of rows that repeat a labelled id, one text is taken."""
     own = (labels.select(labels["doc_id"].alias("id"), labels["quality"].alias("quality"))
            .filter("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("quality")))
     n, good = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
@@ -222,10 +229,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = (own.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
               .orderBy(F.xxhash64("id"), "id").limit(2 * max_rows))
     sample = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
+    sample = sample.groupBy("id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
 
     def featured(batches):
         for batch in batches:
-            rows = [facts(t.as_py()).features[:max_lines] for t in batch.column("text")]
+            rows = [facts(t.as_py()).features for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("quality").cast(pa.int32()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())],
                 ["quality", "features"])
@@ -236,13 +244,45 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows.sort(key=lambda r: (r.quality, bytes(r.features)))
     if len({r.quality for r in rows}) < 2:
         return Field()
-    own_rows = [np.frombuffer(r.features, "<f4").reshape(-1, len(FEATURES)) for r in rows]
-    length = max(map(len, own_rows))
-    x, mask = np.zeros((len(rows), length, len(FEATURES))), np.zeros((len(rows), length), bool)
-    for i, r in enumerate(own_rows):
-        x[i, :len(r)], mask[i, :len(r)] = r, True
-    y = np.array([r.quality for r in rows])[:, None] * np.ones((1, length), int)
-    return train(x, mask, y)
+    lines = [(r.quality, np.frombuffer(r.features, "<f4").reshape(-1, len(FEATURES))) for r in rows]
+    own_field = train(*sequences([x for q, x in lines if q == 1], [x for q, x in lines if q != 1]))
+    own_field.least = least_share(own_field, lines)
+    return own_field
+
+
+def least_share(own: Field, lines: list[tuple[int, np.ndarray]]) -> float:
+    """The content share, from MIN_CONTENT up, that parts good texts from poor
+    ones with the fewest errors, both kinds weighing alike; of equals the lowest."""
+    shares: tuple[list[float], list[float]] = ([], [])
+    for q, x in lines:
+        words = np.expm1(5 * x[:, FEATURES.index("length")])
+        shares[int(q == 1)].append(float(words[own.decode(x) == 1].sum() / words.sum()))
+    poor, good = map(np.array, shares)
+    errors = [((poor >= c).mean() + (good < c).mean(), c) for c in np.arange(MIN_CONTENT, 1.0, 0.05).round(2).tolist()]
+    return min(errors)[1]
+
+
+def sequences(good: list[np.ndarray], poor: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training sequences (lines, mask, states): the texts themselves, and each
+    good text between up to FRAME boilerplate lines; none is longer than SPAN."""
+    whole, frames = [(x, np.ones(len(x), int)) for x in good], []
+    for x in poor:
+        states = (x @ np.array(START) > 0).astype(int)
+        states = states if not states.all() else np.zeros(len(x), int)
+        whole.append((x, states))
+        frames.append(x[states == 0])
+    for i, x in enumerate(good):
+        head = frames[i % len(frames)][:i % (FRAME + 1)]
+        foot = frames[-1 - i % len(frames)][:i // (FRAME + 1) % (FRAME + 1)]
+        whole.append((np.concatenate([head, x, foot]),
+                      np.repeat([0, 1, 0], [len(head), len(x), len(foot)])))
+    cut = [(x[at:at + SPAN], s[at:at + SPAN]) for x, s in whole for at in range(0, len(x), SPAN)]
+    length = max(len(x) for x, _ in cut)
+    x, mask = np.zeros((len(cut), length, len(FEATURES))), np.zeros((len(cut), length), bool)
+    y = np.zeros((len(cut), length), int)
+    for i, (own, states) in enumerate(cut):
+        x[i, :len(own)], mask[i, :len(own)], y[i, :len(own)] = own, True, states
+    return x, mask, y
 
 
 def quality(docs: DataFrame, crf: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +304,7 @@ def quality(docs: DataFrame, crf: Field, id_col: str = "doc_id", text_col: str =
                 f = facts(text.as_py())
                 share = crf.content_share(f)
                 rows.append((f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
-                             not f.base_failed and share >= MIN_CONTENT, share))
+                             not f.base_failed and share >= crf.least, share))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names)

@@ -144,23 +144,31 @@ r AS (SELECT doc_id, text_sha256, count(*) OVER g AS group_size,
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r"""
 
 _CHAT_SQL = r"""
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn // 256, -1) AS part, coalesce(turn, -1) AS turn,
-    coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-s AS (SELECT DISTINCT conv_id, part, role AS perspective FROM t WHERE role <> 'system'),
-p AS (SELECT s.conv_id, s.part, s.perspective, t.turn, t.role, t.text, t.role = s.perspective AS mine,
-    CASE WHEN t.role = s.perspective THEN '<|im_start|>assistant' || chr(10)
-         WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10)
-         ELSE '<|im_start|>user name=' || regexp_replace(replace(t.role, '<|', '< |'), '\s+', '_', 'g')
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
+    coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS rn FROM t),
+r AS (SELECT *, rn // 256 AS part FROM n),
+c AS (SELECT conv_id, part, TRUE AS own, rn, role, text FROM r
+    UNION ALL SELECT conv_id, part + 1, FALSE, rn, role, text FROM r
+        WHERE rn % 256 >= 240 AND NOT (role = 'system' AND part = 0)
+    UNION ALL SELECT r.conv_id, l.part, FALSE, r.rn, r.role, r.text
+        FROM (SELECT DISTINCT conv_id, part FROM r WHERE part > 0) l
+        JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.part = 0 AND r.role = 'system'),
+s AS (SELECT DISTINCT conv_id, part, role AS perspective FROM c WHERE own AND role <> 'system'),
+p AS (SELECT s.conv_id, s.part, s.perspective, c.rn, c.own, c.role = s.perspective AND c.own AS mine,
+    CASE WHEN c.role = s.perspective THEN '<|im_start|>assistant' || chr(10)
+         WHEN c.role = 'system' THEN '<|im_start|>system' || chr(10)
+         ELSE '<|im_start|>user name=' || regexp_replace(replace(c.role, '<|', '< |'), '\s+', '_', 'g')
               || chr(10) END AS head,
-    replace(t.text, '<|', '< |') || '<|im_end|>' AS body
-    FROM s JOIN t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.part = t.part),
+    replace(c.text, '<|', '< |') || '<|im_end|>' AS body
+    FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.part = c.part),
 o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, part, perspective ORDER BY turn, role, text
+    PARTITION BY conv_id, part, perspective ORDER BY rn
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM p)
-SELECT conv_id, part, perspective, count(*) AS n_turns,
-    string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
+SELECT conv_id, part, perspective, count(*) FILTER (WHERE own) AS n_turns,
+    count(*) FILTER (WHERE NOT own) AS n_context, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
     string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(body) AS BIGINT), ','
-               ORDER BY turn, role, text) FILTER (WHERE mine) AS mask,
+               ORDER BY rn) FILTER (WHERE mine) AS mask,
     CAST(sum(length(body)) FILTER (WHERE mine) AS BIGINT) AS n_masked
 FROM o GROUP BY conv_id, part, perspective"""
 

@@ -15,9 +15,11 @@ the id) of the labels whose crc32 fold is not held out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +97,14 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 hits[start] = max(weight, hits.get(start, 0.0))
-        kept = [w for s, w in hits.items() if not any(a <= s < b for a, b in spared)] if spared else hits.values()
+        kept = hits.values()
+        if spared:
+            spared.sort()
+            starts = [a for a, _ in spared]
+            # the farthest end of the phrases that begin up to each one: longer ones may enclose later ones
+            reach = list(accumulate((b for _, b in spared), max))
+            before = [bisect_right(starts, s) for s in hits]
+            kept = [w for (s, w), k in zip(hits.items(), before) if not k or reach[k - 1] <= s]
         return float(sum(kept)), len(kept), len(words)
 
     def strength(self, weight: float, n_words: int, power: float | None = None) -> float:
@@ -123,7 +132,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     # the hash keeps the share only on average: a hash order then bounds the list for certain
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(2 * (max_toxic + max_clean))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return stored(texts.join(F.broadcast(chosen), "id").select("toxic", "text"), "toxic-sample")
+    # rows that repeat a labelled id give one text
+    own = (texts.join(F.broadcast(chosen), "id").groupBy("id")
+           .agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")))
+    return stored(own.select("toxic", "text"), "toxic-sample")
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

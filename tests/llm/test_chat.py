@@ -9,40 +9,79 @@ TURNS = [
 ]
 
 
-def brute(rows):
+def brute(rows, window=256, lead=16):
     out = set()
-    groups = {}
-    for c, n, role, text in set(rows):
-        n0 = -1 if n is None else n
-        groups.setdefault((c, -1 if n is None else n // 256), []).append((n0, role or "unknown", text or ""))
-    for (c, part), turns in groups.items():
-        turns.sort()
-        for who in sorted({r for _, r, _ in turns} - {"system"}):
-            text, spans = "", []
-            for _, role, words in turns:
-                name = "_".join(role.replace("<|", "< |").split()) if role != who else ""
-                head = ("<|im_start|>assistant\n" if role == who else "<|im_start|>system\n" if role == "system"
-                        else f"<|im_start|>user name={name}\n")
-                body = words.replace("<|", "< |") + "<|im_end|>"
-                if role == who:
-                    spans.append((len(text) + len(head), len(text) + len(head) + len(body)))
-                text += head + body + "\n"
-            out.add((c, part, who, len(turns), text, tuple(spans), sum(b - a for a, b in spans)))
+    talks = {}
+    for c, turn, role, text in rows:
+        talks.setdefault(c, set()).add((-1 if turn is None else turn, role or "unknown", text or ""))
+    for c, turns in talks.items():
+        turns = sorted(turns)
+        told = [t for t in turns[:window] if t[1] == "system"]
+        for part, at in enumerate(range(0, len(turns), window)):
+            own = turns[at:at + window]
+            context = [] if not part else told + [t for t in turns[at - lead:at] if part > 1 or t[1] != "system"]
+            for who in sorted({r for _, r, _ in own} - {"system"}):
+                text, spans = "", []
+                for k, (_, role, words) in enumerate(context + own):
+                    name = "_".join(role.replace("<|", "< |").split()) if role != who else ""
+                    head = ("<|im_start|>assistant\n" if role == who else "<|im_start|>system\n" if role == "system"
+                            else f"<|im_start|>user name={name}\n")
+                    body = words.replace("<|", "< |") + "<|im_end|>"
+                    if role == who and k >= len(context):
+                        spans.append((len(text) + len(head), len(text) + len(head) + len(body)))
+                    text += head + body + "\n"
+                out.add((c, part, who, len(own), len(context), text, tuple(spans), sum(b - a for a, b in spans)))
     return out
 
 
+def found(df):
+    return {(r.conv_id, r.part, r.perspective, r.n_turns, r.n_context, r.text,
+             tuple((m.start, m.end) for m in r["mask"]), r.n_masked) for r in df.collect()}
+
+
 def test_matches_brute_force(spark):
     df = spark.createDataFrame([(*t, "clash", 1) for t in TURNS],
                                "conv_id long, turn long, role string, text string, part string, mask int")
     got = chat.examples(df)
-    rows = {(r.conv_id, r.part, r.perspective, r.n_turns, r.text, tuple((m.start, m.end) for m in r["mask"]), r.n_masked)
-            for r in got.collect()}
-    assert rows == brute(TURNS)
-    assert got.count() == len(rows)
+    assert found(got) == brute(TURNS)
+    assert got.count() == len(brute(TURNS))
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
 
 
+LONG = ([(7, 0, "system", "Be brief."), (7, 3, "system", "And kind.")]
+        + [(7, k + 1, f"p{k % 3}" if k < 500 else "late", f"turn {k}") for k in range(600)]
+        + [(7, 400, "system", "Later rule.")]
+        + [(8, 5, f"q{k % 2}", f"same turn {k:04d}") for k in range(1000)] * 2      # 1,000 rows on one turn
+        + [(None, None, "p0", f"null {k:03d}") for k in range(300)] + [(9, 0, "p0", "short")])
+
+
+def test_long_conversations_keep_their_context(spark):
+    df = spark.createDataFrame(LONG, "conv_id long, turn long, role string, text string").repartition(7)
+    got = found(chat.examples(df))
+    assert got == brute(LONG)
+    later = [r for r in got if r[0] == 7 and r[1] == 1]
+    assert {r[2] for r in later} == {"p0", "p1", "p2", "late"}
+    assert all(r[5].startswith("<|im_start|>system\nBe brief.<|im_end|>\n<|im_start|>system\nAnd kind.") for r in later)
+    small = found(chat.examples(df, window=100, lead=7))
+    assert small == brute(LONG, 100, 7) and max(r[3] for r in small) == 100
+
+
+def test_sql_on_long_conversations(spark, tmp_path):
+    import duckdb
+
+    from ledgerflow.llm import queries
+
+    df = spark.createDataFrame(LONG + TURNS, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cur = con.execute(queries.SQL["op10_chat"])
+    names = [d[0] for d in cur.description]
+    got = queries.op10_chat(spark, str(tmp_path))
+    assert {tuple(r[c] for c in names) for r in got.collect()} == set(cur.fetchall())
+
+
 def test_masked_spans_hold_only_the_speaker(spark):
     df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     for r in chat.examples(df).filter("conv_id = 1").collect():
@@ -61,23 +100,3 @@ def test_long_conversation_is_dealt_in_windows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.examples(df).count() == 0
-
-
-def test_null_and_repeated_turn_numbers_are_dealt_in_slices(spark):
-    rows = [(None, None, f"p{i % 3}", f"null {i:03d}") for i in range(250)]          # null id, null turns
-    rows += [(None, 5, "p0", "after"), (8, 300, "p1", "last"), (9, 0, "p0", "short"), (9, 300, "p0", "end")]
-    rows += [(8, i % 8, f"p{i % 2}", f"low {i:03d}") for i in range(1000)] * 2         # repeated low turns
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
-    got = chat.examples(df, window=100).collect()
-    assert max(r.n_turns for r in got) == 100
-    assert len({(r.conv_id, r.part, r.perspective) for r in got}) == len(got)
-    # null turns take parts -1, 0, 1, so the conversation's turn 5 moves to part 2
-    sizes = {(r.conv_id, r.part): r.n_turns for r in got}
-    assert sizes == {(None, -1): 100, (None, 0): 100, (None, 1): 50, (None, 2): 1,
-                     **{(8, k): 100 for k in range(10)}, (8, 12): 1, (9, 0): 1, (9, 3): 1}
-    for conv in (None, 8):
-        own = sorted({(-1 if n is None else n, role, text) for c, n, role, text in rows if c == conv})
-        for who in ("p0", "p1", "p2"):
-            said = [r.text[m.start:m.end] for r in sorted((r for r in got if r.conv_id == conv and r.perspective == who),
-                                                          key=lambda r: r.part) for m in r["mask"]]
-            assert said == [text + "<|im_end|>" for _, role, text in own if role == who]

@@ -94,3 +94,45 @@ def test_without_labels_the_start_weights_stay(spark):
     none = spark.createDataFrame([(1, None, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     crf = quality.learn(awkward(spark), none)
     assert np.array_equal(crf.weights, np.array(quality.START))
+
+
+def test_planted_header_and_footer_are_marked(spark):
+    """Good pages with junk lines around them: these lines are boilerplate, the rest is content."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    crf = quality.learn(docs, labels.filter("doc_id % 2 = 0"))
+    good = [r.text for r in docs.join(labels.filter("quality = 1 and doc_id % 2 = 1"), "doc_id")
+            .select("text").collect() if r.text.count("\n") >= 3]
+    junk = ["CLICK!! HERE!! NOW!! SUBSCRIBE!! TODAY!! FREE!!", "home%%% about*** login$$$ cart### help&&& terms%%%"]
+    right = wrong = mixed = 0
+    for k, text in enumerate(good):
+        lines = [x for x in text.split("\n") if x.split()]
+        page = [junk[k % 2]] + lines + [junk[(k + 1) % 2], junk[k % 2] + " again!!"]
+        f = quality.facts("\n".join(page))
+        got = crf.decode(f.features).tolist()
+        want = [0] + [1] * len(lines) + [0, 0]
+        right += sum(a == b for a, b in zip(got, want))
+        wrong += sum(a != b for a, b in zip(got, want))
+        mixed += 0 < crf.content_share(f) < 1
+    assert len(good) > 30 and mixed > 0.95 * len(good)
+    assert right > 0.95 * (right + wrong)
+
+
+def test_sequences_use_all_lines_and_change_state():
+    width = len(quality.FEATURES)
+    good, poor = [np.ones((150, width)), np.ones((2, width))], [np.zeros((130, width)), np.zeros((1, width))]
+    mixed = np.zeros((6, width))
+    mixed[2, 0] = 1                                  # bias alone: content by the start weights
+    assert quality.sequences(good, [mixed])[2].sum() == 2 * 152 + 1
+    x, mask, y = quality.sequences(good, poor)
+    assert x.shape[1] == quality.SPAN
+    assert mask.sum() >= 2 * 152 + 131
+    assert (x[mask][:, 0] == y[mask]).all()                     # every line keeps the state it came with
+    changes = sum((np.diff(y[i][mask[i]]) != 0).sum() for i in range(len(y)))
+    assert changes >= 1
+
+
+def test_rows_that_repeat_a_labelled_id_give_one_text(spark):
+    rows = [(1, "good text here " * 8)] * 500 + [(2, "BAD!! " * 40)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert isinstance(quality.learn(docs, labels), quality.Field)

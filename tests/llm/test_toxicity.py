@@ -91,3 +91,55 @@ def test_learns_markers_rarer_than_thousands_of_ordinary_entries(spark):
     lex = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert all(any(f" {m} ".startswith(e) for e in lex.weights) for m in markers)
     assert all(r.predicted == int(r.doc_id % 5 == 0) for r in toxicity.toxicity(docs, lex).collect())
+
+
+def naive(lexicon, text):
+    """weigh by trying every entry and phrase at every place."""
+    words = toxicity.folded_words(text)
+    line = f" {' '.join(words)} "
+    hits, spared = {}, []
+    for at in range(len(line)):
+        for entry, weight in lexicon.weights.items():
+            if line.startswith(entry, at):
+                hits[at] = max(weight, hits.get(at, 0.0))
+        for phrase in lexicon.exceptions:
+            if line.startswith(f" {phrase} ", at):
+                spared.append((at, at + len(phrase) + 1))
+    kept = [w for s, w in hits.items() if not any(a <= s < b for a, b in spared)]
+    return sum(kept), len(kept), len(words)
+
+
+def test_weigh_equals_a_naive_matcher():
+    import random
+
+    rng = random.Random(8)
+    lexicon = toxicity.Lexicon(weights={" bad ": 2.0, " bad": 1.0, " worse ": 3.0, " pond ": 1.5, " scum ": 2.5, " b": 0.5},
+                               exceptions=("pond scum", "bad pond", "worse bad pond scum", "scum"))
+    automaton = lexicon.automaton()
+    words = ["bad", "worse", "pond", "scum", "badly", "fine", "b4d", "scums", "."]
+    for _ in range(800):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 14)))
+        got = lexicon.weigh(text, automaton)
+        want = naive(lexicon, text)
+        assert got[1:] == want[1:] and abs(got[0] - want[0]) < 1e-9, text
+
+
+def test_long_text_with_many_spared_phrases_takes_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon()
+    automaton = lexicon.automaton()
+
+    def seconds(n):
+        begun = time.perf_counter()
+        assert lexicon.weigh("pond scum idiot " * n, automaton)[1] == n
+        return time.perf_counter() - begun
+
+    seconds(2_000)
+    assert seconds(64_000) < 60 * max(seconds(4_000), 0.005)
+
+
+def test_rows_that_repeat_a_labelled_id_give_one_text(spark):
+    docs = spark.createDataFrame([(1, "you idiot")] * 300 + [(2, "fine day")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled_sample(docs, labels, "doc_id", "text", 10, 10).count() == 2
