@@ -39,8 +39,8 @@ WAVE_BYTES = 256 << 20
 FOLDS, HELD_OUT = 4, 2
 CALIBRATION_ROWS = 2000         # about so many texts set the score's sharpness
 REJECTED_SHARE = 0.005          # of right calibration texts, so many are beyond the limit
-SLICE = 1 << 20                 # characters of a text looked at together
-FLUSH_GRAMS = 1 << 20           # distinct grams that a task adds up before it passes them on
+SLICE = 1 << 18                 # characters of a text looked at together
+FLUSH_GRAMS = 1 << 18           # distinct grams that a task adds up before it passes them on
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 

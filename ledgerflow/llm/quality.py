@@ -12,8 +12,8 @@ occur twice or more, fails.
 The field is trained here by gradient ascent on its likelihood (forward and
 backward recursions) over a bounded sample of labelled rows and all their
 lines. A label tells of a whole text, so lines get states of their own: of a
-poor text, those that the start weights hold for content stay content, unless
-all would. And since boilerplate stands around content, good texts are also
+poor text, those that the start weights hold for content by SURE or more stay
+content, unless all would. And since boilerplate stands around content, good texts are also
 set between poor texts' boilerplate lines, as header and footer, and the field
 learns from these joined sequences when the state changes. Without labels of both kinds the start weights stay.
 """
@@ -35,6 +35,7 @@ MIN_WORDS, MAX_REPEAT = 20, 0.30
 MIN_CONTENT = 0.5
 MAX_ROWS = 3_000                # labelled rows to train on, with all their lines
 SPAN = 64                       # lines of a training sequence: longer texts are cut into several
+SURE = 1.0                      # start score of a poor text's line that counts as content
 FRAME = 3                       # header and footer lines of a joined sequence, at most
 STEPS, RATE, RIDGE = 200, 0.1, 1e-3
 SYMBOLS = "#*$%&|<>"
@@ -267,7 +268,7 @@ def sequences(good: list[np.ndarray], poor: list[np.ndarray]) -> tuple[np.ndarra
     good text between up to FRAME boilerplate lines; none is longer than SPAN."""
     whole, frames = [(x, np.ones(len(x), int)) for x in good], []
     for x in poor:
-        states = (x @ np.array(START) > 0).astype(int)
+        states = (x @ np.array(START) > SURE).astype(int)
         states = states if not states.all() else np.zeros(len(x), int)
         whole.append((x, states))
         frames.append(x[states == 0])
