@@ -27,8 +27,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (operator 2)."""
-    return only_kept(docs, near_dedup.near_dedup(docs))
+    """Keeps one document of each group of near copies (operator 2), also of
+    groups whose documents have null or repeated ids."""
+    return only_kept(docs, near_dedup.one_of_each(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

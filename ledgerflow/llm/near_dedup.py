@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import stored
+from ledgerflow.llm.common import small as small_table, stored
 
 WORDS = 5                       # words in a shingle
 THRESHOLD = (85, 100)           # link when 100 * intersection >= 85 * union
@@ -43,6 +43,7 @@ BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SMALL = 64                      # classes in a bucket whose pairs are emitted
+MAX_WANTED = 300_000            # rows of a broadcast list of classes whose sets are fetched
 BLOCK_SHINGLES = 1 << 18        # total set size of a block in a large cluster (2 MB)
 DEVIATIONS = 4.5
 
@@ -289,10 +290,13 @@ def class_links(sk: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         wanted = wanted.unionByName(clusters.select("cid"))
     chosen = reps.join(wanted.distinct(), "cid", "left_semi").select(
         "cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
+    chosen = stored(chosen, "near-wanted")
+    chosen = small_table(chosen, chosen.count(), MAX_WANTED)
     texts = docs.select(docs[id_col].cast("long").alias("rep_id"), F.xxhash64(docs[text_col]).alias("rep_hash"),
                         docs[text_col].alias("text"))
     own = (texts.join(chosen, texts["rep_id"].eqNullSafe(chosen["rep_id"])
                       & (texts["rep_hash"] == chosen["rep_hash"]))
+           .groupBy("cid").agg(F.min("text").alias("text"))        # rows that repeat id and text: one a class
            .select("cid", "text").mapInArrow(_sets, "cid binary, shingles binary"))
     own = stored(own, "near-sets")
 
@@ -324,6 +328,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id gets the smallest id of its component, or null, and is kept only
     in the latter case. An empty table gives an empty result.
     """
+    out, found = _classes(docs, id_col, text_col, small, block_shingles)
+    out = out.join(found.drop("root"), "cid", "left")
+    comp_id = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"),
+                      F.col("doc_id").eqNullSafe(comp_id).alias("kept"), "row_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                small: int = SMALL, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, row_hash and kept for every row: of each component the row with
+    the smallest id stays, then (null or repeated ids) the smallest hash of the
+    text; rows without words all stay."""
+    sk, found = _classes(docs, id_col, text_col, small, block_shingles)
+    rooted = sk.join(found.select("cid", "root"), "cid", "left")
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash")
+    best = (rooted.filter("root is not null").groupBy("root").agg(F.min(rank).alias("best")))
+    judged = rooted.filter("root is not null").join(best, "root").select(
+        "doc_id", "row_hash", (rank == F.col("best")).alias("kept"))
+    return judged.unionByName(rooted.filter("root is null").select("doc_id", "row_hash", F.lit(True).alias("kept")))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, small: int,
+             block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (cid, component_id, root) of all classes."""
     sk = stored(sketches(docs, id_col, text_col), "near-sketch")
     links = stored(class_links(sk, docs, id_col, text_col, small, block_shingles), "near-links")
     comp = components(links, "near-components")
@@ -332,8 +360,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = (classes.join(comp, classes["cid"] == comp["node"], "left")
               .select("cid", "least", F.coalesce("root", "cid").alias("root")))
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = stored(rooted.join(linked, "root").select("cid", "component_id"), "near-found")
-    out = sk.join(found, "cid", "left")
-    comp_id = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(comp_id).alias("kept"), "row_hash")
+    return sk, stored(rooted.join(linked, "root").select("cid", "component_id", "root"), "near-found")

@@ -14,8 +14,8 @@ REPETITION = 4.0        # passes over the most repeated source of the mixing que
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mixing.mix(docs, repetition=REPETITION)
-    return out.select("doc_id", "source", "mix_epoch", "mix_block", "mix_position", "mix_weight")
+    out = mixing.mix(docs, repetition=REPETITION, order=True)
+    return out.select("doc_id", "source", "mix_epoch", "mix_block", "mix_position", "mix_weight", "mix_order")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

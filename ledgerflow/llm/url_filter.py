@@ -14,11 +14,14 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm.common import stored
+
 
 @dataclass(frozen=True)
 class HostRule:
@@ -65,7 +68,7 @@ RULES = (HostRule("allow", "org", "/"), HostRule("block", "example.org", "/es/")
 PATTERNS = tuple(Pattern("block", p) for p in (
     "^casino^", "^poker^", "^pills^", "^viagra^", "^porn^", "^xxx^", "^adult^", "^spam^", "^malware^",
     "^phishing^", "^warez^", "^torrent^", "^click^*^tracker^", "^free^*^download^"))
-MAX_RULES = 200_000          # rules sent to every task: some tens of MB
+WAVE_RULES = 200_000         # rules sent to every task at once: some tens of MB
 TOKEN = "[a-z0-9]+"
 
 
@@ -82,52 +85,70 @@ def path_of(url: Column) -> Column:
 
 def token_counts(urls: DataFrame, tokens: list[str], host: str, path: str) -> dict[str, int]:
     """How many URLs hold each of the rules' tokens, over all rows."""
-    wanted = F.array(*[F.lit(t) for t in tokens])
-    found = F.array_intersect(F.regexp_extract_all(F.lower(F.concat_ws("/", host, path)), F.lit(f"({TOKEN})"), 1),
-                              wanted)
-    rows = urls.select(F.explode(found).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("/", host, path)), F.lit(f"({TOKEN})"), 1))
+    # the rules are a list in the driver's memory, so is the list of their tokens
+    rows = (urls.select(F.explode(held).alias("token")).join(F.broadcast(wanted), "token", "left_semi")
+            .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     return {r["token"]: r["n"] for r in rows.collect()}     # at most one row a token of the rules
 
 
+STATE = "page_id long, host string, path string, rule string, fit string, pattern string"
+
+
 def url_filter(pages: DataFrame, rules=RULES, patterns=PATTERNS, id_col: str = "page_id",
-               url_col: str = "url") -> DataFrame:
+               url_col: str = "url", wave_rules: int = WAVE_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and pattern for every row.
 
     A null URL or one without ``://`` has an empty host and path, fits no rule
-    and is allowed. Host rules of equal length are ranked by name. Repeated rows and null ids
-    are judged each; an empty table gives an empty result; other columns are
-    ignored.
+    and is allowed. Host rules of equal length are ranked by name. Repeated rows
+    and null ids are judged each; an empty table gives an empty result; other
+    columns are ignored. Rules are tried in waves of ``wave_rules``, each over
+    the best rule and pattern found so far; between waves the rows are written.
     """
-    every = [*rules, *patterns]
-    if len(every) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; raise MAX_RULES with the executors' memory")
-    urls = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"),
+    urls = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(pages[url_col]).alias("host"),
                         path_of(pages[url_col]).alias("path"))
+    every = [*rules, *patterns]
     needed = sorted({t for r in every for t in r.tokens()})
     counts = token_counts(urls, needed, "host", "path") if needed else {}
+    none = F.lit(None).cast("string")
+    out = urls.select("*", none.alias("rule"), none.alias("fit"), none.alias("pattern"))
+    for at in range(0, len(every), wave_rules):
+        if at:
+            out = stored(out, "url-wave")
+        out = out.mapInArrow(partial(_try, index=indexed(every[at:at + wave_rules], counts)), STATE)
+    verdict = F.coalesce("fit", F.when(F.col("pattern").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "pattern")
+
+
+def indexed(rules: list, counts: dict[str, int]) -> dict[str | None, list]:
+    """Rules by their rarest token."""
     index: dict[str | None, list] = defaultdict(list)
-    for r in every:
+    for r in rules:
         rarest = min(r.tokens(), key=lambda t: (counts.get(t, 0), t), default=None)
         index[rarest].append(r)              # a rule without a whole token is tried on every URL
-    index = dict(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, compiled = re.compile(TOKEN), {r: r.regex() for own in index.values() for r in own}
-        always = index.get(None, [])
-        for batch in batches:
-            best, verdicts, pattern = [], [], []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                low = f"{host}/{path}".lower()
-                found = always + [r for t in set(token.findall(low)) for r in index.get(t, ())]
-                fits = [r for r in found if isinstance(r, HostRule) and compiled[r].match(f"{host}\n{path}")]
-                blocks = sorted(r.name for r in found if isinstance(r, Pattern) and compiled[r].match(low))
-                top = max(fits, key=lambda r: (len(r.name), r.name), default=None)
-                best.append(top.name if top else None)
-                pattern.append(blocks[0] if blocks else None)
-                verdicts.append(top.verdict if top else "block" if blocks else "allow")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(best, pa.string()),
-                 pa.array(verdicts, pa.string()), pa.array(pattern, pa.string())],
-                ["page_id", "host", "path", "rule", "verdict", "pattern"])
-
-    return urls.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, pattern string")
+    return dict(index)
+
+
+def _try(batches: Iterator[pa.RecordBatch], index: dict[str | None, list]) -> Iterator[pa.RecordBatch]:
+    """The longest fitting rule and the first blocking pattern, over those of waves before."""
+    token, always = re.compile(TOKEN), index.get(None, [])
+    regex = lru_cache(maxsize=100_000)(lambda r: r.regex())       # compiled when first fetched
+    for batch in batches:
+        best, fits, pattern = [], [], []
+        for host, path, name, fit, block in zip(*(batch.column(c).to_pylist() for c in (
+                "host", "path", "rule", "fit", "pattern"))):
+            low = f"{host}/{path}".lower()
+            for r in (*always, *(r for t in set(token.findall(low)) for r in index.get(t, ()))):
+                if isinstance(r, HostRule):
+                    if (name is None or (len(name), name) < (len(r.name), r.name)) and regex(r).match(f"{host}\n{path}"):
+                        name, fit = r.name, r.verdict
+                elif (block is None or r.name < block) and regex(r).match(low):
+                    block = r.name
+            best.append(name)
+            fits.append(fit)
+            pattern.append(block)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("page_id", "host", "path")),
+             *(pa.array(c, pa.string()) for c in (best, fits, pattern))],
+            ["page_id", "host", "path", "rule", "fit", "pattern"])

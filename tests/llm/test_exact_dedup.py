@@ -36,6 +36,20 @@ def test_a_crowded_filter_changes_nothing(spark):
     assert sum(r[3] for r in out[0]) == 700
 
 
+def test_a_filter_beyond_the_broadcast_bound_changes_nothing(spark):
+    rows = [(i, f"text {i % 1400}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small, large = (exact_dedup.exact_dedup(df, max_broadcast=b) for b in (1 << 27, 1))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
+def test_few_unique_rows_pass_a_filter_sized_by_the_rows(spark):
+    prints = exact_dedup.fingerprints(spark.range(100_000).selectExpr("id AS doc_id", "concat('t', id) AS text"))
+    bits = 1 << (32 * 100_000 - 1).bit_length()
+    marked = exact_dedup.maybe_repeated(prints, exact_dedup.repeated_filter(prints, bits), bits)
+    assert marked.filter("maybe").count() < 500
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_dedup(df).count() == 0

@@ -103,3 +103,16 @@ def test_awkward_rows_and_empty_table(spark):
     assert mixing.mix(blank, repetition=2.0).count() == 2
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInArrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_mix_order_permutes_the_rows_of_a_block(spark):
+    """Inside one block every row has its own place, and no pass repeats another's order."""
+    df = spark.range(200).selectExpr("id AS doc_id", "'s' AS source", "concat('word ', id) AS text")
+    rows = mixing.mix(df, repetition=2.0, order=True).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.mix_epoch, []).append((r.mix_order, r.doc_id))
+    assert all(len({o for o, _ in own}) == len(own) for own in by.values())
+    orders = [[d for _, d in sorted(own)] for own in by.values()]
+    assert all(o != sorted(o) for o in orders) and len({tuple(o) for o in orders}) == len(orders)
+    assert all(0 <= o <= 1 for own in by.values() for o, _ in own)

@@ -82,3 +82,28 @@ def test_block_links_span_exactly_the_components():
         root = [min(a, b) if x in (a, b) else x for x in root]
     want = near_components(list(enumerate(t for _, t in rows)))
     assert {i: r for i, r in enumerate(root)} == {i: want[i][1] for i in range(len(sets))}
+
+
+def test_copies_of_two_linked_rows_are_confirmed_once(spark, monkeypatch):
+    """300 copies of each of two near texts: one set a class, one pair confirmed."""
+    words = [f"w{i}" for i in range(120)]
+    near = [*words[:-1], "other"]
+    rows = [(1, " ".join(words))] * 300 + [(2, " ".join(near))] * 300
+    names = {}
+    stored = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name, **o: names.setdefault(name, stored(df, name, **o)))
+    out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(1, 1), (2, 1)}
+    assert names["near-sets"].count() == 2 and names["near-links"].count() == 1
+
+
+def test_one_of_each_keeps_one_row_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words[:-1], "more"])]
+    rows = [(None, texts[0]), (None, texts[1]), (None, "alone here"), (None, None), (None, ""), (5, "x y z"), (5, "p q r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (r.text for r in only_kept(df, near_dedup.one_of_each(df)).collect()))) == sorted(
+        map(str, [min(texts[:2], key=lambda t: spark.range(1).selectExpr(f"xxhash64('{t}')").first()[0]),
+                  "alone here", None, "", "x y z", "p q r"]))
+    again = spark.createDataFrame([(7, t) for t in texts] + [(3, texts[0])], "doc_id long, text string")
+    assert [r.doc_id for r in only_kept(again, near_dedup.one_of_each(again)).collect()] == [3]

@@ -44,13 +44,36 @@ def test_rules_without_a_whole_token_are_still_tried(spark):
 
 def test_rarest_token_is_the_key(spark):
     df = spark.createDataFrame([(i, f"http://h{i}.common.net/rare" if i == 0 else f"http://h{i}.common.net/")
-                                for i in range(20)], "page_id long, url string").select(
-        "page_id", url_filter.host_of("url").alias("host") if False else "url")
+                                for i in range(20)], "page_id long, url string")
     urls = df.select(url_filter.host_of(df.url).alias("host"), url_filter.path_of(df.url).alias("path"))
     assert url_filter.token_counts(urls, ["common", "rare", "none"], "host", "path") == {"common": 20, "rare": 1}
     got = url_filter.url_filter(df, (HostRule("block", "common.net", "/"),), ())
     assert got.filter("verdict = 'block'").count() == 20
 
 
+def test_fifty_thousand_rules_in_waves(spark):
+    rules = [HostRule("block" if i % 2 else "allow", f"host{i}.net", f"/p{i % 7}") for i in range(45_000)]
+    rules += [HostRule("block", "net", "/"), HostRule("allow", "net", "/p1")]
+    patterns = [Pattern("block", f"^word{i}^*^end^") for i in range(5_000)]
+    urls = [f"http://a.host{i * 13}.net/p{i % 9}/x" for i in range(3000)]
+    urls += [f"http://b{i}.org/word{i}/x/end" for i in range(0, 6000, 50)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    by_host = {(r.host, r.path): r.verdict for r in rules}
+
+    def want(u):
+        host, path = re.match("http://([^/]*)(.*)", u).groups()
+        found = [(len(h + p), h + p, v) for h in (host, host.split(".", 1)[1], "net") for p in ("/", *(f"/p{k}" for k in range(7)))
+                 if (v := by_host.get((h, p))) and path.startswith(p) and (host == h or host.endswith("." + h))]
+        if found:
+            return max(found)[1:]
+        word = re.match(r"/word(\d+)/", path)
+        return None, "block" if word and int(word[1]) < 5000 else "allow"
+
+    one = url_filter.url_filter(df, rules, patterns).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in one] == [want(u) for u in urls]
+    few = url_filter.url_filter(df, rules, patterns, wave_rules=20_000).orderBy("page_id").collect()
+    assert few == one
+
+
 def test_empty_table(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
