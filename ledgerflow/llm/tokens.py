@@ -114,13 +114,17 @@ class Encoder:
             self.cache.clear()
             self.cache.update(self.signs)
         cut = [None if any(a in t for a in self.added) else pieces(t) for t in (t or "" for t in texts)]
-        missing: set[str] = set()
+        every: set[str] = set()
         for c in cut:
-            missing.update(c or ())
-        missing.difference_update(self.cache)
-        self.cache.update(self._found(missing))
+            every.update(c or ())
+        missing = every.difference(self.cache)
+        every -= missing
+        now = dict(zip(every, map(self.cache.__getitem__, every)))
+        new = self._found(missing)
+        self.cache.update(new)
+        now.update(new)
         whole = iter(self._encode([t or "" for t, c in zip(texts, cut) if c is None]))
-        ids = self.cache.__getitem__
+        ids = now.__getitem__
         return [next(whole) if c is None else b"".join(map(ids, c)) for c in cut]
 
 
