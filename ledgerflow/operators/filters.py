@@ -152,7 +152,24 @@ def invoice_exists(inv: DataFrame, invoice_number) -> DataFrame:
 NUMBER_SLOTS = 512
 
 
-def newest_rows(rows: DataFrame, limit: int) -> DataFrame:
+def _slot_words() -> list[Column]:
+    """Invoice numbers hashed into NUMBER_SLOTS bits, eight longs."""
+    h = F.pmod(F.xxhash64("invoice_number"), F.lit(NUMBER_SLOTS)).cast("int")
+    return [F.bit_or(F.when(F.floor(h / 64) == i, F.expr(
+        f"shiftleft(1L, cast(pmod(xxhash64(invoice_number), {NUMBER_SLOTS}) % 64 as int))"))
+        .otherwise(F.lit(0).cast("bigint"))).alias(f"_b{i}") for i in range(NUMBER_SLOTS // 64)]
+
+
+def date_index(inv: DataFrame) -> DataFrame:
+    """F13 the zone index of the invoice view: per posting date and status the
+    rows and the bits of their hashed invoice numbers. Bits of several statuses
+    or dates combine by OR."""
+    return (inv.filter(F.col("posting_date").isNotNull())
+            .groupBy("posting_date", F.upper("invoice_status").alias("status"))
+            .agg(F.count(F.lit(1)).alias("rows"), *_slot_words()))
+
+
+def newest_rows(rows: DataFrame, limit: int, index: DataFrame | None = None) -> DataFrame:
     """The rows of the newest posting dates that surely hold ``limit`` distinct
     rows (all rows if none do).
 
@@ -161,12 +178,14 @@ def newest_rows(rows: DataFrame, limit: int) -> DataFrame:
     rows. Dates are summed up newest first until the bound reaches ``limit``,
     usually after one or two dates. The oldest such date is a scalar subquery
     that Spark pushes into the parquet scan. Its input is one small row per
-    date, however long the history is."""
-    h = F.pmod(F.xxhash64("invoice_number"), F.lit(NUMBER_SLOTS)).cast("int")
-    words = [F.bit_or(F.when(F.floor(h / 64) == i, F.expr(
-        f"shiftleft(1L, cast(pmod(xxhash64(invoice_number), {NUMBER_SLOTS}) % 64 as int))"))
-        .otherwise(F.lit(0).cast("bigint"))).alias(f"_b{i}") for i in range(NUMBER_SLOTS // 64)]
-    dates = rows.filter(F.col("posting_date").isNotNull()).groupBy("posting_date").agg(*words)
+    date, however long the history is. With ``index`` (the ``date_index`` rows
+    that belong to ``rows``) the bits come from there, and ``rows`` themselves
+    are only read from the newest dates on."""
+    if index is None:
+        dates = rows.filter(F.col("posting_date").isNotNull()).groupBy("posting_date").agg(*_slot_words())
+    else:
+        dates = index.groupBy("posting_date").agg(
+            *[F.bit_or(f"_b{i}").alias(f"_b{i}") for i in range(NUMBER_SLOTS // 64)])
     least = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"_b{i}")) for i in range(NUMBER_SLOTS // 64)])
     newest = Window.orderBy(F.col("posting_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
     summed = dates.select("posting_date", F.sum(least).over(newest).alias("_rows"))     # one row a date
@@ -181,11 +200,13 @@ def newest_rows(rows: DataFrame, limit: int) -> DataFrame:
 
 def invoice_search(inv: DataFrame, ven: DataFrame, as_of: _dt.date, number=None,
                    vendor: str | None = None, status: str | None = None,
-                   limit: int = S.SEARCH_ROWS) -> DataFrame:
+                   limit: int = S.SEARCH_ROWS, index: DataFrame | None = None) -> DataFrame:
     """F13 optional number AND vendor AND status (incl. the DUE_NEXT_30 pseudo
     status), DISTINCT rows, newest posting first, ``limit`` rows (the page
     size of the search screen). Ties on posting date are broken by every
-    output column so the page is deterministic (R11)."""
+    output column so the page is deterministic (R11). ``index`` is the view's
+    ``date_index``: with it, a search by nothing or by a status reads the index
+    and the newest dates' rows only."""
     from ledgerflow.operators.joins import with_vendor
     preds = []
     if number is not None:
@@ -196,11 +217,14 @@ def invoice_search(inv: DataFrame, ven: DataFrame, as_of: _dt.date, number=None,
         else:
             preds.append(F.upper(F.col("invoice_status")) == F.upper(F.lit(status)))
     base = inv.filter(reduce(lambda a, b: a & b, preds)) if preds else inv
+    if index is not None and status is not None:
+        pseudo = status.upper() == S.PSEUDO_STATUS_DUE_NEXT_30       # asks for a due date, too
+        index = None if pseudo else index.filter(F.col("status") == F.upper(F.lit(status)))
     j = with_vendor(base, ven, vendor=vendor)
     if number is None:
         # A left join to a keyed dimension keeps every fact row, so without a
         # vendor filter the bound can be taken from the fact itself.
-        j = with_vendor(newest_rows(base, limit), ven) if vendor is None else newest_rows(j, limit)
+        j = with_vendor(newest_rows(base, limit, index), ven) if vendor is None else newest_rows(j, limit)
     out = j.select("invoice_number", "vendor_name", "posting_date", "due_date",
                    F.col("invoice_amount_local").cast("double").alias("invoice_amount"),
                    F.col("purchase_order_reference").alias("po_number"),

@@ -8,6 +8,7 @@ salt) first; W8 numbers rows in two levels (``prefix_sums``).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,7 +88,7 @@ def topn_share(ranked: DataFrame, order_value: str, value: str, n: int) -> DataF
 def paginate(df: DataFrame, page: int, size: int, order: list) -> DataFrame:
     """W6 page ``page`` (0-based) of ``size`` rows in ``order``: a top-k of
     (page+1)*size rows then an offset. Deep pages grow that top-k; use
-    ``page_after`` to go on from the last row shown."""
+    ``page_after`` to go on from the last row shown, or a ``page_index``."""
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
@@ -102,6 +103,52 @@ def page_after(df: DataFrame, size: int, keys: list[str], last: dict) -> DataFra
     return df.filter(F.col(keys[0]) >= F.lit(last[keys[0]])).filter(after).orderBy(*keys).limit(size)
 
 
+def _placed(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
+    """``df`` dealt into ``parts`` ranges of ``order``, sorted and written once
+    (stable input for several passes), with ``_row``, which follows the order over
+    all parts, and ``_part``. Rows that are equal in ``order`` are dealt by a hash
+    of their place."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*order, F.col("_place")]
+    rows = (df.withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
+            .repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_place")
+            .withColumn("_row", F.monotonically_increasing_id()))
+    # monotonically_increasing_id: partition number in the upper bits, row in the lower 33
+    return written(rows, "placed").withColumn("_part", F.shiftright("_row", 33))
+
+
+@dataclass
+class PageIndex:
+    """W6 the rows of a query in order, written once, and the number of rows of
+    each range. A page, however deep, is one range of ``_row``, which is pushed
+    into the scan: files and row groups outside it are skipped by statistics."""
+
+    rows: DataFrame
+    counts: list[int]
+
+    def page(self, page: int, size: int) -> DataFrame:
+        """Page ``page`` (0-based) of ``size`` rows, in order."""
+        lo, hi = self._row(page * size), self._row((page + 1) * size)
+        return (self.rows.filter((F.col("_row") >= lo) & (F.col("_row") < hi)).orderBy("_row")
+                .drop("_row", "_part"))
+
+    def _row(self, number: int) -> int:
+        for part, n in enumerate(self.counts):
+            if number < n:
+                return (part << 33) + number
+            number -= n
+        return len(self.counts) << 33
+
+
+def page_index(df: DataFrame, order: list[Column], parts: int | None = None) -> PageIndex:
+    """W6 an index of the pages of ``df`` in ``order`` (one written copy, one
+    count a range). Runs its jobs at once; build it when many or deep pages are
+    read, else use ``paginate``."""
+    rows = _placed(df, order, parts)
+    found = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}     # one row a range
+    return PageIndex(rows, [found.get(p, 0) for p in range(max(found, default=-1) + 1)])
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Column | None = None,
                 parts: int | None = None, out: str = "_before") -> DataFrame:
     """``df`` plus ``out``: the sum of ``value`` (rows counted, if None) over the
@@ -116,16 +163,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     number in the part, or, for a ``value``, a window over (key, part). The job
     that writes runs when this is called. The sampling of the ranges decides
     where parts are cut, never a sum."""
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = [*[F.col(k).asc_nulls_first() for k in keys], *order, F.col("_place")]
-    placed = df.withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
-    if value is not None:
-        placed = placed.withColumn("_value", value)
-    table = written(placed.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_place")
-                    .withColumn("_row", F.monotonically_increasing_id()), "prefix-sums")
-    # monotonically_increasing_id: partition number in the upper bits, row in the lower 33
-    table = table.withColumn("_part", F.shiftright("_row", 33))
+    table = _placed(df if value is None else df.withColumn("_value", value), [*[F.col(k).asc_nulls_first() for k in keys], *order], parts)
     names = [f"_key{i}" for i in range(len(keys))]
     total = F.count(F.lit(1)) if value is None else F.coalesce(F.sum("_value"), F.lit(0))
     sizes = (table.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, names)], F.col("_part").alias("_at"))

@@ -121,7 +121,8 @@ def invoices(v: Views, number=None, vendor: str | None = None,
              status: str | None = None) -> dict[str, DataFrame]:
     """Invoice search (number / vendor / status incl. DUE_NEXT_30)."""
     from ledgerflow.operators.filters import invoice_search
-    return {"results": invoice_search(v.invoice, v.vendor, v.as_of, number, vendor, status),
+    return {"results": invoice_search(v.invoice, v.vendor, v.as_of, number, vendor, status,
+                                     index=getattr(v, "invoice_dates", None)),
             "vendors": D.vendor_names_all(v.vendor)}
 
 

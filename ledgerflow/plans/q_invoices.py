@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerflow.operators import filters as FL
 from ledgerflow.operators import invoices as I
 from ledgerflow.operators.joins import vendor_profile
+from ledgerflow.operators.windows import page_index
 from ledgerflow.plans.registry import AS_OF, END, INVOICE, START, VENDOR, dlit, register
 
 A = dlit(AS_OF)
@@ -58,7 +59,24 @@ LIMIT 500"""
 @register("invoice_search_all", "F13+U5+T4", _search_sql("1=1"))
 def q_invoice_search_all(v):
     """F13 no filters: newest 500 distinct rows."""
-    return FL.invoice_search(v.invoice, v.vendor, AS_OF)
+    return FL.invoice_search(v.invoice, v.vendor, AS_OF, index=v.invoice_dates)
+
+
+@register("invoice_search_status_index", "F13+F5", _search_sql("upper(f.invoice_status) = 'DISPUTED'"))
+def q_invoice_search_status_index(v):
+    """F13 by status, the newest dates from the zone index."""
+    return FL.invoice_search(v.invoice, v.vendor, AS_OF, status="Disputed", index=v.invoice_dates)
+
+
+@register("invoice_deep_page", "W6", """
+SELECT invoice_number, vendor_id, posting_date, invoice_status FROM v_invoice
+ORDER BY posting_date DESC NULLS LAST, invoice_number, vendor_id NULLS LAST LIMIT 25 OFFSET 2500""")
+def q_invoice_deep_page(v):
+    """W6 page 100 of 25 invoices by a page index: one range of the written rows is read."""
+    rows = v.invoice.select("invoice_number", "vendor_id", "posting_date", "invoice_status")
+    order = [F.col("posting_date").desc_nulls_last(), F.col("invoice_number").asc(),
+             F.col("vendor_id").asc_nulls_last()]
+    return page_index(rows, order).page(100, 25)
 
 
 @register("invoice_search_vendor_status", "F13+F4+F5", _search_sql(

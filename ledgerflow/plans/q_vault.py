@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from ledgerflow.operators import vault as V
 from ledgerflow.operators.setops import union_missing_cols
@@ -129,6 +130,13 @@ def q_vault_counts(v):
     return V.vault_counts(_written_vault(v))
 
 
+@register("vault_job", "V12+S2+S3", _counts_sql())
+def q_vault_job(v):
+    """V12 the whole job from the folder to a written vault, read back: rows per table of the model."""
+    target = io.scratch_path(v.spark, "vault-job", uuid.uuid4().hex)
+    return V.vault_counts(V.run_vault_job(v.spark, v.root, target, MODEL, NAME_MAP, LOAD_TS))
+
+
 def _reconcile_sql() -> str:
     parts = []
     for s in MODEL.satellites:

@@ -129,8 +129,9 @@ MATERIALIZED = {
     "full_payment": None,
     "grir_balance": None,
     "grir_aging": None,
+    "invoice_dates": None,
 }
-VIEW_VERSION = "3"
+VIEW_VERSION = "4"
 
 
 class Views:
@@ -260,6 +261,12 @@ class Views:
             F.datediff(as_of, F.col("due_date")).alias("aging_days"),
             F.when(F.col("ln") % 2 == 0, F.lower("st")).otherwise(F.col("st")).alias("invoice_status"))
 
+    @property
+    def invoice_dates(self) -> DataFrame:
+        """The invoice view's zone index, written with it (F13)."""
+        from ledgerflow.operators.filters import date_index
+        return self._get("invoice_dates", lambda: date_index(self.invoice))
+
     @property
     def status_history(self) -> DataFrame:
         def build():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerflow.operators import state as M
 from ledgerflow.operators.setops import dedupe_by_key
 from ledgerflow.operators.reshape import report_frame, unpivot_numeric
-from ledgerflow.operators.windows import page_after, prefix_sums, running_hit_count, top_n_per_group
+from ledgerflow.operators.windows import page_after, page_index, prefix_sums, running_hit_count, top_n_per_group
 from ledgerflow.session import written
 
 NOW = dt.datetime(2024, 1, 31)
@@ -139,6 +139,19 @@ def test_pages_by_key_equal_pages_by_offset(spark):
     assert [tuple(r) for r in page_after(df, 10, ["a", "b"], last).collect()] == rows[20:30]
 
 
+def test_page_index_equals_offset_and_reads_one_range(spark):
+    df = spark.range(10_000).selectExpr("(id * 7919) % 1009 AS a", "id AS b", "IF(id % 50 = 0, null, id % 3) AS c")
+    order = [F.col("c").asc_nulls_first(), F.col("a").desc(), F.col("b").asc()]
+    index = page_index(df, order, parts=9)
+    assert sum(index.counts) == 10_000
+    rows = [tuple(r) for r in df.orderBy(*order).collect()]
+    for page, size in ((0, 10), (33, 100), (99, 100), (100, 100), (3, 3000), (2, 4000), (10**6, 10)):
+        assert [tuple(r) for r in index.page(page, size).collect()] == rows[page * size:(page + 1) * size]
+    plan = index.page(33, 100)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(_row), GreaterThanOrEqual(_row," in plan
+    assert page_index(df.limit(0), order).page(0, 10).count() == 0
+
+
 def test_display_limits_are_opt_in(spark):
     import pytest
 
