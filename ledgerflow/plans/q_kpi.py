@@ -103,8 +103,7 @@ FROM v_invoice f LEFT JOIN v_vendor v ON f.vendor_id = v.vendor_id
 WHERE f.posting_date {RANGE}""")
 def q_kpi_distinct_counts(v):
     """A2-A5 distinct counts in the window."""
-    return kpi.fact_kpis(v.invoice, v.vendor, START, END).select(
-        "active_pos", "total_pos", "pending_inv", "active_vendors")
+    return kpi.distinct_counts(v, START, END)
 
 
 @register("kpi_cycle_days", "A6+F6", f"""

@@ -130,8 +130,9 @@ MATERIALIZED = {
     "grir_balance": None,
     "grir_aging": None,
     "invoice_dates": None,
+    "kpi_days": "posting_date",
 }
-VIEW_VERSION = "4"
+VIEW_VERSION = "5"
 
 
 class Views:
@@ -154,12 +155,13 @@ class Views:
 
     def materialize_all(self, threads: int = 4) -> list[str]:
         """Build every materialised view now (e.g. before timing queries): the
-        fact first, then the rollups over it as concurrent, independent jobs.
+        fact and its history first, then the rollups over them as concurrent,
+        independent jobs.
         Views of earlier states of the directory are removed."""
         from concurrent.futures import ThreadPoolExecutor
         drop_superseded(self.spark, self.base)
-        self.invoice
-        rest = [n for n in MATERIALIZED if n != "invoice"]
+        self.invoice, self.status_history
+        rest = [n for n in MATERIALIZED if n not in ("invoice", "status_history")]
         with ThreadPoolExecutor(max_workers=threads) as pool:
             list(pool.map(lambda n: getattr(self, n), rest))
         return list(MATERIALIZED)
@@ -267,6 +269,12 @@ class Views:
         from ledgerflow.operators.filters import date_index
         return self._get("invoice_dates", lambda: date_index(self.invoice))
 
+    @property
+    def kpi_days(self) -> DataFrame:
+        """The day partials of the KPIs, written with the invoice view (A10)."""
+        from ledgerflow.operators.kpi import day_partials
+        return self._get("kpi_days", lambda: day_partials(self.invoice, self.vendor, self.status_history))
+
     @property
     def status_history(self) -> DataFrame:
         def build():
