@@ -5,16 +5,19 @@ A44-A46, J8, J9, W2, W8, S9, S10)."""
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerflow import semantics as S
 from ledgerflow.operators import state as M
+from ledgerflow.operators.state_table import StateTable
 from ledgerflow.operators.joins import recent_messages, sessions_with_counts
 from ledgerflow.operators.windows import running_hit_count
 from ledgerflow.plans.q_kpi import kpi_sql
 from ledgerflow.plans.registry import END, START, register
+from ledgerflow.session import ensure_checkpoint_dir
 from ledgerflow.sources.io import assemble_transcript, export_transcript, to_json_rows
 
 NOW = S.AS_OF_TS
@@ -80,6 +83,23 @@ def q_memory_touch(v):
     return _touched(v)
 
 
+def _state_folder(v, name: str) -> str:
+    return f"{ensure_checkpoint_dir(v.spark).rstrip('/')}/state/{name}-{uuid.uuid4().hex}"
+
+
+@register("memory_state_table", "M1+M4", TOUCHED_SQL)
+def q_memory_state_table(v):
+    """M1 and M4 on a written state table: an early and a late batch of changes,
+    then the reads, each rewriting the buckets it touches. Runs jobs when built."""
+    ch = v.memory_changes
+    table = StateTable.create(v.spark, _state_folder(v, "memory"), M.memory_state(ch).schema, ["memory_id"], 16)
+    late = F.coalesce(F.col("updated_at") >= F.lit(CUT), F.lit(False))
+    for i, batch in enumerate((ch.filter(~late), ch.filter(late))):
+        table.merge(batch, lambda state, b: M.memory_state(b, state), batch=i)
+    table.merge(ch.select("memory_id"), lambda state, r: M.touch_count(state, r, "memory_id", "access_count"), batch=2)
+    return table.read()
+
+
 @register("memory_by_user", "M6", f"""
 SELECT memory_key, memory_val, memory_type, source, confidence, updated_at, access_count
 FROM ({TOUCHED_SQL}) WHERE user_name = '1'""")
@@ -142,6 +162,23 @@ def q_cache_rewrite(v):
                           ["created_at", "event_id"], initial=1)
 
 
+@register("cache_state_table", "M3+M5", f"""
+SELECT * FROM ({CACHE_SQL.replace("CAST(n - 1 AS BIGINT)", "CAST(n AS BIGINT)")})
+WHERE query_hash NOT IN (SELECT query_hash FROM v_cache_writes WHERE cache_type = 'error' AND ttl_seconds > 36000)""")
+def q_cache_state_table(v):
+    """M3 and M5 on a written state table: early writes, re-writes, then listed
+    keys deleted, each in the buckets touched. Runs jobs when built."""
+    w = v.cache_writes
+    keys, order = ["query_hash"], ["created_at", "event_id"]
+    table = StateTable.create(v.spark, _state_folder(v, "cache"), M.upsert_count(None, w, keys, order).schema, keys, 16)
+    late = F.coalesce(F.col("created_at") >= F.lit(CUT), F.lit(False))
+    for batch in (w.filter(~late), w.filter(late)):
+        table.merge(batch, lambda state, b: M.upsert_count(state, b, keys, order, initial=1))
+    listed = w.filter((F.col("cache_type") == "error") & (F.col("ttl_seconds") > 36000)).select("query_hash")
+    table.merge(listed, lambda state, k: M.delete_keys(state, k, keys))
+    return table.read()
+
+
 @register("cache_live", "M2", f"""
 SELECT * FROM v_query_cache
 WHERE epoch_us({NOW_SQL}) - epoch_us(created_at) <= COALESCE(ttl_seconds, 3600) * 1000000""")
