@@ -18,17 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import small, stored
-from ledgerflow.llm.tokens import CACHE_ENTRIES, END_ID, default_tokenizer, encoder
+from ledgerflow.llm.tokens import CACHE_ENTRIES, END_ID, default_tokenizer, encoder, slices
 
 WINDOW = 1024
 MAX_PARTITIONS = 500_000         # rows of the broadcast offsets: about 20 MB
-BATCH = 256                      # documents encoded at once
-END = np.array([END_ID], "<u4").tobytes()
 
 
 def _file_part(docs: DataFrame) -> Column:
@@ -47,19 +46,18 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
         enc, own = encoder(tokenizer, cache_entries), str(TaskContext.get().partitionId()).zfill(12)
         before: dict[str, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                rows = batch.slice(at, BATCH)
-                ids = [x + END for x in enc.encode(rows.column("text").to_pylist())]
-                parts = rows.column("part").to_pylist() if file_order else [own] * len(ids)
+            for at, n in slices(batch.column("text")):
+                rows = batch.slice(at, n)
+                ids = enc.encode_array(rows.column("text"), END_ID)
+                counts = pc.divide(pc.binary_length(ids), 4)
+                parts = rows.column("part").to_pylist() if file_order else [own] * n
                 starts = []
-                for p, x in zip(parts, ids):
+                for p, k in zip(parts, counts.to_pylist()):
                     starts.append(before.get(p, 0))
-                    before[p] = starts[-1] + len(x) // 4
+                    before[p] = starts[-1] + k
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(parts, pa.string()),
-                     pa.array(starts, pa.int64()),
-                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "part", "before", "n", "ids"])
+                    [rows.column("doc_id"), pa.array(parts, pa.string()), pa.array(starts, pa.int64()),
+                     counts, ids.cast(pa.binary())], ["doc_id", "part", "before", "n", "ids"])
 
     cols = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")]
     if file_order:

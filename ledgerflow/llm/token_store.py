@@ -27,15 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import BATCH_ROWS, arrow_batches, small
-from ledgerflow.llm.tokens import END_ID, default_tokenizer, encoder
+from ledgerflow.llm.tokens import END_ID, default_tokenizer, encoder, slices
 
 CHUNK_IDS = 1 << 16
 PLANES = "byte"                   # or "bit"
 LEVEL = 3
-BATCH = 256
 HEAD = 64                         # characters that order rows of equal id
 MAX_SHARDS = 500_000              # rows of the broadcast shard offsets: about 20 MB
-END = np.array([END_ID], "<u4").tobytes()
 
 CHUNK_SCHEMA = ("shard int, chunk int, first long, n_ids int, planes string, lengths array<int>, crc32 long, "
                 "docs array<struct<doc_id:bigint,rank:bigint,at:int,length:int,begins:boolean,ends:boolean,"
@@ -128,10 +126,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(file), _Shard(TaskContext.get().partitionId(), chunk_ids, planes)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
-                    for row in shard.add(doc, ids + END):
+            for at, k in slices(batch.column("text")):
+                part = batch.slice(at, k)
+                ids = enc.encode_array(part.column("text"), END_ID).to_pylist()
+                for doc, own in zip(part.column("doc_id").to_pylist(), ids):
+                    for row in shard.add(doc, own):
                         yield _batch([row])
         if shard.docs:
             yield _batch([shard.flush()])
