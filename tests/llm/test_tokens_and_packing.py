@@ -33,6 +33,62 @@ def test_pieces_give_the_ids_of_the_whole_text(whole):
         assert ids(got) == whole(t), repr(t)
 
 
+def test_cuts_between_kinds_of_characters(whole):
+    """Letters, digits, signs, apostrophes, single and double white space of all sorts, in any order."""
+    rng = random.Random(11)
+    parts = ["a", "Zz", "é", "×", "÷", "ÿ", "ß", "7", "42", "²", ".", ",", "!?", "_", "'", "'s", "'ll", "'T", "<|",
+             "|>", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f",
+             "\u205f", "\u3000", "\u0301", "\u201c", "\u2014", "字", "、", "😀", "\0", "\x1f", "the", "tion"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20000)]
+    texts += [a + b + c for a in parts for b in (" ", "\n", ".", "'") for c in parts]
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    for t, got in zip(texts, enc.encode(texts)):
+        assert ids(got) == whole(t), repr(t)
+
+
+def test_arrays_with_nulls_slices_and_end_ids(whole):
+    import pyarrow as pa
+
+    texts = ["cut", None, "", "a b\nc.", "x <|endoftext|> y", "w" * 500, "", "tail ", " head", None]
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    for kind in (pa.string(), pa.large_string()):
+        array = pa.array(texts, kind)
+        for at, n in [(0, len(texts)), (1, 3), (4, 2), (9, 1), (2, 1), (3, 0)]:
+            got = enc.encode_array(array.slice(at, n), end=0).to_pylist()
+            assert [ids(b) for b in got] == [[*whole(t), 0] for t in texts[at:at + n]]
+    assert enc.encode_array(pa.array([None, ""], pa.string())).to_pylist() == [b"", b""]
+
+
+def test_long_pieces_are_not_kept(whole):
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    texts = ["字" * 300 + " " + "word", "字" * 300 + "x", "word word"]
+    rows = []
+    for _ in range(3):
+        assert [ids(b) for b in enc.encode(texts)] == [whole(t) for t in texts]
+        rows.append((enc.n_rows, enc.n_ids, len(enc.cache)))
+    assert len(set(rows)) == 1 and all(len(p) <= tokens.LONGEST for p in enc.cache)
+
+
+def test_other_kinds_of_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = ["Some words, and  more.\nNext line", "", "a <|endoftext|> b", "x1 y2'z"]
+    assert not enc.cuts
+    assert [ids(b) for b in enc.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_slices_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 10, None, "", "y" * 100, "z" * 3, "z" * 3, "z" * 3])
+    assert list(tokens.slices(texts, 3, 1000)) == [(0, 3), (3, 3), (6, 1)]
+    assert list(tokens.slices(texts, 99, 12)) == [(0, 3), (3, 1), (4, 3)]
+    assert list(tokens.slices(texts.slice(0, 0))) == []
+
+
 def test_joined_words_give_the_ids_of_each(whole):
     words = ["the", "Ünïcödé", "字字", "don", "ⅷ", "²", "x" * 200, "éé", "ſt", "ﬁn", "Straße", "ａｂ"]
     enc = tokens.Encoder(tokens.default_tokenizer())
