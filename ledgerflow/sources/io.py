@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.windows import prefix_sums
-from ledgerflow.sources.tables import scan_view
+from ledgerflow.sources.tables import CODEC, scan_view
 
 log = logging.getLogger(__name__)
 
@@ -87,7 +87,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     """S5 write parquet (schema written even when empty) and return the row
     count, observed during the write itself (one job, not three)."""
     obs = Observation()
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("compression", CODEC).parquet(path)
     rows = obs.get.get("rows", 0) if obs.get else 0
     log.info("wrote %s rows to %s", rows, path)
     return int(rows)
