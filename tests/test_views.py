@@ -82,3 +82,33 @@ def test_a_view_without_a_needed_column_is_refused(spark):
         conform(spark.range(1), "id bigint, vendor_id string", "x")
     out = conform(spark.range(1).selectExpr("id AS ID"), "id int, city string", "x")
     assert out.dtypes == [("id", "int"), ("city", "string")]
+
+
+def test_the_fact_is_moved_once(spark, monkeypatch):
+    """Only the order join shuffles: neither the supplier join nor the write does."""
+    plans = {}
+
+    def publish(spark, df, base, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(spark, df, base, name)
+
+    real, limit = FX.publish, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(FX, "publish", publish)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = FX.view_base(spark, SF_SMALL, "moved-once")
+        own = FX.Views(spark, SF_SMALL, S.AS_OF, materialize=False)
+        FX.materialized_view(spark, base, "invoice", own._build_invoice, "posting_date")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plans["invoice"].count("Exchange hashpartitioning") == 2
+    assert "REBALANCE" not in plans["invoice"] and "rebalance" not in plans["invoice"].lower()
+
+
+def test_a_small_side_is_marked_by_its_rows(spark):
+    from ledgerflow.sources.tables import small_side
+
+    def marked(n):
+        return "broadcast" in small_side(spark.range(n), 10)._jdf.queryExecution().logical().toString()
+
+    assert marked(0) and marked(10) and not marked(11)
