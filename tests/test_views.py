@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerflow import pages
 from ledgerflow import semantics as S
@@ -112,3 +113,47 @@ def test_a_small_side_is_marked_by_its_rows(spark):
         return "broadcast" in small_side(spark.range(n), 10)._jdf.queryExecution().logical().toString()
 
     assert marked(0) and marked(10) and not marked(11)
+
+
+def test_line_rows_are_narrow_and_keep_odd_values(spark):
+    """Nulls, the ends of the number ranges, and prices beyond the amounts."""
+    keys = "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, l_extendedprice double, l_returnflag string"
+    low, high = -2**31, 2**31 - 1
+    rows = [(i, line, 1, part, price, flag) for i, (line, part, price, flag) in enumerate(
+        (line, part, price, flag) for line in (None, low, -1, 0, 7, high) for part in (None, -69, -1, 0, 69, 70, 2**62)
+        for price, flag in ((1.005, "N"), (None, None), (1e300, "R"), (-0.5, "")))]
+    lines = spark.createDataFrame(rows, keys)
+    out = FX._narrow_lines(lines)
+    assert out.columns == ["l_orderkey", "l_suppkey", "l_amount", "l_no_amount", "l_code"]
+    line, days, settled = FX.line_parts(F.col("l_code"))
+    got = {r.l_orderkey: r for r in out.withColumns({"line": line, "days": days, "settled": settled}).collect()}
+    for key, ln, _, part, price, flag in rows:
+        r = got[key]
+        want = None if part is None else (part % 70 if part >= 0 else -(-part % 70))
+        assert (r.line, r.days, r.settled) == (ln, want, None if flag is None else flag != "N"), rows[key]
+        assert r.l_no_amount == (1e300 if price == 1e300 else None)
+        assert (r.l_amount is None) == (price in (None, 1e300))
+
+
+def test_a_price_beyond_the_amounts_fails_only_in_a_joined_line(spark, tmp_path):
+    from pyspark.errors import ArithmeticException
+
+    def tables(folder, order_of_the_large):
+        spark.sql("SELECT 0L n_nationkey, 'A' n_name, 0L n_regionkey").write.parquet(f"{folder}/nation.parquet")
+        spark.sql("SELECT 1L s_suppkey, 'S' s_name, 0L s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+        spark.sql("SELECT 1L o_orderkey, TIMESTAMP '2000-01-01' o_orderdate, 5D o_totalprice").write.parquet(
+            f"{folder}/orders.parquet")
+        spark.createDataFrame([(1, 3, 1, 5, 2.5, "R"), (order_of_the_large, 1, 1, 5, 1e12, "R")],
+                              "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, "
+                              "l_extendedprice double, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+        return FX.Views(spark, str(folder), S.AS_OF, materialize=False).invoice
+
+    row, = tables(tmp_path / "apart", 2).collect()
+    assert (row.invoice_number, float(row.invoice_amount_local), row.invoice_status) == (13, 2.5, "PAID")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        with pytest.raises(ArithmeticException):
+            tables(tmp_path / "joined", 1).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
