@@ -83,11 +83,12 @@ def schema_map(sources: dict[str, DataFrame]) -> dict[str, list[str]]:
     return {t.upper(): list(df.columns) for t, df in sources.items() if df is not None}
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", options: dict[str, str] | None = None) -> int:
     """S5 write parquet (schema written even when empty) and return the row
     count, observed during the write itself (one job, not three)."""
     obs = Observation()
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("compression", CODEC).parquet(path)
+    (df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("compression", CODEC)
+     .options(**(options or {})).parquet(path))
     rows = obs.get.get("rows", 0) if obs.get else 0
     log.info("wrote %s rows to %s", rows, path)
     return int(rows)
